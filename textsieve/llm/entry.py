@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsieve.llm import quality, rules, toxicity
+from textsieve.llm import decontam, langid, packing, quality, rules, toxicity
 from textsieve.llm.sampling import remainder
 
 
@@ -15,6 +15,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -37,10 +52,13 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op3_langid": op3_langid,
+    "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_rules": op10_rules,
 }
 
 #: Queries that DuckDB can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_decontamination": decontam.ORACLE}

@@ -37,22 +37,8 @@ def features(buf: np.ndarray, off: np.ndarray):
         where = np.flatnonzero(same)
         yield np.full(len(where), BUCKETS - gap), np.searchsorted(where, first)
     for n in GRAMS:
-        if len(buf) < n:
-            yield np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-            continue
-        m = len(buf) - n + 1
-        code = np.full(m, n * 0x01000193, np.uint32)
-        for k in range(n):
-            code ^= buf[k : k + m]
-            code *= np.uint32(0x01000193)
-        code ^= code >> np.uint32(15)
-        code *= np.uint32(0x2C1B3C6D)
-        inside = np.ones(m, bool)
-        for k in range(1, n):
-            cut = off[1:-1] - k
-            inside[cut[(cut >= 0) & (cut < m)]] = False
-        where = np.flatnonzero(inside)
-        yield (code[where] >> np.uint32(16)).astype(np.int64), np.searchsorted(where, off)
+        code, first = tb.grams(buf, off, n)
+        yield (code >> np.uint32(16)).astype(np.int64), first
 
 
 @dataclass

@@ -203,3 +203,22 @@ def letters(texts: pa.Array) -> np.ndarray:
         for i in np.flatnonzero(~plain & (np.diff(off) > 0)):
             plain[i] = any(map(str.isalpha, buf[off[i] : off[i + 1]].tobytes().decode(errors="replace")))
     return plain
+
+
+def grams(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the n-byte substrings of each text, and the first of each text."""
+    if len(buf) < n:
+        return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+    m = len(buf) - n + 1
+    code = np.full(m, n * 0x01000193, np.uint32)
+    for k in range(n):
+        code ^= buf[k : k + m]
+        code *= np.uint32(0x01000193)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x2C1B3C6D)
+    inside = np.ones(m, bool)
+    for k in range(1, n):
+        cut = off[1:-1] - k
+        inside[cut[(cut >= 0) & (cut < m)]] = False
+    where = np.flatnonzero(inside)
+    return code[where], np.searchsorted(where, off)
