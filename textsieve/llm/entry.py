@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsieve.llm import decontam, langid, packing, quality, rules, toxicity
+from textsieve.llm import decontam, langid, minhash, packing, quality, rules, toxicity
 from textsieve.llm.sampling import remainder
 
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs)).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
@@ -53,6 +57,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_langid": op3_langid,
     "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
