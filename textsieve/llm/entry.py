@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsieve.llm import decontam, langid, linededup, minhash, packing, quality, rules, toxicity
+from textsieve.llm import decontam, langid, linededup, minhash, packing, quality, revisit, rules, toxicity
 from textsieve.llm.sampling import remainder
 
 
@@ -30,6 +30,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisit.page_report(_read(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_langid": op3_langid,
+    "op4_revisits": op4_revisits,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
@@ -74,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries that DuckDB can express.
-ORACLES: dict[str, str] = {"op6_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op4_revisits": revisit.ORACLE, "op6_decontamination": decontam.ORACLE}
