@@ -11,7 +11,6 @@ their place by their rank among those of their length.
 
 from __future__ import annotations
 
-import os
 import zlib
 from dataclasses import dataclass
 
@@ -23,76 +22,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textsieve.llm.staging import Staged, map_batches, partitions
+from textsieve.llm.wordbpe import Encoder
 
 SEPARATOR = (0).to_bytes(4, "little")
 
 
-class WordTokenizer:
-    """Token ids as little-endian 32-bit bytes.
-
-    The tokenizer drops white space and treats what stands between it on its own, so the ids of
-    a text are those of its parts; frequent parts are remembered.  Parts are cut at spaces and
-    newlines only, which the tokenizer drops for certain.
-    """
-
-    def __init__(self, path: str, most: int = 250_000):
-        self.path, self.most, self.tokenizer = path, most, None
-
-    def __getstate__(self):
-        return {"path": self.path, "most": self.most, "tokenizer": None}
-
-    def parts(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if self.tokenizer is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self.tokenizer, self.young, self.old = Tokenizer.from_file(self.path), {"": b""}, {}
-        split = [self.parts(x) if x else [] for x in texts]
-        young, old = self.young, self.old
-        missing = {w for words in split for w in words} - young.keys()
-        if old:
-            for w in missing & old.keys():
-                young[w] = old[w]
-            missing -= young.keys()
-        long = [w for w in missing if len(w) > 60]
-        short = [w for w in missing if len(w) <= 60]
-        extra = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in long}
-        for k in range(0, len(short), 4096):
-            some = short[k : k + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        if extra:
-            for words in split:
-                out.append(b"".join([young[w] if w in young else extra[w] for w in words]))
-        else:
-            get = young.__getitem__
-            out = [b"".join(map(get, words)) for words in split]
-        if len(young) > self.most:  # what wasn't used of late is forgotten
-            self.old, self.young = young, {"": b""}
-        return out
-
-
-def pieces(docs: DataFrame, tokenizer: WordTokenizer, room: int) -> DataFrame:
+def pieces(docs: DataFrame, encode: Encoder, room: int) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each document; a null text is empty, so that it has the separator alone."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, piece, start, length, crc = [], [], [], [], []
-        doc = []
-        for i, b in enumerate(tokenizer(batch.column("text").to_pylist())):
-            b += SEPARATOR
-            for k, at in enumerate(range(0, len(b), 4 * room)):
-                part = b[at : at + 4 * room]
+        ids, off = encode(batch.column("text"))
+        doc, piece, start, length, crc = [], [], [], [], []
+        for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            data = ids[a:b].tobytes() + SEPARATOR
+            for k, at in enumerate(range(0, len(data), 4 * room)):
+                part = data[at : at + 4 * room]
                 doc.append(i)
                 piece.append(k)
                 start.append(at // 4)
                 length.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
-        ids = batch.column("doc_id").take(pa.array(doc, pa.int32()))
-        return pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        doc_id = batch.column("doc_id").take(pa.array(doc, pa.int32()))
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_batches(docs.select("doc_id", F.col("text").cast("string")), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
@@ -229,7 +180,7 @@ def pack(docs: DataFrame, tokenizer_path: str, room: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     staged = Staged(spark)
     buckets = 4 * partitions(spark)
-    found = staged.put(pieces(docs, WordTokenizer(tokenizer_path), room).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")), "pieces")
+    found = staged.put(pieces(docs, Encoder(tokenizer_path), room).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")), "pieces")
     # at most `buckets` rows of each length
     sizes = found.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
