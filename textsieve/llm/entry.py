@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsieve.llm import decontam, langid, linededup, minhash, packing, quality, revisit, rules, toxicity
+from textsieve.llm import decontam, langid, linededup, minhash, packing, quality, revisit, rules, runindex, toxicity
 from textsieve.llm.sampling import remainder
 
 
@@ -45,6 +45,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_revisits": op4_revisits,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_repeats": op7_repeats,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_rules": op10_rules,
