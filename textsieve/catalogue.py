@@ -2,9 +2,425 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from textsieve.functions import columns as c
+from textsieve.functions import trigrams as t
+from textsieve.functions.pattern import Pattern
+from textsieve.operators import joins, search
+from textsieve.sources.index import TrigramIndex, estimate
+from textsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: A word that some documents have, and misspelt forms of it.
+WORD, TYPO1, TYPO2 = "thanedble", "thandble", "thaneddlr"
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def near(word: str, text: str, k: int) -> str:
+    """DuckDB: least edits to find a literal word in a text, at most k; text must be short."""
+    w = word.replace("'", "''")
+    n = len(word)
+    cut = f"list_transform(range(1, len({text}) + 1), lambda s: list_min(list_transform(range({max(1, n - k)}, {n + k + 1}), lambda l: levenshtein('{w}', substring({text}, s, l)))))"
+    return f"(SELECT CASE WHEN d <= {k} THEN CAST(d AS INTEGER) END FROM (SELECT least({n}, coalesce(list_min({cut}), {n})) AS d))"
+
+
+def near_long(word: str, k: int, table_: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """The same for long texts, as a table (key, dist): only words' surroundings with an unharmed piece are compared."""
+    n, step = len(word), len(word) // (k + 1)
+    cuts = [word[i * step : n if i == k else (i + 1) * step] for i in range(k + 1)]
+    hits = " UNION ALL ".join(f"SELECT {key}, {i * step} AS p0, unnest(list_filter(range(1, len({text}) + 1), lambda s: substring({text}, s, {len(p)}) = '{p}')) AS s, {text} AS x FROM {table_} WHERE contains({text}, '{p}')" for i, p in enumerate(cuts))
+    spans = f"SELECT {key}, substring(x, greatest(1, s - p0 - {k}), {n + 2 * k}) AS y FROM ({hits})"
+    cut = f"list_min(list_transform(range(1, len(y) + 1), lambda s: list_min(list_transform(range({max(1, n - k)}, {n + k + 1}), lambda l: levenshtein('{word}', substring(y, s, l))))))"
+    return f"(SELECT {key}, CAST(min({cut}) AS INTEGER) AS dist FROM (SELECT DISTINCT * FROM ({spans})) GROUP BY {key} HAVING min({cut}) <= {k})"
+
+
+# -- predicates ----------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(text, '{WORD}')")
+def amatch_exact(spark, sf):
+    return table(spark, sf, "documents").where(c.amatch("text", WORD, 0)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {near_long(TYPO1, 1)}")
+def amatch_k1(spark, sf):
+    return table(spark, sf, "documents").where(c.amatch("text", TYPO1, 1)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(thaned|thing)[a-z]+ the')")
+def match_op_k0(spark, sf):
+    return search.search(table(spark, sf, "documents"), "text", "%~~", Pattern("(thaned|thing)[a-z]+ the", 0)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {near_long(TYPO1, 1)}")
+def match_op_k1(spark, sf):
+    return search.search(table(spark, sf, "documents"), "text", "%~~", f"{TYPO1}@1").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {near_long(TYPO2, 2)}")
+def match_op_k2(spark, sf):
+    return search.search(table(spark, sf, "documents"), "text", "%~~", f"{TYPO2}@2").select("doc_id")
+
+
+def weighted(word: str, text: str, key: str, table_: str, k: int, ins: int, dele: int, sub: int) -> str:
+    """DuckDB: keys of short texts with a part within cost k of a literal word, by a column of costs for each prefix of the text."""
+    n = len(word)
+    # an accumulator of another type than the elements: elements are lists of one number
+    step = f"list_reduce(list_transform(range(1, {n + 1}), lambda j: [j]), lambda acc, e: list_append(acc, least(col[e[1]] + CASE WHEN substring('{word}', e[1], 1) = substring(x, i + 1, 1) THEN 0 ELSE {sub} END, col[e[1] + 1] + {ins}, acc[e[1]] + {dele})), [CAST(0 AS BIGINT)])"
+    return f"""WITH RECURSIVE d AS (SELECT {key}, {text} AS x, CAST(0 AS BIGINT) AS i, list_transform(range(0, {n + 1}), lambda j: j * {dele}) AS col FROM {table_} WHERE {text} IS NOT NULL
+UNION ALL SELECT {key}, x, i + 1, {step} FROM d WHERE i < len(x))
+SELECT {key} FROM d GROUP BY {key} HAVING min(col[{n + 1}]) <= {k}"""
+
+
+@query(weighted("anvul", "p_name", "p_partkey", "part", 3, 2, 3, 1))
+def amatch_weighted(spark, sf):
+    return table(spark, sf, "part").where(c.amatch("p_name", "anvul", 3, 2, 3, 1)).select("p_partkey")
+
+
+@query("SELECT doc_id FROM documents WHERE text LIKE '%thaned%the%'")
+def like_contains(spark, sf):
+    return search.search(table(spark, sf, "documents"), "text", "~~", "%thaned%the%").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%THANEDBLE%'")
+def ilike_contains(spark, sf):
+    return search.search(table(spark, sf, "documents"), "text", "~~*", "%THANEDBLE%").select("doc_id")
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(url, '^https?://[a-z.]+/(en|de)/[0-9]+([.]html)?$')")
+def regex_match(spark, sf):
+    return search.search(table(spark, sf, "pages"), "url", "~", "^https?://[a-z.]+/(en|de)/[0-9]+([.]html)?$").select("page_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)GNU (general|lesser) public')")
+def iregex_match(spark, sf):
+    return search.search(table(spark, sf, "documents"), "text", "~*", "GNU (general|lesser) public").select("doc_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def text_equal(spark, sf):
+    return search.search(table(spark, sf, "customer"), "c_mktsegment", "=", "BUILDING").select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name NOT LIKE '%an%' AND NOT regexp_matches(p_type, '^PROMO')")
+def not_like(spark, sf):
+    part = search.search(table(spark, sf, "part"), "p_name", "!~~", "%an%")
+    return search.search(part, "p_type", "!~", "^PROMO").select("p_partkey")
+
+
+# -- similarity of trigram sets ------------------------------------------------------------------
+
+_GRAMS = """list_distinct(flatten(list_transform(regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
+
+
+def sim_sql(a: str, b: str) -> str:
+    x, y = _GRAMS.format(x=a), _GRAMS.format(x=b)
+    return f"(SELECT CASE WHEN n + m - s > 0 THEN s / (n + m - s) ELSE 0 END FROM (SELECT CAST(len({x}) AS DOUBLE) AS n, CAST(len({y}) AS DOUBLE) AS m, CAST(len(list_intersect({x}, {y})) AS DOUBLE) AS s))"
+
+
+@query(f"SELECT p_partkey, round({sim_sql('p_name', 'p_type')}, 5) AS similarity FROM part")
+def trgm_similarity(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(t.trgm_similarity(F.col("p_name"), F.col("p_type")).cast("double"), 5).alias("similarity"))
+
+
+@query(f"SELECT n_nationkey, r_regionkey, round(1 - {sim_sql('n_name', 'r_name')}, 5) AS distance FROM nation, region")
+def trgm_distance(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    both = nation.join(region, F.lit(True))  # 25 by 5 rows, fixed tables
+    return both.select("n_nationkey", "r_regionkey", F.round(t.trgm_distance(F.col("n_name"), F.col("r_name")).cast("double"), 5).alias("distance"))
+
+
+@query(f"SELECT p_partkey FROM part WHERE {sim_sql('p_name', chr(39) + 'anvil widget' + chr(39))} >= 0.3")
+def trgm_sim_op(spark, sf):
+    return table(spark, sf, "part").where(t.trgm_sim_op(F.col("p_name"), F.lit("anvil widget"))).select("p_partkey")
+
+
+@query(f"SELECT s_suppkey, c_custkey, round({sim_sql('s_name', 'c_name')}, 5) AS similarity FROM supplier, customer WHERE {sim_sql('s_name', 'c_name')} >= 0.6")
+def similarity_join(spark, sf):
+    out = joins.similarity_join(table(spark, sf, "supplier"), table(spark, sf, "customer"), "s_name", "c_name", "s_suppkey", "c_custkey", 0.6)
+    return out.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
+
+
+@query()
+def word_similarity(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", c.word_similarity(F.lit("anvil"), F.col("p_name")).alias("similarity"))
+
+
+@query()
+def strict_word_similarity(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", c.strict_word_similarity(F.lit("anvil"), F.col("p_name")).alias("similarity"))
+
+
+@query()
+def word_distance(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", c.word_distance(F.lit("anvil"), F.col("p_name")).alias("distance"))
+
+
+@query()
+def strict_word_distance(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", c.strict_word_distance(F.lit("anvil"), F.col("p_name")).alias("distance"))
+
+
+@query()
+def word_sim_op(spark, sf):
+    return table(spark, sf, "part").where(c.word_sim_op(F.lit("anvils"), F.col("p_name"), 0.5)).select("p_partkey")
+
+
+@query()
+def strict_word_sim_op(spark, sf):
+    return table(spark, sf, "part").where(c.strict_word_sim_op(F.lit("anvils"), F.col("p_name"), 0.5)).select("p_partkey")
+
+
+# -- cost, distance and similarity of matches ----------------------------------------------------
+
+
+@query(f"SELECT p_partkey, {near('anvul', 'p_name', 2)} AS cost FROM part")
+def amatch_cost(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", c.amatch_cost("p_name", "anvul", 2).alias("cost"))
+
+
+@query(f"SELECT p_partkey, {near('widgit', 'p_name', 3)} AS dist FROM part")
+def distance_text(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", c.distance("p_name", "widgit", 3).alias("dist"))
+
+
+@query(f"SELECT c_custkey, {near('Customer#00001', 'c_name', 2)} AS dist FROM customer")
+def distance_pattern(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", c.distance("c_name", Pattern("Customer#00001", 2)).alias("dist"))
+
+
+@query(f"SELECT event_id FROM events WHERE {near('clikc', 'event_type', 2)} IS NOT NULL")
+def distance_not_null(spark, sf):
+    return table(spark, sf, "events").where(c.distance("event_type", "clikc@2").isNotNull()).select("event_id")
+
+
+def similarity_sql(word: str, text: str, k: int) -> str:
+    return f"round(coalesce(1 - {near(word, text, k)} / CAST(greatest(octet_length(encode({text})), {len(word.encode())}) AS DOUBLE), 0), 6)"
+
+
+@query(f"SELECT p_partkey, {similarity_sql('widgit', 'p_name', 3)} AS similarity FROM part")
+def similarity_text(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(c.similarity("p_name", "widgit", 3), 6).alias("similarity"))
+
+
+@query(f"SELECT p_partkey, {similarity_sql('anvul', 'p_name', 2)} AS similarity FROM part")
+def similarity_pattern(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(c.similarity("p_name", "anvul@2"), 6).alias("similarity"))
+
+
+@query(f"SELECT p_partkey, {near('anvul', 'p_name', 2)} AS cost FROM part WHERE {near('anvul', 'p_name', 2)} IS NOT NULL")
+def amatch_detail_cost(spark, sf):
+    found = table(spark, sf, "part").withColumn("d", c.amatch_detail("p_name", "anvul", 2))
+    return found.where("d IS NOT NULL").select("p_partkey", F.col("d.cost").alias("cost"))
+
+
+@query()
+def amatch_detail(spark, sf):
+    c.register(spark)
+    table(spark, sf, "part").createOrReplaceTempView("textsieve_part")
+    return spark.sql("SELECT p_partkey, d.* FROM textsieve_part, LATERAL amatch_detail(p_name, 'anvul', 2) d")
+
+
+# -- ranking -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, dist FROM {near_long(TYPO1, 1)} ORDER BY dist, doc_id LIMIT 10")
+def distance_topk(spark, sf):
+    return search.nearest(table(spark, sf, "documents"), "text", Pattern(TYPO1, 1), "doc_id", 10).select("doc_id", "dist")
+
+
+@query(f"""WITH d AS (SELECT role, conv_id, turn, {near('threats', 'substring(text, 1, 200)', 4)} AS dist FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY dist, conv_id, turn) AS rank FROM d WHERE dist IS NOT NULL)
+SELECT role, conv_id, turn, dist, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def topk_per_group(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("t", F.substring("text", 1, 200))
+    return search.nearest_by_group(rows, "t", Pattern("threats", 4), "role", ["conv_id", "turn"], 3).select("role", "conv_id", "turn", "dist", "rank")
+
+
+# -- composition ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, quality, toxic FROM {near_long(TYPO1, 1)} JOIN labels USING (doc_id)")
+def hybrid_join(spark, sf):
+    hits = table(spark, sf, "documents").where(c.amatch("text", TYPO1, 1)).select("doc_id")
+    return hits.join(table(spark, sf, "labels"), "doc_id").select("doc_id", "quality", "toxic")
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding, label FROM embeddings),
+q AS (SELECT embedding AS e FROM v WHERE vec_id = (SELECT min(vec_id) FROM v)),
+h AS (SELECT doc_id FROM {near_long(TYPO1, 1)}),
+s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) AS d FROM v, q WHERE vec_id IN (SELECT doc_id FROM h))
+SELECT vec_id, round(sqrt(d), 4) AS dist FROM s ORDER BY d, vec_id LIMIT 10""")
+def hybrid_vector_topk(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    first = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("e"))
+    hits = table(spark, sf, "documents").where(c.amatch("text", TYPO1, 1)).select(F.col("doc_id").alias("vec_id"))
+    both = vectors.join(hits, "vec_id", "left_semi").join(F.broadcast(first), F.lit(True))  # one row
+    d = F.aggregate(F.zip_with("embedding", "e", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
+    return both.withColumn("d", d).orderBy("d", "vec_id").limit(10).select("vec_id", F.round(F.sqrt("d"), 4).alias("dist"))
+
+
+@query(f"SELECT p_partkey, n_nationkey, dist FROM (SELECT p_partkey, n_nationkey, CASE WHEN d <= 2 THEN CAST(d AS INTEGER) END AS dist FROM (SELECT p_partkey, n_nationkey, least(len(w), list_min(list_transform(range(1, len(p_name) + 1), lambda s: list_min(list_transform(range(greatest(1, len(w) - 2), len(w) + 3), lambda l: levenshtein(w, substring(p_name, s, l))))))) AS d FROM part, (SELECT n_nationkey, lower(n_name) AS w FROM nation))) WHERE dist IS NOT NULL")
+def fuzzy_join(spark, sf):
+    words = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("w"))
+    return joins.fuzzy_join(table(spark, sf, "part"), words, "p_name", "w", 2, "p_partkey", "n_nationkey")
+
+
+@query(f"SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM {near_long(TYPO1, 1)})")
+def match_semi(spark, sf):
+    hits = table(spark, sf, "documents").where(c.amatch("text", TYPO1, 1))
+    return table(spark, sf, "labels").join(hits, "doc_id", "left_semi").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM {near_long(TYPO1, 1)})")
+def match_anti(spark, sf):
+    hits = table(spark, sf, "documents").where(c.amatch("text", TYPO1, 1))
+    return table(spark, sf, "labels").join(hits, "doc_id", "left_anti").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {near_long(TYPO1, 1)} EXCEPT SELECT doc_id FROM documents WHERE contains(text, '{WORD}')")
+def match_except(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.where(c.amatch("text", TYPO1, 1)).select("doc_id").subtract(docs.where(c.amatch("text", WORD, 0)).select("doc_id"))
+
+
+@query(f"SELECT doc_id FROM {near_long(TYPO1, 1)} UNION SELECT doc_id FROM documents WHERE text LIKE '%GNU General%'")
+def match_union(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.where(c.amatch("text", TYPO1, 1)).select("doc_id").unionByName(docs.where(c.like("text", "%GNU General%")).select("doc_id")).distinct()
+
+
+@query(f"SELECT DISTINCT lang, source FROM documents JOIN {near_long(TYPO1, 1)} USING (doc_id)")
+def distinct_matches(spark, sf):
+    return table(spark, sf, "documents").where(c.amatch("text", TYPO1, 1)).select("lang", "source").distinct()
+
+
+@query(f"SELECT lang, count(*) AS n, list_sort(list(doc_id)) [1] AS first_id FROM documents JOIN {near_long(TYPO1, 1)} USING (doc_id) GROUP BY lang")
+def match_count_by_group(spark, sf):
+    return table(spark, sf, "documents").where(c.amatch("text", TYPO1, 1)).groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query(f"SELECT source, count(*) AS n, count(dist) AS n_match, count(*) FILTER (WHERE contains(text, '{WORD}')) AS n_exact FROM documents LEFT JOIN {near_long(TYPO1, 1)} USING (doc_id) GROUP BY source")
+def match_filter_agg(spark, sf):
+    rows = table(spark, sf, "documents").select("source", c.amatch_cost("text", TYPO1, 1).alias("dist"), c.amatch("text", WORD, 0).alias("exact"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("dist").alias("n_match"), F.count_if("exact").alias("n_exact"))
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY dist, doc_id) AS place FROM (SELECT doc_id, dist FROM {near_long(TYPO1, 1)} ORDER BY dist, doc_id LIMIT 20)")
+def match_row_number(spark, sf):
+    top = search.nearest(table(spark, sf, "documents"), "text", Pattern(TYPO1, 1), "doc_id", 20)
+    return top.select("doc_id", F.row_number().over(W.orderBy("dist", "doc_id")).cast("long").alias("place"))  # of 20 rows
+
+
+# -- text forms and dumps ------------------------------------------------------------------------
+
+
+@query("SELECT 'textsieve 1.0.0' AS version")
+def version(spark, sf):
+    return spark.range(1).select(F.lit(c.version()).alias("version"))
+
+
+@query()
+def parse_debug(spark, sf):
+    patterns = ["a", "abc", "a|b", "a*", "a{2,5}", "(ab)+", ".", "^start", "end$", "[^0-9]", "a{~1}"]
+    return spark.createDataFrame([(p, c.parse_debug(p)) for p in patterns], "pattern string, tree string")
+
+
+@query()
+def extract_debug(spark, sf):
+    patterns = [("hello", 0), ("a|b|c", 0), (TYPO1, 1), (TYPO2, 2), ("(foo|bar)baz", 0)]
+    return spark.createDataFrame([(p, k, c.extract_debug(p, k)) for p, k in patterns], "pattern string, k int, formula string")
+
+
+@query("SELECT * FROM (VALUES ('abc', 'abc', 0), ('abc@1', 'abc', 1), ('abc@2:1,1,1', 'abc', 2), ('x@2:1,2,3', 'x', 2)) v(given, pattern, max_cost), LATERAL (SELECT CASE WHEN given = 'abc@2:1,1,1' THEN 'abc@2' ELSE given END AS shown)")
+def pattern_io(spark, sf):
+    given = spark.createDataFrame([("abc",), ("abc@1",), ("abc@2:1,1,1",), ("x@2:1,2,3",)], "given string")
+    made = given.withColumn("p", c.pattern_in(F.col("given")))
+    return made.select("given", F.col("p.pattern").alias("pattern"), F.col("p.max_cost").alias("max_cost"), c.pattern_out(F.col("p")).alias("shown"))
+
+
+# -- index ---------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+def _index(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> tuple[DataFrame, TrigramIndex]:
+    docs = table(spark, sf, "documents") if docs is None else docs
+    return docs, TrigramIndex.create(docs, _folder(spark), "doc_id", "text")
+
+
+RARE = "worthless"
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(text, '{RARE}')")
+def index_candidates_k0(spark, sf):
+    docs, index = _index(spark, sf)
+    return search.search(docs, "text", "%~~", RARE, index).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {near_long('worthliss', 1)}")
+def index_candidates_k1(spark, sf):
+    docs, index = _index(spark, sf)
+    return search.search(docs, "text", "%~~", "worthliss@1", index).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(text, '{RARE}')")
+def index_incremental(spark, sf):
+    docs = table(spark, sf, "documents")
+    _, index = _index(spark, sf, docs.where("doc_id % 3 = 0"))
+    index.append(docs.where("doc_id % 3 = 1"))
+    index.append(docs.where("doc_id % 3 = 2"))
+    index.compact()
+    return search.search(docs, "text", "~~", f"%{RARE}%", index).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(text, '{RARE}') AND doc_id % 2 = 1")
+def index_after_delete(spark, sf):
+    docs, index = _index(spark, sf)
+    index.delete(docs.where("doc_id % 2 = 0").select("doc_id"))
+    index.compact(all_runs=True)
+    return search.search(docs.where("doc_id % 2 = 1"), "text", "~", RARE, index).select("doc_id")
+
+
+@query("SELECT count(*) AS sample_rows, count(*) AS est_rows, CAST(sum(n) AS BIGINT) AS est_trigrams, round(sum(n) * 64 / 1048576.0, 3) AS est_temp_mb, round(sum(n) * 16 / 1048576.0, 3) AS est_index_mb FROM (SELECT len(list_distinct(list_transform(range(1, len(p_name) - 1), lambda i: substring(p_name, i, 3)))) AS n FROM part)")
+def estimate_index_build(spark, sf):
+    return estimate(table(spark, sf, "part"), "p_name", 1 << 30)
+
+
+@query()
+def run_catalog(spark, sf):
+    part = table(spark, sf, "part")
+    index = TrigramIndex.create(part.where("p_partkey % 2 = 0"), _folder(spark), "p_partkey", "p_name")
+    index.append(part.where("p_partkey % 2 = 1"))
+    return index.run_catalog()
+
+
+@query()
+def format_status(spark, sf):
+    return TrigramIndex.create(table(spark, sf, "part"), _folder(spark), "p_partkey", "p_name").format_status()
+
+
+@query()
+def index_histogram(spark, sf):
+    return TrigramIndex.create(table(spark, sf, "part"), _folder(spark), "p_partkey", "p_name").histogram()
