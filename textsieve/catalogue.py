@@ -46,8 +46,8 @@ def near_long(word: str, k: int, table_: str = "documents", key: str = "doc_id",
     """The same for long texts, as a table (key, dist): only words' surroundings with an unharmed piece are compared."""
     n, step = len(word), len(word) // (k + 1)
     cuts = [word[i * step : n if i == k else (i + 1) * step] for i in range(k + 1)]
-    hits = " UNION ALL ".join(f"SELECT {key}, {i * step} AS p0, unnest(list_filter(range(1, len({text}) + 1), lambda s: substring({text}, s, {len(p)}) = '{p}')) AS s, {text} AS x FROM {table_} WHERE contains({text}, '{p}')" for i, p in enumerate(cuts))
-    spans = f"SELECT {key}, substring(x, greatest(1, s - p0 - {k}), {n + 2 * k}) AS y FROM ({hits})"
+    around = lambda p, p0: f"right(array_to_string(list_slice(parts, 1, i), '{p}'), {p0 + k}) || '{p}' || left(array_to_string(list_slice(parts, i + 1, len(parts)), '{p}'), {n - p0 - len(p) + k})"
+    spans = " UNION ALL ".join(f"SELECT {key}, {around(p, i * step)} AS y FROM (SELECT {key}, parts, unnest(range(1, len(parts))) AS i FROM (SELECT {key}, string_split({text}, '{p}') AS parts FROM {table_} WHERE contains({text}, '{p}')))" for i, p in enumerate(cuts))
     cut = f"list_min(list_transform(range(1, len(y) + 1), lambda s: list_min(list_transform(range({max(1, n - k)}, {n + k + 1}), lambda l: levenshtein('{word}', substring(y, s, l))))))"
     return f"(SELECT {key}, CAST(min({cut}) AS INTEGER) AS dist FROM (SELECT DISTINCT * FROM ({spans})) GROUP BY {key} HAVING min({cut}) <= {k})"
 
@@ -153,9 +153,11 @@ def trgm_sim_op(spark, sf):
     return table(spark, sf, "part").where(t.trgm_sim_op(F.col("p_name"), F.lit("anvil widget"))).select("p_partkey")
 
 
-@query(f"SELECT s_suppkey, c_custkey, round({sim_sql('s_name', 'c_name')}, 5) AS similarity FROM supplier, customer WHERE {sim_sql('s_name', 'c_name')} >= 0.6")
+@query(f"SELECT s_suppkey, other, round({sim_sql('s_name', 'o_name')}, 5) AS similarity FROM supplier, (SELECT s_suppkey AS other, s_name AS o_name FROM supplier) WHERE {sim_sql('s_name', 'o_name')} >= 0.8")
 def similarity_join(spark, sf):
-    out = joins.similarity_join(table(spark, sf, "supplier"), table(spark, sf, "customer"), "s_name", "c_name", "s_suppkey", "c_custkey", 0.6)
+    supplier = table(spark, sf, "supplier")
+    other = supplier.select(F.col("s_suppkey").alias("other"), F.col("s_name").alias("o_name"))
+    out = joins.similarity_join(supplier, other, "s_name", "o_name", "s_suppkey", "other", 0.8)
     return out.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
@@ -278,10 +280,12 @@ def hybrid_vector_topk(spark, sf):
     return both.withColumn("d", d).orderBy("d", "vec_id").limit(10).select("vec_id", F.round(F.sqrt("d"), 4).alias("dist"))
 
 
-@query(f"SELECT p_partkey, n_nationkey, dist FROM (SELECT p_partkey, n_nationkey, CASE WHEN d <= 2 THEN CAST(d AS INTEGER) END AS dist FROM (SELECT p_partkey, n_nationkey, least(len(w), list_min(list_transform(range(1, len(p_name) + 1), lambda s: list_min(list_transform(range(greatest(1, len(w) - 2), len(w) + 3), lambda l: levenshtein(w, substring(p_name, s, l))))))) AS d FROM part, (SELECT n_nationkey, lower(n_name) AS w FROM nation))) WHERE dist IS NOT NULL")
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), p AS (SELECT p_partkey, p_name, word, least(len(word), list_min(list_transform(range(1, len(p_name) + 1), lambda s: list_min(list_transform(range(greatest(1, len(word) - 1), len(word) + 2), lambda l: levenshtein(word, substring(p_name, s, l))))))) AS d FROM part, w)
+SELECT p_partkey, word, CAST(d AS INTEGER) AS dist FROM p WHERE d <= 1""")
 def fuzzy_join(spark, sf):
-    words = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("w"))
-    return joins.fuzzy_join(table(spark, sf, "part"), words, "p_name", "w", 2, "p_partkey", "n_nationkey")
+    part = table(spark, sf, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().select("word", F.col("word").alias("w"))
+    return joins.fuzzy_join(part, words, "p_name", "w", 1, "p_partkey", "word")
 
 
 @query(f"SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM {near_long(TYPO1, 1)})")

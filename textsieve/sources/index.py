@@ -27,9 +27,14 @@ def characters(text: Column) -> Column:
 
 def windows(chars: Column, n: int) -> Column:
     """The distinct runs of n neighbouring elements, as texts."""
-    last = F.size(chars) - n
-    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
-    return F.when(last >= 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    def of(c: Column) -> Column:
+        last = F.size(c) - n
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
+        return F.when(last >= 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    # as a variable of a lambda, the characters are found once and not for each run
+    return F.get(F.transform(F.array(chars), of), F.lit(0))
 
 
 def grams(text: Column) -> Column:
