@@ -135,7 +135,7 @@ class TrigramIndex:
     def _write(self, postings: DataFrame, level: int, n_rows: int) -> Run:
         folder = f"run-{uuid.uuid4().hex}"
         # ranges of (gram, id), so that a gram that all rows have is dealt to several tasks
-        postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{self.root}/{folder}")
+        postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{self.root}/{folder}")
         n, low, high = self.spark.read.parquet(f"{self.root}/{folder}").agg(F.count("*"), F.min("gram"), F.max("gram")).first()
         return Run(self.catalogue.next_run, level, folder, n_rows, n, low, high)
 
