@@ -12,9 +12,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textsieve.shipping import ensure
+
 FORMAT = 1
 GRAM = 3
 EMISSION_SORT_BYTES, EMISSION_INDEX_BYTES = 64, 16
@@ -42,6 +46,34 @@ def grams(text: Column) -> Column:
     return F.when(text.isNotNull(), windows(characters(text), GRAM))
 
 
+def emissions(rows: DataFrame) -> DataFrame:
+    """(gram, id) for each distinct gram of each row of (id, text); null and short texts have none."""
+    ensure(rows.sparkSession)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own, found = [], []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    if text is None or len(text) < GRAM:
+                        continue
+                    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                    key = np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:])
+                    own.append(np.full(len(key), k))
+                    found.append(key)
+                if not own:
+                    continue
+                key = np.concatenate(found)
+                three = np.stack([key >> np.uint64(42), key >> np.uint64(21) & np.uint64(0x1FFFFF), key & np.uint64(0x1FFFFF)], 1)
+                text = three.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                grams_ = pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string())
+                yield pa.RecordBatch.from_arrays([grams_, part.column("id").take(pa.array(np.concatenate(own)))], ["gram", "id"])
+
+    return rows.mapInArrow(work, f"gram string, id {kind}")
+
+
 @dataclass
 class Run:
     run_id: int
@@ -143,12 +175,9 @@ class TrigramIndex:
         """Adds rows as a run of their own; null texts have no postings."""
         value = F.col(text or self.catalogue.text) if not isinstance(text, Column) else text
         rows = df.where(self.catalogue.where) if self.catalogue.where else df
-        own = rows.select(F.col(self.catalogue.key).alias("id"), grams(value).alias("g")).where("g IS NOT NULL")
-        if most_emissions is not None:
-            n = own.agg(F.sum(F.size("g"))).first()[0] or 0
-            if n > most_emissions:
-                raise ValueError(f"the index would have {n} postings, more than {most_emissions}")
-        postings = own.select("id", F.explode("g").alias("gram")).select("gram", "id").distinct()
+        postings = emissions(rows.select(F.col(self.catalogue.key).alias("id"), value.cast("string").alias("text")))
+        if most_emissions is not None and (n := postings.count()) > most_emissions:
+            raise ValueError(f"the index would have {n} postings, more than {most_emissions}")
         if self.catalogue.min_frequency > 1 and not self.catalogue.runs:
             often = postings.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= self.catalogue.min_frequency)
             postings = postings.join(often.select("gram"), "gram", "left_semi").select("gram", "id")
