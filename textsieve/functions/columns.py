@@ -37,9 +37,6 @@ def _check(pattern: str, k: int, max_states: int = nfa.MAX_STATES) -> nfa.Matche
     return nfa.compiled(pattern, max_states)
 
 
-_JAVA = set("\\[]{}^$&~-#") | set("()|*+?.")
-
-
 def java_regex(node: rx.Node) -> str | None:
     """The pattern for Java, if it means the same there."""
     match node:
