@@ -130,7 +130,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, column: str = "h
     several rows share has the windows of them all.  An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    column += "_" * (column in docs.columns)
+    while column in docs.columns:
+        column += "_"
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // block_bytes) or 1
