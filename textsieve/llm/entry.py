@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries that DuckDB can express.
-ORACLES: dict[str, str] = {"op4_revisits": revisit.ORACLE, "op6_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op4_revisits": revisit.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_repeats": runindex.ORACLE}

@@ -29,6 +29,8 @@ from textsieve.llm.staging import Staged, partitions
 from textsieve.shipping import ensure
 
 GRAM = 16
+#: Bytes of segments in one index, as far as anchors aren't cut apart.
+INDEX_BYTES = 1_500_000
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
 
@@ -37,7 +39,6 @@ def anchors(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ..
     """Place of each anchor, the first and the last window start that it stands for, and its hash."""
     n, width = len(buf), size - GRAM + 1
     out: list[tuple[np.ndarray, ...]] = []
-    last = np.repeat(off[1:], np.diff(off))
     block = 1 << 18
     power, inverse = tb._powers(tb._BASE, block + size), tb._powers(tb._INV, block + size)
     for b in range(0, max(0, n - size + 1), block):
@@ -54,7 +55,9 @@ def anchors(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ..
             have += step
         starts = np.arange(b, b + m - size + 1)
         place = (least & _LOW).astype(np.int64)
-        place[starts + size > last[starts]] = -1
+        i, j = np.searchsorted(off, [b, starts[-1]], "right")
+        last = np.repeat(off[i : j + 1], np.diff(np.concatenate([[b], off[i:j], [starts[-1] + 1]])))  # where each start's text ends
+        place[starts + size > last] = -1
         cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
         p = place[cut[:-1]]
         ok = p >= 0
@@ -79,71 +82,86 @@ class RunIndex:
     def __init__(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int):
         """Segment k is text[begin[k]:end[k]]; earlier segments come first among equal strings."""
         n = len(text)
-        self.size = size
-        self.text_end = np.repeat(end, end - begin)
-        rank = self._order(self._bytes(text, 8))
-        have = 8
-        while have * 2 <= size - 2:
-            rank = self._order(self._join(rank, have))
-            have *= 2
-        while have < size - 1:  # up to size - 1, whose intervals a window's extension to the left starts from
-            step = min(have, size - 1 - have)
-            rank = self._order(self._join(rank, step))
+        self.n, self.size = n, size
+        text_end = np.repeat(end, end - begin)
+        # ranks by the first 5 bytes, then by twice as many; 0 stands for what is past a segment's end
+        have = min(5, size - 1)
+        key = np.zeros(n, _U)
+        at = np.arange(n)
+        for i in range(have):
+            key <<= _U(8)
+            inside = at[: n - i] + i < text_end[: n - i]
+            key[: n - i] |= np.where(inside, text[i:], 0).astype(_U)
+        rank = self._ranks(*self._sorted(key, 8 * have))
+        while have < size - 1:
+            before, step = rank, min(have, size - 1 - have)
+            if 2 * have >= size - 1:
+                break
+            rank = self._ranks(*self._sorted(*self._join(before, step, text_end)))
             have += step
-        shorter = rank
-        full = self._order(self._join(self._order(self._bytes(text, 8)), 0) if size <= 8 else self._join(shorter, 1))
-        whole = np.arange(n) + size <= self.text_end
+        bits = int(rank.max()).bit_length() + 1 if n else 1
+        longer, _ = self._join(rank, size - have, text_end)  # size bytes, as 2 * have covers them
         # valid windows before shorter suffixes padded alike, then the order of segments
-        key = (full.astype(_U) << _U(33)) | ((~whole).astype(_U) << _U(32)) | np.arange(n, dtype=_U)
-        suffix = (np.sort(key) & _U(0xFFFFFFFF)).astype(np.int64)
+        whole = at + size <= text_end
+        suffix, same = self._sorted((longer << _U(1)) | (~whole).astype(_U), 2 * bits + 1)
+        new = np.concatenate([[True], (same[1:] >> _U(1)) != (same[:-1] >> _U(1))])
         self.row = np.empty(n, np.int64)
-        self.row[suffix] = np.arange(n)
+        self.row[suffix] = at
+        shorter, _ = self._join(rank, size - 1 - have, text_end)
+        less = shorter[suffix]
+        new_shorter = np.concatenate([[True], less[1:] != less[:-1]])
         start = np.zeros(n, bool)
         start[begin] = True
         bwt = np.where(start[suffix], 256, text[suffix - 1]).astype(np.int64)
         run = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         head, length = bwt[run], np.diff(np.append(run, n))
-        order = np.lexsort((run, head))
-        self.n = n
-        self.key, self.start, self.length = head[order] * (n + 1) + run[order], run[order], length[order]
+        order = np.argsort(head, kind="stable")
+        head = head[order]
+        self.key, self.start, self.length = head * (n + 1) + run[order], run[order], length[order]
         before = np.cumsum(self.length) - self.length
-        by_char = np.searchsorted(head[order], np.arange(258))
-        self.before = before - before[np.minimum(by_char[head[order]], len(before) - 1)]
-        self.by_char = by_char
-        counts = np.bincount(text, minlength=256)
+        self.by_char = np.searchsorted(head, np.arange(258))
+        self.before = before - before[np.minimum(self.by_char[head], len(before) - 1)]
         # rows by their first byte; segments' last bytes by themselves come first, as empty suffixes have no rows to come from
-        self.first = np.concatenate([[0], np.cumsum(counts)])[:256] + np.bincount(text[end - 1], minlength=256)
-        self.shorter = np.flatnonzero(np.concatenate([[True], shorter[suffix][1:] != shorter[suffix][:-1]]))
-        same = full[suffix]
-        self.group = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-        self.sample = suffix[self.group]  # text place of the earliest row of each string
-
-    def _bytes(self, text: np.ndarray, k: int) -> np.ndarray:
-        key = np.zeros(len(text), _U)
-        at = np.arange(len(text))
-        for i in range(k):
-            inside = at + i < self.text_end
-            value = np.zeros(len(text), _U)
-            value[inside] = text[at[inside] + i]
-            key = (key << _U(8)) | value
-        return key
-
-    def _join(self, rank: np.ndarray, step: int) -> np.ndarray:
-        """Keys by what stands at a place and `step` after it, 0 past the segment's end."""
-        at = np.arange(len(rank)) + step
-        after = np.zeros(len(rank), _U)
-        inside = at < self.text_end
-        after[inside] = rank[at[inside]].astype(_U) + _U(1)
-        return (rank.astype(_U) << _U(32)) | after
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])[:256] + np.bincount(text[end - 1], minlength=256)
+        self.group_low, self.group_high = self._bounds(new)
+        self.shorter_low, self.shorter_high = self._bounds(new_shorter)
+        self.sample = suffix[np.flatnonzero(new)]  # text place of the earliest row of each string
+        self.group = np.cumsum(new) - 1
+
+    @staticmethod
+    def _bounds(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First row, and one past the last, of each row's interval."""
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(new)))
+        return np.repeat(starts, size), np.repeat(starts + size, size)
 
     @staticmethod
-    def _order(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        s = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
+    def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order of their keys, equal keys in the order of places, and the keys in that order."""
+        room = max(1, (len(key) - 1).bit_length())
+        if bits + room <= 64:  # sorting values is several times as fast as sorting places
+            both = np.sort((key << _U(room)) | np.arange(len(key), dtype=_U))
+            return (both & _U((1 << room) - 1)).astype(np.int64), both >> _U(room)
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+
+    @staticmethod
+    def _ranks(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
         return rank
 
+    @staticmethod
+    def _join(rank: np.ndarray, step: int, text_end: np.ndarray) -> tuple[np.ndarray, int]:
+        """Keys by what stands at a place and `step` after it, 0 past the segment's end, and their bits."""
+        bits = int(rank.max()).bit_length() + 1 if len(rank) else 1
+        after = np.zeros(len(rank), _U)
+        n = len(rank) - step
+        if n > 0:
+            inside = np.arange(step, len(rank)) < text_end[:n]
+            after[:n] = np.where(inside, rank[step:] + 1, 0).astype(_U)
+        return (rank.astype(_U) << _U(bits)) | after, 2 * bits
+
     def occurrences(self, char: np.ndarray, row: np.ndarray) -> np.ndarray:
         """How often each char stands in the transform before each row."""
         i = np.searchsorted(self.key, char * (self.n + 1) + row) - 1
@@ -159,20 +177,14 @@ class RunIndex:
         leaving out the last byte and searching backwards for the next.
         """
         live = np.arange(len(last))
-        low = self.row[last]
-        g = np.searchsorted(self.group, low, "right") - 1
-        low, high = self.group[g], np.append(self.group, self.n)[g + 1]
+        low = self.group_low[self.row[last]]
+        high = self.group_high[low]
         step = 0
         while len(live):
-            g = np.searchsorted(self.group, low, "right") - 1
-            yield live, last[live] - step, self.sample[g]
+            yield live, last[live] - step, self.sample[self.group[low]]
             step += 1
             on = count[live] > step
-            live, low, high = live[on], low[on], high[on]
-            if not len(live):
-                return
-            w = np.searchsorted(self.shorter, low, "right") - 1
-            low, high = self.shorter[w], np.append(self.shorter, self.n)[w + 1]
+            live, low, high = live[on], self.shorter_low[low[on]], self.shorter_high[low[on]]
             char = text[last[live] - step].astype(np.int64)
             low, high = self.first[char] + self.occurrences(char, low), self.first[char] + self.occurrences(char, high)
 
@@ -232,12 +244,13 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     spark = docs.sparkSession
     ensure(spark)
     buckets = partitions(spark)
-    groups = 4 * buckets
+    groups, targets = 2 * buckets, buckets  # a group sends one binary to each target
     name = f"textsieve_{uuid.uuid4().hex}"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group"))
     own.repartition(buckets, "group").write.bucketBy(buckets, "group").saveAsTable(name)
-    held = spark.table(name)
     staged = Staged(spark)
+    staged.release()
+    held = spark.table(name)
 
     def texts(table: pa.Table):
         buf, off = tb.buffers(table.column("text"))
@@ -262,7 +275,7 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
             return _deal([])
         several = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
         h = s[cut]
-        part = (h % _U(groups)).astype(np.int64)
+        part = (h % _U(targets)).astype(np.int64)
         return _deal([(p, key[0].as_py(), _pack(h=h[i], several=several[i])) for p, i in _split(part)])
 
     def answer(key, table):
@@ -300,7 +313,7 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         doc = np.minimum.reduceat(id_[text[order]], cut)
         one = order[cut]
-        part = (h[one] % _U(groups)).astype(np.int64)
+        part = (h[one] % _U(targets)).astype(np.int64)
         rows = []
         for p, i in _split(part):
             a, n = low[one[i]], high[one[i]] + size - low[one[i]]
@@ -324,13 +337,17 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         one, least = order[new], ds[new]  # a variant's first row has its least document
         anchor = np.cumsum(np.concatenate([[True], hs[new][1:] != hs[new][:-1]])) - 1
         shared = np.bincount(anchor)[anchor] > 1  # a lone variant has no other to be matched with
-        mine = np.flatnonzero(shared)
-        mine = mine[np.argsort(least[mine], kind="stable")]
-        n = off[one[mine] + 1] - off[one[mine]]
-        end = np.cumsum(n)
-        data = text[np.repeat(off[one[mine]] - (end - n), n) + np.arange(int(n.sum()))]
         mask = np.zeros(len(one), _U)
-        mask[mine] = first_owners(data, end - n, end, least[mine], size)
+        some = np.flatnonzero(shared)
+        piece = np.cumsum(off[one[some] + 1] - off[one[some]]) // INDEX_BYTES if len(some) else some
+        piece = piece[np.searchsorted(anchor[some], anchor[some])]  # an anchor's segments are in one index
+        for k in np.unique(piece):
+            mine = some[piece == k]
+            mine = mine[np.argsort(least[mine], kind="stable")]
+            n = off[one[mine] + 1] - off[one[mine]]
+            end = np.cumsum(n)
+            data = text[np.repeat(off[one[mine]] - (end - n), n) + np.arange(int(n.sum()))]
+            mask[mine] = first_owners(data, end - n, end, least[mine], size)
         return _deal([(g, 0, _pack(h=h[i], s=s[i], doc=least[variant[i]], mask=mask[variant[i]])) for g, i in _split(group)])
 
     report = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
@@ -374,10 +391,27 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
 
     asked = held.groupBy("group").applyInArrow(announce, PARTS)
     told = asked.groupBy("to").applyInArrow(answer, PARTS)
-    sent = staged.put(held.groupBy("group").cogroup(told.groupBy("to")).applyInArrow(send, PARTS), "segments")
+    sent = held.groupBy("group").cogroup(told.groupBy("to")).applyInArrow(send, PARTS)
     judged = sent.groupBy("to").applyInArrow(judge, PARTS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
     out = staged.put(held.groupBy("group").cogroup(judged.groupBy("to")).applyInArrow(finish, schema), "report")
-    staged.drop("segments")
     spark.sql(f"DROP TABLE {name}")
     return out
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blk AS (SELECT doc_id, b, substring(h, 2000 * b + 1, 2098) AS x FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 999) // 1000)) AS b FROM d)),
+w AS (SELECT doc_id, 1000 * b + i AS p, substring(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, b, x, unnest(range(0, least(1000, len(x) // 2 - 49))) AS i FROM blk WHERE len(x) >= 100)),
+m AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, p FROM w JOIN m USING (s) WHERE f < doc_id),
+o AS (SELECT doc_id, p, lag(p) OVER v AS b, lead(p) OVER v AS n FROM g WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, sum(least(50, coalesce(n - p, 50))) AS n_removed, count(*) FILTER (WHERE b IS NULL OR p - b > 50) AS n_spans FROM o GROUP BY doc_id),
+e AS (SELECT doc_id, p + 50 AS a FROM o WHERE n IS NULL OR n - p > 50 UNION ALL SELECT doc_id, 0 FROM d),
+c AS (SELECT doc_id, p AS z FROM o WHERE b IS NULL OR p - b > 50 UNION ALL SELECT doc_id, len(h) // 2 FROM d),
+a AS (SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM e),
+z AS (SELECT doc_id, z, row_number() OVER (PARTITION BY doc_id ORDER BY z) AS k FROM c),
+t AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS kept FROM a JOIN z USING (doc_id, k) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
