@@ -287,6 +287,15 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_one_bucket_are_all_compared(spark):
+    rng = random.Random(12)
+    old, new = (["".join(rng.choice("bcdfgh") for _ in range(18)) for _ in range(120)] for _ in range(2))
+    chain = [" ".join(["word"] * 150 + new[:k] + old[k:]) for k in range(120)]  # all of one SimHash, each like a few others only
+    rows = [(i, line) for i, line in enumerate(rng.sample(chain, len(chain)))]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(table(spark, rows), similarity=0.99).collect()}
+    assert got == {i: int(i > 0) for i in range(120)}
+
+
 def test_decontamination(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(30)]

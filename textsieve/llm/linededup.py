@@ -22,10 +22,10 @@ MIN_WORDS = 5
 BITS = 3
 #: Lines of more characters are compared word by word, and may differ in at most WORD_EDITS words.
 LONG, WORD_EDITS = 2000, 1000
-#: Larger buckets are split before lines are compared.
-SMALL = 48
+#: Larger buckets are split before lines are compared, and there at first with the next WINDOW lines.
+SMALL, WINDOW = 48, 8
 _U = np.uint64
-RECORD = np.dtype([("key", "<u4"), ("sim", "<u8"), ("line", "<i8")])
+RECORD = np.dtype([("key", "<u4"), ("sim", "<u8"), ("line", "<i8"), ("group", "<i8")])
 
 
 def lines(buf: np.ndarray, off: np.ndarray):
@@ -77,39 +77,28 @@ def outline(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", F.col("text").cast("string")), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lines array<struct<n: int, line: long, sim: long>>")
 
 
-def close(sim: np.ndarray, line: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a leader and a line of a bucket whose SimHashes differ in BITS bits at most; every line is a leader or near one."""
-    led = np.zeros(len(sim), bool)
-    out = []
-    for i in range(len(sim)):
-        if led[i]:
-            continue
-        near = np.flatnonzero(np.bitwise_count(sim ^ sim[i]) <= BITS)
-        led[near] = True
-        out += [(int(line[i]), int(line[j])) for j in near if j != i]
-    return out
+def candidates(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of lines from (line, sim, group): SimHashes differ in three bits at most, groups differ.
 
-
-def candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines from (line, sim): SimHashes differ in three bits at most.
-
-    In each bucket, lines that are near one another are paired with a leader, so there are fewer
-    pairs than lines.  Records of 20 bytes travel in one binary for each batch and bucket range.
-    Where many lines share a block, buckets are split by a second pigeonhole over the other 48 bits.
-    Lines come in a fixed order, so a line leads in all its buckets or in few.
+    In turn 0, all pairs of small buckets are formed.  Buckets that many lines share are split by a
+    second pigeonhole over the other 48 bits; turn 0 pairs lines there that are at most WINDOW places
+    apart, turn 1 those at most ten times that, and turn 2 all others, so that lines which links
+    connect by then are left out.  A row (null, null) tells that a bucket has lines further apart.
+    Records of 28 bytes travel in one binary for each batch and bucket range.
     """
-    spark = distinct.sparkSession
+    spark = members.sparkSession
     parts = partitions(spark)
+    low, high = [(1, WINDOW + 1), (WINDOW + 1, 10 * WINDOW + 1), (10 * WINDOW + 1, 1 << 62)][turn]
 
     def split(batches):
         for batch in batches:
-            sim, line = (batch.column(c).to_numpy().copy() for c in ("sim", "line"))
+            sim, line, group = (batch.column(c).to_numpy().copy() for c in ("sim", "line", "group"))
             sim = sim.view(_U)
             record = np.empty(4 * len(sim), RECORD)
             for k in range(4):
                 mine = record[k * len(sim) : (k + 1) * len(sim)]
                 mine["key"] = (sim >> _U(16 * k) & _U(0xFFFF)) | _U(k << 16)
-                mine["sim"], mine["line"] = sim, line
+                mine["sim"], mine["line"], mine["group"] = sim, line, group
             part = tb.mix(record["key"].astype(_U)) % _U(parts)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
@@ -117,58 +106,47 @@ def candidates(distinct: DataFrame) -> DataFrame:
             record = record[order]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([record[ends[p] : ends[p + 1]].tobytes() for p in some], pa.binary())], ["part", "records"])
 
+    def within(own: np.ndarray, record: np.ndarray, first: int, last: int):
+        """Pairs of records of one bucket each, `first` to `last` - 1 places apart."""
+        for d in range(first, min(last, len(own))):
+            i = np.flatnonzero(own[d:] == own[:-d])
+            if not len(i):
+                break
+            i = i[(np.bitwise_count(record["sim"][i] ^ record["sim"][i + d]) <= BITS) & (record["group"][i] != record["group"][i + d])]
+            if len(i):
+                yield np.stack([record["line"][i], record["line"][i + d]], axis=1)
+
     def pairs(batches):
         blobs: list[bytes] = [b for batch in batches for b in batch.column("records").to_pylist()]
         record = np.frombuffer(b"".join(blobs), RECORD)
         record = record[np.lexsort((record["line"], record["key"]))]
-        cut = np.flatnonzero(np.concatenate([[True], record["key"][1:] != record["key"][:-1], [True]])) if len(record) else np.zeros(1, np.int64)
-        size = np.diff(cut)
-        sim, line = record["sim"].copy(), record["line"].copy()
-        own = np.repeat(np.arange(len(size)), size)
-        small = size <= SMALL
-        x, y = [], []
-        for d in range(1, SMALL):
-            i = np.flatnonzero((own[d:] == own[:-d]) & small[own[d:]]) if len(own) > d else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[np.bitwise_count(sim[i] ^ sim[i + d]) <= BITS]
-            x.append(i)
-            y.append(i + d)
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
-        # those with no near line before them lead all that are near them; who has no such leader follows the first near line
-        led = np.zeros(len(sim), bool)
-        led[y] = True
-        leads = ~led[x]
-        led[y[leads]] = False
-        rest = np.flatnonzero(led[y])
-        first = rest[np.lexsort((x[rest], y[rest]))]
-        first = first[np.concatenate([[True], y[first][1:] != y[first][:-1]])] if len(first) else first
-        take = np.concatenate([np.flatnonzero(leads), first])
-        found: list[tuple[int, int]] = list(zip(line[x[take]].tolist(), line[y[take]].tolist()))
-        for k in np.flatnonzero(~small):
-            s, n = sim[cut[k] : cut[k + 1]], line[cut[k] : cut[k + 1]]
-            block = int(record["key"][cut[k]] >> 16)
-            rest = np.zeros(len(s), _U)  # the 48 bits of the other blocks
-            for nth, b in enumerate(b for b in range(4) if b != block):
-                rest |= (s >> _U(16 * b) & _U(0xFFFF)) << _U(16 * nth)
-            for sub in range(4):
-                value = rest >> _U(12 * sub) & _U(0xFFF)
-                order = np.argsort(value, kind="stable")
-                v = value[order]
-                ends = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
-                for a, b in zip(ends[:-1], ends[1:]):
-                    if b - a > 1:
-                        found += close(s[order[a:b]], n[order[a:b]])
-            if len(found) > 100_000:
-                yield batch_of(found)
-                found = []
-        yield batch_of(found)
-
-    def batch_of(found):
-        both = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        key, own, size = np.unique(record["key"], return_inverse=True, return_counts=True)
+        small = (size <= SMALL)[own]
+        if not turn:
+            yield from map(batch_of, within(own[small], record[small], 1, SMALL))
+        own, record = own[~small], record[~small]
+        block = record["key"] >> 16
+        rest = np.zeros(len(own), _U)  # the 48 bits of the other blocks
+        for k in range(4):
+            mine = block == k
+            for nth, b in enumerate(b for b in range(4) if b != k):
+                rest[mine] |= (record["sim"][mine] >> _U(16 * b) & _U(0xFFFF)) << _U(16 * nth)
+        more = False
+        for sub in range(4):
+            bucket = own.astype(_U) << _U(12) | (rest >> _U(12 * sub) & _U(0xFFF))
+            order = np.argsort(bucket, kind="stable")
+            _, at, n = np.unique(bucket[order], return_inverse=True, return_counts=True)
+            wide = (n > low)[at]  # smaller ones are through
+            more |= bool((n > high).any())  # lines with `high` places or more between them
+            yield from map(batch_of, within(at[wide], record[order[wide]], low, high))
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, ["a", "b"])
+
+    def batch_of(found: np.ndarray) -> pa.RecordBatch:
+        both = np.sort(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return distinct.select("line", "sim").mapInArrow(split, "part int, records binary").repartition(parts, "part").mapInArrow(pairs, "a long, b long").where("a != b").distinct()
+    return members.select("line", "sim", "group").mapInArrow(split, "part int, records binary").repartition(parts, "part").mapInArrow(pairs, "a long, b long").distinct()
 
 
 def normalised(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -200,9 +178,15 @@ def removals(docs: DataFrame, similarity: float, staged: Staged) -> DataFrame:
     distinct = staged.put(each.groupBy("line").agg(F.min(F.struct("doc_id", "n")).alias("at"), F.min("sim").alias("sim"), F.count("*").alias("times")), "distinct")
     links = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
     linked = docs.sparkSession.createDataFrame([], links)
-    lines_of = None
-    near = staged.put(candidates(distinct), "pairs0")
-    for turn in range(2):
+    grouped = distinct.select("line", "sim", F.col("line").alias("group"))
+    before = []
+    roots = None
+    for turn in range(3):
+        found = staged.put(candidates(grouped, turn), f"pairs{turn}")
+        near = found.where("a IS NOT NULL")
+        for pairs in before:
+            near = near.join(pairs, ["a", "b"], "left_anti")
+        near = staged.put(near, f"near{turn}") if before else near
         ids = near.select(F.explode(F.array("a", "b")).alias("line")).distinct()
         wanted = distinct.join(ids, "line", "left_semi").groupBy("at.doc_id").agg(F.collect_list("at.n").alias("ns"))
         lines_of = staged.put(normalised(docs, wanted), f"lines{turn}")
@@ -218,15 +202,11 @@ def removals(docs: DataFrame, similarity: float, staged: Staged) -> DataFrame:
         ok = F.when(F.col("chars") <= LONG, alike | F.expr("levenshtein(a_.plain, b_.plain, room) >= 0")).otherwise(F.expr("levenshtein(a_.letters, b_.letters, word_room) >= 0"))
         judged = staged.put(both.select("a", "b", ok.alias("ok")), f"judged{turn}")
         linked = staged.put(linked.unionByName(judged.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))), f"linked{turn}")
-        if turn:
-            break
-        # lines unlike all leaders near them are compared among themselves, by leaders of their own
-        sides = judged.select(F.explode(F.array("a", "b")).alias("line"), "ok")
-        alone = sides.groupBy("line").agg(F.max("ok").alias("ok")).where("NOT ok").select("line")
-        near = staged.put(candidates(distinct.join(alone, "line", "left_semi")).join(near, ["a", "b"], "left_anti"), "pairs1")
-        if not near.head(1):
+        roots = components(linked, staged)
+        if not found.where("a IS NULL").head(1):
             break
-    roots = components(linked, staged)
+        before.append(judged.select("a", "b"))
+        grouped = distinct.join(roots, distinct["line"] == roots["u"], "left").select("line", "sim", F.coalesce("v", "line").alias("group"))
     group = distinct.join(roots, distinct["line"] == roots["u"], "left").select("line", F.coalesce("v", "line").alias("group"), "at", "times")
     kept = group.groupBy("group").agg(F.min("at").alias("kept"), F.sum("times").alias("times")).where("times > 1")
     goes = group.select("line", "group").join(kept, "group").select("line", "kept")
