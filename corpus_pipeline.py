@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out repeated lines; a document of which nothing is left goes."""
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, least=1)
     removed = out.columns[-1]
     out = out.where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)

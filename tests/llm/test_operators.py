@@ -296,6 +296,18 @@ def test_lines_of_one_bucket_are_all_compared(spark):
     assert got == {i: int(i > 0) for i in range(120)}
 
 
+def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
+    from textsieve.llm import entry
+
+    paragraph = "近くの山に登ると海がよく見えた。" * 20
+    rows = [(1, f"Read more\n{paragraph}\n***"), (2, f"{paragraph}\nread  MORE!\nkeep"), (3, "***\n\nRead more")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in entry.op5_line_dedup(spark, str(tmp_path)).collect()}
+    kept = {1: rows[0][1], 2: "keep", 3: "***\n"}
+    assert all(got[i].kept_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items())
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 2, 1]
+
+
 def test_decontamination(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(30)]

@@ -28,15 +28,15 @@ _U = np.uint64
 RECORD = np.dtype([("key", "<u4"), ("sim", "<u8"), ("line", "<i8"), ("group", "<i8")])
 
 
-def lines(buf: np.ndarray, off: np.ndarray):
-    """Of each line with MIN_WORDS words or more: its text, its number there, its first and one past its last word; and the words."""
+def lines(buf: np.ndarray, off: np.ndarray, least: int = MIN_WORDS):
+    """Of each line with `least` words or more: its text, its number there, its first and one past its last word; and the words."""
     begin, end, first = tb.runs(buf, off, tb.NOT_NEWLINE)
     text = tb.owner(first)
     breaks = np.flatnonzero(buf == 10)
     number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, off[:-1])[text]
     starts, ends, _ = tb.runs(buf, off, tb.ALNUM)
     a, b = np.searchsorted(starts, begin), np.searchsorted(starts, end)
-    ok = np.flatnonzero(b - a >= MIN_WORDS)
+    ok = np.flatnonzero(b - a >= least)
     return text[ok], number[ok], a[ok], b[ok], starts, ends
 
 
@@ -62,13 +62,13 @@ def line_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return tb.mix(exact + (b - a).astype(_U)), sim
 
 
-def outline(docs: DataFrame) -> DataFrame:
-    """doc_id and, for each of its lines with MIN_WORDS words or more, number, hash and SimHash."""
+def outline(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id and, for each of its lines with `least` words or more, number, hash and SimHash."""
     kind = pa.list_(pa.struct([("n", pa.int32()), ("line", pa.int64()), ("sim", pa.int64())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = tb.buffers(batch.column("text"))
-        text, number, a, b, starts, ends = lines(buf, off)
+        text, number, a, b, starts, ends = lines(buf, off, least)
         line, sim = line_hashes(tb.hash_spans(buf, starts, ends, tb.LOWER), a, b)
         inner = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64))], ["n", "line", "sim"])
         bounds = pa.array(np.searchsorted(text, np.arange(len(off))).astype(np.int32))
@@ -149,13 +149,13 @@ def candidates(members: DataFrame, turn: int) -> DataFrame:
     return members.select("line", "sim", "group").mapInArrow(split, "part int, records binary").repartition(parts, "part").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def normalised(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """line, its normalised text and the text with a letter for each word, for the lines numbered `ns` of the documents of `wanted`."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id").select("text", "ns")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = tb.buffers(batch.column("text"))
-        text, number, a, b, starts, ends = lines(buf, off)
+        text, number, a, b, starts, ends = lines(buf, off, least)
         h = tb.hash_spans(buf, starts, ends, tb.LOWER)
         ns = [set(x) for x in batch.column("ns").to_pylist()]
         take = np.array([n in ns[t] for t, n in zip(text.tolist(), number.tolist())], bool)
@@ -171,9 +171,9 @@ def normalised(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(rows, work, "line long, plain string, letters string").dropDuplicates(["line"])
 
 
-def removals(docs: DataFrame, similarity: float, staged: Staged) -> DataFrame:
+def removals(docs: DataFrame, similarity: float, staged: Staged, least: int) -> DataFrame:
     """doc_id and the numbers of its lines that go."""
-    seen = staged.put(outline(docs.where("doc_id IS NOT NULL")), "outlines")
+    seen = staged.put(outline(docs.where("doc_id IS NOT NULL"), least), "outlines")
     each = seen.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.n", "l.line", "l.sim")
     distinct = staged.put(each.groupBy("line").agg(F.min(F.struct("doc_id", "n")).alias("at"), F.min("sim").alias("sim"), F.count("*").alias("times")), "distinct")
     links = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
@@ -189,7 +189,7 @@ def removals(docs: DataFrame, similarity: float, staged: Staged) -> DataFrame:
         near = staged.put(near, f"near{turn}") if before else near
         ids = near.select(F.explode(F.array("a", "b")).alias("line")).distinct()
         wanted = distinct.join(ids, "line", "left_semi").groupBy("at.doc_id").agg(F.collect_list("at.n").alias("ns"))
-        lines_of = staged.put(normalised(docs, wanted), f"lines{turn}")
+        lines_of = staged.put(normalised(docs, wanted, least), f"lines{turn}")
         side = lambda k: lines_of.select(F.col("line").alias(k), F.struct("plain", "letters").alias(f"{k}_"))  # noqa: B023, E731
         both = near.join(side("a"), "a").join(side("b"), "b")
         longest = F.greatest(F.char_length("a_.plain"), F.char_length("b_.plain"))
@@ -214,10 +214,10 @@ def removals(docs: DataFrame, similarity: float, staged: Staged) -> DataFrame:
     return staged.put(gone.groupBy("doc_id").agg(F.collect_set("n").alias("ns")), "removals")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.9, column: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.9, column: str = "n_removed", least: int = MIN_WORDS) -> DataFrame:
     """All columns of docs, with text less the lines that go, and how many those are (0 if none).
 
-    Lines with fewer than MIN_WORDS words stay, as do rows without a doc_id and null texts.  Rows
+    Lines with fewer than `least` words stay (with 1, those without words), as do rows without a doc_id and null texts.  Rows
     that share a doc_id lose the same lines.  Text without a line to go is unchanged, byte for byte.
     """
     while column in docs.columns:
@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.9, column: str = "n_remov
     while going in docs.columns:
         going += "_"
     staged = Staged(docs.sparkSession)
-    gone = removals(docs, similarity, staged).withColumnRenamed("ns", going)
+    gone = removals(docs, similarity, staged, least).withColumnRenamed("ns", going)
     joined = docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
     lines_ = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     rest = F.array_join(F.transform(F.filter(lines_, lambda l: ~F.array_contains(going, l["i"])), lambda l: l["x"]), "\n")
