@@ -308,6 +308,17 @@ def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
     assert [got[i].n_removed for i in (1, 2, 3)] == [0, 2, 1]
 
 
+def test_long_lines_are_compared_by_characters(spark):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("bcdfgh") for _ in range(n))
+    short = [word(7) for _ in range(60)]
+    typos = [w[:-1] + "x" for w in short]  # a sixth of the words, 2 % of the characters
+    far = [[word(60) for _ in range(80)] for _ in range(2)]  # 7 % of the words, most characters
+    rows = [(1, "common " * 300 + " ".join(short)), (2, "common " * 300 + " ".join(typos)), (3, "ab " * 1000 + " ".join(far[0])), (4, "ab " * 1000 + " ".join(far[1]))]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_decontamination(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(30)]

@@ -20,8 +20,8 @@ from textsieve.llm.staging import Staged, map_batches, partitions
 
 MIN_WORDS = 5
 BITS = 3
-#: Lines of more characters are compared word by word, and may differ in at most WORD_EDITS words.
-LONG, WORD_EDITS = 2000, 1000
+#: For lines of more characters, FEW edits are tried before all that are allowed.
+LONG, FEW = 2000, 64
 #: Larger buckets are split before lines are compared, and there at first with the next WINDOW lines.
 SMALL, WINDOW = 48, 8
 _U = np.uint64
@@ -150,7 +150,7 @@ def candidates(members: DataFrame, turn: int) -> DataFrame:
 
 
 def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """line, its normalised text and the text with a letter for each word, for the lines numbered `ns` of the documents of `wanted`."""
+    """line and its normalised text, for the lines numbered `ns` of the documents of `wanted`."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id").select("text", "ns")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,14 +161,12 @@ def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
         take = np.array([n in ns[t] for t, n in zip(text.tolist(), number.tolist())], bool)
         a, b = a[take], b[take]
         line, _ = line_hashes(h, a, b)
-        letter = (h % _U(0xD000) + _U(0x400)).astype(np.uint16)
-        plain, short = [], []
+        plain = []
         for i, j in zip(a.tolist(), b.tolist()):
             plain.append(b" ".join(buf[s:e].tobytes() for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())).lower().decode("utf-8", "replace"))
-            short.append(letter[i:j].tobytes().decode("utf-16-le"))
-        return pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array(plain, pa.string()), pa.array(short, pa.string())], ["line", "plain", "letters"])
+        return pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array(plain, pa.string())], ["line", "plain"])
 
-    return map_batches(rows, work, "line long, plain string, letters string").dropDuplicates(["line"])
+    return map_batches(rows, work, "line long, plain string").dropDuplicates(["line"])
 
 
 def removals(docs: DataFrame, similarity: float, staged: Staged, least: int) -> DataFrame:
@@ -190,16 +188,16 @@ def removals(docs: DataFrame, similarity: float, staged: Staged, least: int) ->
         ids = near.select(F.explode(F.array("a", "b")).alias("line")).distinct()
         wanted = distinct.join(ids, "line", "left_semi").groupBy("at.doc_id").agg(F.collect_list("at.n").alias("ns"))
         lines_of = staged.put(normalised(docs, wanted, least), f"lines{turn}")
-        side = lambda k: lines_of.select(F.col("line").alias(k), F.struct("plain", "letters").alias(f"{k}_"))  # noqa: B023, E731
+        side = lambda k: lines_of.select(F.col("line").alias(k), F.col("plain").alias(f"{k}_"))  # noqa: B023, E731
         both = near.join(side("a"), "a").join(side("b"), "b")
-        longest = F.greatest(F.char_length("a_.plain"), F.char_length("b_.plain"))
-        words = F.greatest(F.char_length("a_.letters"), F.char_length("b_.letters"))
-        slack = 1 - similarity
-        both = both.withColumn("chars", longest).withColumn("room", F.floor(slack * longest + 1e-9).cast("int")).withColumn("word_room", F.least(F.floor(slack * words + 1e-9), F.lit(WORD_EDITS)).cast("int"))
+        longest = F.greatest(F.char_length("a_"), F.char_length("b_"))
+        both = both.withColumn("chars", longest).withColumn("room", F.floor((1 - similarity) * longest + 1e-9).cast("int"))
         # words at equal places that differ, counted with all their characters, bound the distance from above
-        differ = F.zip_with(F.split("a_.plain", " "), F.split("b_.plain", " "), lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.char_length(p), F.char_length(q), F.lit(0))))
-        alike = (F.char_length("a_.letters") == F.char_length("b_.letters")) & (F.aggregate(differ, F.lit(0), lambda p, q: p + q) <= F.col("room"))
-        ok = F.when(F.col("chars") <= LONG, alike | F.expr("levenshtein(a_.plain, b_.plain, room) >= 0")).otherwise(F.expr("levenshtein(a_.letters, b_.letters, word_room) >= 0"))
+        differ = F.zip_with("p", "q", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.char_length(p), F.char_length(q), F.lit(0))))
+        both = both.withColumn("p", F.split("a_", " ")).withColumn("q", F.split("b_", " "))
+        alike = (F.size("p") == F.size("q")) & (F.aggregate(differ, F.lit(0), lambda p, q: p + q) <= F.col("room"))
+        few = (F.col("chars") > LONG) & F.expr(f"levenshtein(a_, b_, least(room, {FEW})) >= 0")
+        ok = alike | few | F.expr("levenshtein(a_, b_, room) >= 0")
         judged = staged.put(both.select("a", "b", ok.alias("ok")), f"judged{turn}")
         linked = staged.put(linked.unionByName(judged.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))), f"linked{turn}")
         roots = components(linked, staged)
