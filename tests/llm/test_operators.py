@@ -157,6 +157,28 @@ def test_near_duplicates(spark, texts):
     assert minhash.near_duplicates(table(spark, [(None, "a b c"), (None, None)])).where("class_id IS NULL").count() == 2
 
 
+def near_pairs(rng, n, words):
+    """n pairs of texts of similarity 0.8 or a little more: they differ in words at one end."""
+    new = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    for _ in range(n):
+        base = new(words)
+        yield " ".join(base), " ".join(base[: -(words // 10)] + new(words // 10))
+
+
+def test_pairs_that_agree_in_bytes_of_an_earlier_band(spark):
+    """Bands whose registers have equal bytes, but differ, are no earlier meeting."""
+    pairs = list(near_pairs(random.Random(16), 4000, 60))
+    flat = pa.array([t for pair in pairs for t in pair])
+    bits = minhash.signatures(*minhash.bags(flat), len(flat)).view(np.uint64)
+    same = lambda v: (v[::2] == v[1::2]).reshape(len(pairs), minhash.BANDS, minhash.ROWS).all(2)
+    true, small = same(bits), same(textbytes.mix(bits).astype(np.uint8))
+    chosen = np.flatnonzero(true.any(1) & (small.argmax(1) < true.argmax(1)))
+    assert len(chosen)
+    rows = list(enumerate(t for k in chosen for t in pairs[k]))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(200, 201 + k) for k in range(30)]

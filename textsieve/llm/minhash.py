@@ -22,6 +22,8 @@ from textsieve.shipping import ensure
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
+#: Bytes of a sketch: one for each register and eight for each band key.
+WIDTH = BANDS * ROWS + 8 * BANDS
 _U = np.uint64
 
 
@@ -94,7 +96,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, a fingerprint (p, q) of its bag, its band keys, null for an empty bag, and a byte of each register."""
+    """doc_id, a fingerprint (p, q) of its bag, its band keys, null for an empty bag, and a byte of each register with the band keys after them."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
@@ -113,8 +115,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             key = tb.mix(key + bits[:, :, k])
         keys = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
         keys = pa.array([None if e else k for e, k in zip(empty, keys.to_pylist())], pa.list_(pa.int64())) if empty.any() else keys
-        small = tb.mix(bits.reshape(n, -1)).astype(np.uint8)
-        small = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BANDS * ROWS), n, [None, pa.py_buffer(small)]).cast(pa.binary())
+        small = np.concatenate([tb.mix(bits.reshape(n, -1)).astype(np.uint8), key.view(np.uint8).reshape(n, -1)], axis=1)
+        small = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), n, [None, pa.py_buffer(small)]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *prints, keys, small], ["doc_id", "p", "q", "keys", "registers"])
 
     return map_batches(docs.select("doc_id", F.col("text").cast("string")), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, p long, q long, keys array<long>, registers binary")
@@ -177,8 +179,8 @@ class Forest:
             self.links.append((x, y))
 
 
-#: Registers that agree, less than which bags of similarity 0.8 practically never have: 3.7 standard deviations.
-SLACK = 0.15
+#: Registers that agree, less than which bags of similarity 0.8 practically never have: 6 standard deviations.
+SLACK = 0.25
 BLOCK = 2048
 
 
@@ -198,7 +200,8 @@ def verified(members: DataFrame, least: float) -> DataFrame:
         group = tb.mix(table.column("key").to_numpy().view(_U) + table.column("block").to_numpy().astype(_U))
         order = np.argsort(group, kind="stable")
         group = group[order]
-        sketch = np.frombuffer(tb.buffers(table.column("sketch"))[0], np.uint8).reshape(-1, BANDS * ROWS)[order]
+        sketch = np.frombuffer(tb.buffers(table.column("sketch"))[0], np.uint8).reshape(-1, WIDTH)[order]
+        sketch, keys = sketch[:, : BANDS * ROWS], sketch[:, BANDS * ROWS :].copy().view(_U)
         bag = table.column("bag").combine_chunks()
         band, cut_up = table.column("band").to_numpy()[order], table.column("cut_up").to_numpy()[order]
         cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
@@ -211,7 +214,7 @@ def verified(members: DataFrame, least: float) -> DataFrame:
             same = sketch[x] == sketch[y]
             share = same.mean(1, dtype=np.float32)
             ok = np.flatnonzero(share >= least - SLACK)
-            early = same[ok].reshape(len(ok), BANDS, ROWS).all(2).argmax(1) < band[x[ok]]
+            early = (keys[x[ok]] == keys[y[ok]]).argmax(1) < band[x[ok]]
             ok = ok[~early | cut_up[x[ok]] | cut_up[y[ok]]]
             return x[ok], y[ok], share[ok]
 
