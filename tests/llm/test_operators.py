@@ -165,6 +165,13 @@ def near_pairs(rng, n, words):
         yield " ".join(base), " ".join(base[: -(words // 10)] + new(words // 10))
 
 
+def test_pairs_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 0.01)  # every bucket is dealt into hundreds of blocks
+    rows = list(enumerate(t for pair in near_pairs(random.Random(15), 40, 60) for t in pair))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_pairs_that_agree_in_bytes_of_an_earlier_band(spark):
     """Bands whose registers have equal bytes, but differ, are no earlier meeting."""
     pairs = list(near_pairs(random.Random(16), 4000, 60))

@@ -189,8 +189,11 @@ def verified(members: DataFrame, least: float) -> DataFrame:
 
     Members are compared by their registers, and where those allow, the likeliest first, by their
     bags, unless links that were verified connect them already.  A pair that meets in several bands
-    is compared in the first of them, unless one of them was in a bucket dealt into blocks.
+    is compared in the first of them, unless one of them was in a bucket dealt into blocks.  With a
+    column `root`, a group has two blocks, members of one root are connected, and pairs within a
+    block are left out.
     """
+    cross = "root" in members.columns
 
     def work(batches):
         rows = [pa.Table.from_batches([b]) for b in batches]
@@ -208,14 +211,25 @@ def verified(members: DataFrame, least: float) -> DataFrame:
         size = np.diff(cut)
         own = np.repeat(np.arange(len(size)), size)
         forest = Forest(len(own))
+        side = table.column("side").to_numpy()[order] if cross else np.arange(len(own))
+        if cross:
+            root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()[order]
+            first: dict[tuple[int, int], int] = {}
+            forest.up = [first.setdefault(pair, i) for i, pair in enumerate(zip(own.tolist(), root.tolist()))]
+            root = np.array(forest.up, np.int64)
+        else:
+            root = np.arange(len(own))
 
         def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Pairs whose registers allow it and that no earlier band has, and the share that agrees."""
+            if cross:
+                apart = (side[x] != side[y]) & (root[x] != root[y])
+                x, y = x[apart], y[apart]
             same = sketch[x] == sketch[y]
             share = same.mean(1, dtype=np.float32)
             ok = np.flatnonzero(share >= least - SLACK)
             early = (keys[x[ok]] == keys[y[ok]]).argmax(1) < band[x[ok]]
-            ok = ok[~early | cut_up[x[ok]] | cut_up[y[ok]]]
+            ok = ok[~early if cross else ~early | cut_up[x[ok]] | cut_up[y[ok]]]
             return x[ok], y[ok], share[ok]
 
         def verify(x: np.ndarray, y: np.ndarray) -> None:
@@ -239,8 +253,8 @@ def verified(members: DataFrame, least: float) -> DataFrame:
             while len(x):
                 verify(x[:step], y[:step])
                 x, y = x[step:], y[step:]
-                root = np.array([forest.find(i) for i in range(a, b)])
-                apart = root[x - a] != root[y - a]
+                now = np.array([forest.find(i) for i in range(a, b)])
+                apart = now[x - a] != now[y - a]
                 x, y, step = x[apart], y[apart], min(2 * step, 1 << 14)
         node = table.column("b").combine_chunks()
         links = order[np.array(forest.links, np.int64).reshape(-1, 2)]
@@ -249,7 +263,20 @@ def verified(members: DataFrame, least: float) -> DataFrame:
     ensure(members.sparkSession)
     kind = members.schema["b"].dataType.simpleString()
     parts = 2 * partitions(members.sparkSession)
-    return members.select("key", "block", "band", "cut_up", "b", "sketch", "bag").repartition(parts, "key", "block").mapInArrow(work, f"u {kind}, v {kind}")
+    return members.select("key", "block", "band", "cut_up", "b", "sketch", "bag", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(work, f"u {kind}, v {kind}")
+
+
+def across(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of two blocks each of buckets that were dealt into blocks, once for each two blocks that links don't connect already.
+
+    Two blocks are number `block`, and a member's own is its `side`.
+    """
+    cut = met.where(F.col("n") > BLOCK).join(roots, F.col("b") == F.col("u"), "left").select("key", "b", "band", "block", F.coalesce("v", "b").alias("root"))
+    ends = cut.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    i, j = (ends.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high"))) for k in "ij")
+    two = i.join(j, "key").where("block_i < block_j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)")
+    two = two.select("key", F.hash("block_i", "block_j").alias("pair"), F.explode(F.array("block_i", "block_j")).alias("side"))
+    return cut.withColumnRenamed("block", "side").join(two, ["key", "side"]).withColumnRenamed("pair", "block")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -258,7 +285,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Documents of equal bags are one node.  Only nodes that share a band bucket with another have
     their bags dealt to their buckets, where pairs are verified; a bucket returns at most one link
     less than it has members.  A bucket of more than BLOCK members is dealt into blocks anew for
-    each band, and pairs are compared in blocks.  Classes are the connected components of verified
+    each band; pairs are compared in blocks, and then those of every two blocks that no links
+    connect.  Classes are the connected components of verified
     links.  A null or empty text is linked to nothing and is its own class; wordless texts are linked
     if they are equal.  Rows that share a doc_id are one document.  A null doc_id has a null class.
     """
@@ -285,6 +313,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     links = staged.put(verified(members, least), "links")
     staged.release()
     roots = components(links, staged)
+    if met.where(F.col("n") > BLOCK).head(1):
+        rest = staged.put(across(met, roots), "across")
+        if rest.head(1):
+            others = staged.put(verified(rest.join(ids, "b").join(sketches, "b").join(bag, "b"), least), "links_across")
+            staged.release()
+            roots = components(links.unionByName(others), staged)
     classes = nodes.join(roots, nodes["node"] == roots["u"], "left").select("p", "q", F.coalesce("v", "node").alias("class_id"))
     own = found.select("doc_id", F.when(F.col("keys").isNotNull(), F.col("p")).alias("p"), F.when(F.col("keys").isNotNull(), F.col("q")).alias("q"))
     out = own.join(classes, ["p", "q"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
