@@ -219,6 +219,13 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(none)).collect()} == {"und"}
 
 
+def test_no_language_is_left_out(spark):
+    rows = [(k * 100 + i, f"w{chr(97 + k // 26)}{chr(97 + k % 26)} " * 9, f"l{k}") for k in range(70) for i in range(4)]
+    rows += [(9000 + i, "zzyx qqvj " * 900, "long") for i in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.langs) == {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
 def test_revisits(spark):
     def record(i, url, ts, kind, etag=None, modified=None, headers=None):
         return (i, url, ts, kind, etag, modified, f"d{i}" if kind == "response" else None, headers or None, "more")

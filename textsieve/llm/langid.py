@@ -78,16 +78,21 @@ def train(texts: list[str], langs: list[str], landmarks: int = 24, width: int =
 
 
 def fit(docs: DataFrame, most: int = 250, longest: int = 1 << 13, langs: int = 64) -> Model:
-    """Learns from at most `most` documents, of at most `longest` bytes, of each of the `langs` most frequent languages.
+    """Learns from at most `most` documents, of at most `longest` bytes, of each language; with more than `langs` languages, from fewer of each.
 
-    Rows whose crc32(doc_id) mod 3 is 1 are held out.
+    Of a language whose texts all are longer, the shortest are taken, a tenth as many.  Rows whose
+    crc32(doc_id) mod 3 is 1 are held out.
     """
-    own = docs.where(F.col("lang").isNotNull() & (remainder(3) != 1) & (F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
-    names = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).select("lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.join(F.broadcast(names), "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("doc_id", "rank").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.octet_length("text") <= longest)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values(["rank", "doc_id"], kind="stable")
-    return train(rows["text"].tolist(), rows["lang"].tolist())
+    size = F.octet_length("text")
+    own = docs.where(F.col("lang").isNotNull() & (remainder(3) != 1) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", size.alias("size"))
+    names = own.groupBy("lang").agg((F.min("size") > longest).alias("wordy"))
+    many = max(1, names.count() / langs)
+    each = max(1, int(most / many))
+    room = F.when(F.col("wordy"), max(1, each // 10)).otherwise(each)
+    order = W.partitionBy("lang").orderBy(F.when(F.col("wordy"), F.col("size")), F.xxhash64("doc_id"), "doc_id")
+    ids = own.join(F.broadcast(names), "lang").where(F.col("wordy") | (F.col("size") <= longest)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= room).select("doc_id", "rank", "size").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text", "lang", size.alias("size")).where(F.col("lang").isNotNull()).join(F.broadcast(ids), ["doc_id", "size"]).dropDuplicates(["doc_id"]).toPandas().sort_values(["rank", "doc_id"], kind="stable")
+    return train(rows["text"].tolist(), rows["lang"].tolist(), landmarks=max(1, int(24 / many)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
