@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textsieve.llm import components, decontam, langid, linededup, minhash, packing, quality, revisit, rules, runindex, textbytes, toxicity, wordbpe
+from textsieve.llm import components, decontam, langid, minhash, packing, quality, revisit, rules, runindex, textbytes, toxicity, wordbpe
 from textsieve.llm.staging import Staged
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -267,94 +267,6 @@ def test_warc_files(spark, tmp_path):
     assert got["2"].verdict == "resolved" and got["2"].digest == hashlib.sha1(b"hello").hexdigest()
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, last = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
-
-
-def test_line_dedup(spark):
-    rng = random.Random(11)
-    pool = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(2, 40))) for _ in range(25)]
-    pool += [p + "s" for p in pool[:10]] + [p.replace("a", "e", 1) for p in pool[:10]]
-    rows = [(i, "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randint(0, 8)))) for i in range(40)]
-    rows += [(50, None), (51, ""), (52, "a b\r\n" + pool[0].upper() + "\n"), (53, pool[24] * 400), (54, pool[24] * 400 + " x"), (None, pool[0])]
-    got = {r.doc_id: r for r in linededup.dedup_lines(table(spark, rows)).collect()}
-    seen = {}
-    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        for n, line in enumerate((t or "").split("\n")):
-            w = tuple(WORD.findall(line.encode().lower()))
-            if len(w) >= 5:
-                seen.setdefault(w, []).append((i, n))
-    keys = list(seen)
-    plain = [b" ".join(k).decode() for k in keys]
-    sims = []
-    for p in plain:
-        buf, off = textbytes.buffers(pa.array([p]))
-        _, _, a, b, s, e = linededup.lines(buf, off)
-        sims.append(int(linededup.line_hashes(textbytes.hash_spans(buf, s, e, textbytes.LOWER), a, b)[1][0]))
-    up = list(range(len(keys)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i in range(len(keys)):
-        for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= 3:
-                long = max(len(plain[i]), len(plain[j])) > linededup.LONG
-                x, y = (keys[i], keys[j]) if long else (plain[i], plain[j])
-                if levenshtein(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9):
-                    up[find(i)] = find(j)
-    gone = {}
-    groups = {}
-    for k, key in enumerate(keys):
-        groups.setdefault(find(k), []).extend(seen[key])
-    for places in groups.values():
-        for i, n in sorted(places)[1:]:
-            gone.setdefault(i, set()).add(n)
-    for i, t in rows:
-        want = t if i is None or t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ()))
-        assert got[i].text == want and got[i].n_removed == len(gone.get(i, ()))
-    assert linededup.dedup_lines(empty(spark)).count() == 0
-
-
-def test_lines_of_one_bucket_are_all_compared(spark):
-    rng = random.Random(12)
-    old, new = (["".join(rng.choice("bcdfgh") for _ in range(18)) for _ in range(120)] for _ in range(2))
-    chain = [" ".join(["word"] * 150 + new[:k] + old[k:]) for k in range(120)]  # all of one SimHash, each like a few others only
-    rows = [(i, line) for i, line in enumerate(rng.sample(chain, len(chain)))]
-    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(table(spark, rows), similarity=0.99).collect()}
-    assert got == {i: int(i > 0) for i in range(120)}
-
-
-def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
-    from textsieve.llm import entry
-
-    paragraph = "近くの山に登ると海がよく見えた。" * 20
-    rows = [(1, f"Read more\n{paragraph}\n***"), (2, f"{paragraph}\nread  MORE!\nkeep"), (3, "***\n\nRead more")]
-    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in entry.op5_line_dedup(spark, str(tmp_path)).collect()}
-    kept = {1: rows[0][1], 2: "keep", 3: "***\n"}
-    assert all(got[i].kept_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items())
-    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 2, 1]
-
-
-def test_long_lines_are_compared_by_characters(spark):
-    rng = random.Random(14)
-    word = lambda n: "".join(rng.choice("bcdfgh") for _ in range(n))
-    short = [word(7) for _ in range(60)]
-    typos = [w[:-1] + "x" for w in short]  # a sixth of the words, 2 % of the characters
-    far = [[word(60) for _ in range(80)] for _ in range(2)]  # 7 % of the words, most characters
-    rows = [(1, "common " * 300 + " ".join(short)), (2, "common " * 300 + " ".join(typos)), (3, "ab " * 1000 + " ".join(far[0])), (4, "ab " * 1000 + " ".join(far[1]))]
-    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(table(spark, rows)).collect()}
-    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
-
-
 def test_decontamination(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(30)]

@@ -1,34 +1,40 @@
 """Fuzzy line deduplication.
 
 A line is normalised to its words.  Equal lines are one; of different ones, the 64-bit
-SimHashes of their words are joined on four blocks of 16 bits, one of which two hashes
-share if they differ in three bits at most, and edit similarity decides.  Of each
-connected group of lines, the first occurrence in the order of (doc_id, line) stays.
+SimHashes of their words are joined on pigeonhole blocks: of m blocks of bits, two hashes
+that differ in BITS bits at most share m - BITS, and each choice of so many blocks is a
+table of buckets.  A pair is compared in the first table in which it meets, by its edit
+similarity in characters.  Of each connected group of lines, the first occurrence in the
+order of (doc_id, line) stays.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textsieve.llm import textbytes as tb
+from textsieve.llm.buckets import BLOCK, Forest, Sides, across, block_of, tasks, unite_groups
 from textsieve.llm.components import components
-from textsieve.llm.staging import Staged, map_batches, partitions
-
-MIN_WORDS = 5
-BITS = 3
-#: For lines of more characters, FEW edits are tried before all that are allowed.
-LONG, FEW = 2000, 64
-#: Larger buckets are split before lines are compared, and there at first with the next WINDOW lines.
-SMALL, WINDOW = 48, 8
+from textsieve.llm.editsim import Compared, spans
+from textsieve.llm.staging import Staged, map_batches
+from textsieve.naming import free
+from textsieve.shipping import ensure
+
+BITS = 6
+#: Hashes in a bucket, about, beyond which the 64 bits are cut into more blocks, which finds the same pairs.
+DENSE = 2048
+#: A word of more bytes counts as its windows of PIECE bytes, so that scripts without spaces have several features.
+LONG_WORD, PIECE = 24, 9
 _U = np.uint64
-RECORD = np.dtype([("key", "<u4"), ("sim", "<u8"), ("line", "<i8"), ("group", "<i8")])
+RECORD = np.dtype([("table", "u1"), ("sim", "<u8")])
 
 
-def lines(buf: np.ndarray, off: np.ndarray, least: int = MIN_WORDS):
+def lines(buf: np.ndarray, off: np.ndarray, least: int = 1):
     """Of each line with `least` words or more: its text, its number there, its first and one past its last word; and the words."""
     begin, end, first = tb.runs(buf, off, tb.NOT_NEWLINE)
     text = tb.owner(first)
@@ -40,26 +46,40 @@ def lines(buf: np.ndarray, off: np.ndarray, least: int = MIN_WORDS):
     return text[ok], number[ok], a[ok], b[ok], starts, ends
 
 
-def line_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHashes of groups of size[i] > 0 neighbouring hashes: the bits that most of them have."""
+    if not len(size):
+        return np.zeros(0, _U)
+    pieces = -(-size // 255)  # eight counters in a word hold up to 255
+    group = np.cumsum(pieces) - pieces
+    nth = np.arange(int(pieces.sum())) - np.repeat(group, pieces)
+    first = np.repeat(np.cumsum(size) - size, pieces) + 255 * nth
+    out = np.zeros((len(size), 64), bool)
+    for k in range(8):
+        lanes = np.add.reduceat(h >> _U(k) & _U(0x0101010101010101), first).view(np.uint8).reshape(-1, 8)
+        out[:, k::8] = 2 * np.add.reduceat(lanes, group, axis=0, dtype=np.int32) > size[:, None]
+    return np.packbits(out, axis=1, bitorder="little").view(_U).reshape(-1)
+
+
+def line_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the lines of words a to b: a hash of the words in their order, and their SimHash."""
-    line = np.repeat(np.arange(len(a)), b - a)
-    word = np.arange(len(line)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-    mine = h[np.repeat(a, b - a) + word]
     if not len(a):
         return np.zeros(0, _U), np.zeros(0, _U)
-    begin = np.cumsum(b - a) - (b - a)
-    exact = np.add.reduceat(tb.mix(mine + word.astype(_U) * _U(0x9E3779B97F4A7C15)), begin)
-    sim = np.empty(len(a), _U)
-    step = 1 << 16
-    at = 0
-    while at < len(a):  # bit counts of some words at a time, of at least one line
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + step)))
-        last = begin[to] if to < len(a) else len(mine)
-        bits = np.unpackbits(mine[begin[at] : last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begin[at:to] - begin[at], axis=0, dtype=np.int32)
-        sim[at:to] = np.packbits(2 * ones > (b - a)[at:to, None], axis=1, bitorder="little").view(_U).reshape(-1)
-        at = to
-    return tb.mix(exact + (b - a).astype(_U)), sim
+    h = tb.hash_spans(buf, starts, ends, tb.LOWER)
+    size = b - a
+    mine = spans(a, size)
+    begin = np.cumsum(size) - size
+    nth = np.arange(len(mine)) - np.repeat(begin, size)
+    exact = np.add.reduceat(tb.mix(h[mine] + nth.astype(_U) * _U(0x9E3779B97F4A7C15)), begin)
+    length = (ends - starts)[mine]
+    features, count = h[mine], size
+    if (length > LONG_WORD).any():
+        pieces = np.where(length > LONG_WORD, length - PIECE + 1, 1)
+        at = spans(starts[mine], pieces)
+        whole = np.repeat(length <= LONG_WORD, pieces)
+        features = tb.hash_spans(buf, at, np.where(whole, np.repeat(ends[mine], pieces), at + PIECE), tb.LOWER)
+        count = np.add.reduceat(pieces, begin)
+    return tb.mix(exact + size.astype(_U)), majority(features, count)
 
 
 def outline(docs: DataFrame, least: int) -> DataFrame:
@@ -69,7 +89,7 @@ def outline(docs: DataFrame, least: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = tb.buffers(batch.column("text"))
         text, number, a, b, starts, ends = lines(buf, off, least)
-        line, sim = line_hashes(tb.hash_spans(buf, starts, ends, tb.LOWER), a, b)
+        line, sim = line_hashes(buf, starts, ends, a, b)
         inner = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64))], ["n", "line", "sim"])
         bounds = pa.array(np.searchsorted(text, np.arange(len(off))).astype(np.int32))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(bounds, inner).cast(kind)], ["doc_id", "lines"])
@@ -77,76 +97,75 @@ def outline(docs: DataFrame, least: int) -> DataFrame:
     return map_batches(docs.select("doc_id", F.col("text").cast("string")), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lines array<struct<n: int, line: long, sim: long>>")
 
 
-def candidates(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of lines from (line, sim, group): SimHashes differ in three bits at most, groups differ.
+class Tables:
+    """The tables of pigeonhole blocks for n hashes; pairs within BITS bits meet in one of them at least, for any n."""
 
-    In turn 0, all pairs of small buckets are formed.  Buckets that many lines share are split by a
-    second pigeonhole over the other 48 bits; turn 0 pairs lines there that are at most WINDOW places
-    apart, turn 1 those at most ten times that, and turn 2 all others, so that lines which links
-    connect by then are left out.  A row (null, null) tells that a bucket has lines further apart.
-    Records of 28 bytes travel in one binary for each batch and bucket range.
-    """
-    spark = members.sparkSession
-    parts = partitions(spark)
-    low, high = [(1, WINDOW + 1), (WINDOW + 1, 10 * WINDOW + 1), (10 * WINDOW + 1, 1 << 62)][turn]
+    def __init__(self, n: int):
+        m = BITS + 2
+        while 2.0 ** ((64 // m) * (m - BITS)) * DENSE < n and m < 2 * BITS:
+            m += 1
+        edges = [64 * k // m for k in range(m + 1)]
+        self.shift = [_U(e) for e in edges[:-1]]
+        self.mask = [_U((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
+        self.width = [_U(b - a) for a, b in zip(edges, edges[1:])]
+        self.chosen = list(combinations(range(m), m - BITS))
+        place = {c: k for k, c in enumerate(self.chosen)}
+        # by the set of blocks that are equal: the table of the first of them
+        self.first = np.array([place.get(tuple(k for k in range(m) if s >> k & 1)[: m - BITS], -1) for s in range(1 << m)], np.int16)
+
+    def keys(self, table: int, sim: np.ndarray) -> np.ndarray:
+        out = np.full(len(sim), table, _U)
+        for k in self.chosen[table]:
+            out = (out << self.width[k]) | (sim >> self.shift[k] & self.mask[k])
+        return out
+
+    def meets(self, differ: np.ndarray) -> np.ndarray:
+        """From the bits in which two hashes differ to the table in which they are compared; -1 for equal hashes."""
+        equal = np.zeros(len(differ), np.int64)
+        for k, (s, m) in enumerate(zip(self.shift, self.mask)):
+            equal |= ((differ >> s & m) == 0).astype(np.int64) << k
+        return np.where(differ == 0, -1, self.first[equal])
+
+
+def meetings(sims: DataFrame, tables: Tables, parts: int) -> DataFrame:
+    """(key, table, sim) of hashes that meet another one within BITS bits in a bucket; hashes travel in one binary for each part."""
+    ensure(sims.sparkSession)
 
     def split(batches):
         for batch in batches:
-            sim, line, group = (batch.column(c).to_numpy().copy() for c in ("sim", "line", "group"))
-            sim = sim.view(_U)
-            record = np.empty(4 * len(sim), RECORD)
-            for k in range(4):
-                mine = record[k * len(sim) : (k + 1) * len(sim)]
-                mine["key"] = (sim >> _U(16 * k) & _U(0xFFFF)) | _U(k << 16)
-                mine["sim"], mine["line"], mine["group"] = sim, line, group
-            part = tb.mix(record["key"].astype(_U)) % _U(parts)
+            sim = batch.column("sim").to_numpy().view(_U)
+            record = np.empty((len(tables.chosen), len(sim)), RECORD)
+            part = np.empty(record.shape, np.int64)
+            for t in range(len(tables.chosen)):
+                record[t]["table"], record[t]["sim"] = t, sim
+                part[t] = (tb.mix(tables.keys(t, sim)) % _U(parts)).astype(np.int64)
+            part, record = part.reshape(-1), record.reshape(-1)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             some = np.flatnonzero(np.diff(ends))
             record = record[order]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([record[ends[p] : ends[p + 1]].tobytes() for p in some], pa.binary())], ["part", "records"])
 
-    def within(own: np.ndarray, record: np.ndarray, first: int, last: int):
-        """Pairs of records of one bucket each, `first` to `last` - 1 places apart."""
-        for d in range(first, min(last, len(own))):
-            i = np.flatnonzero(own[d:] == own[:-d])
-            if not len(i):
-                break
-            i = i[(np.bitwise_count(record["sim"][i] ^ record["sim"][i + d]) <= BITS) & (record["group"][i] != record["group"][i + d])]
-            if len(i):
-                yield np.stack([record["line"][i], record["line"][i + d]], axis=1)
-
-    def pairs(batches):
-        blobs: list[bytes] = [b for batch in batches for b in batch.column("records").to_pylist()]
-        record = np.frombuffer(b"".join(blobs), RECORD)
-        record = record[np.lexsort((record["line"], record["key"]))]
-        key, own, size = np.unique(record["key"], return_inverse=True, return_counts=True)
-        small = (size <= SMALL)[own]
-        if not turn:
-            yield from map(batch_of, within(own[small], record[small], 1, SMALL))
-        own, record = own[~small], record[~small]
-        block = record["key"] >> 16
-        rest = np.zeros(len(own), _U)  # the 48 bits of the other blocks
-        for k in range(4):
-            mine = block == k
-            for nth, b in enumerate(b for b in range(4) if b != k):
-                rest[mine] |= (record["sim"][mine] >> _U(16 * b) & _U(0xFFFF)) << _U(16 * nth)
-        more = False
-        for sub in range(4):
-            bucket = own.astype(_U) << _U(12) | (rest >> _U(12 * sub) & _U(0xFFF))
-            order = np.argsort(bucket, kind="stable")
-            _, at, n = np.unique(bucket[order], return_inverse=True, return_counts=True)
-            wide = (n > low)[at]  # smaller ones are through
-            more |= bool((n > high).any())  # lines with `high` places or more between them
-            yield from map(batch_of, within(at[wide], record[order[wide]], low, high))
-        if more:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, ["a", "b"])
-
-    def batch_of(found: np.ndarray) -> pa.RecordBatch:
-        both = np.sort(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return members.select("line", "sim", "group").mapInArrow(split, "part int, records binary").repartition(parts, "part").mapInArrow(pairs, "a long, b long").distinct()
+    def meet(batches):
+        record = np.frombuffer(b"".join(b for batch in batches for b in batch.column("records").to_pylist()), RECORD)
+        for t in np.unique(record["table"]).tolist():
+            sim = record["sim"][record["table"] == t]
+            key = tables.keys(t, sim)
+            order = np.argsort(key)
+            sim, key = sim[order], key[order]
+            hit = np.zeros(len(sim), bool)
+            d, i = 1, np.arange(len(sim))
+            while len(i):
+                i = i[i + d < len(sim)]
+                i = i[key[i + d] == key[i]]
+                differ = sim[i] ^ sim[i + d]
+                close = np.flatnonzero(np.bitwise_count(differ) <= BITS)
+                close = close[tables.meets(differ[close]) == t]
+                hit[i[close]] = hit[i[close] + d] = True
+                d += 1
+            yield pa.RecordBatch.from_arrays([pa.array(tb.mix(key[hit]).view(np.int64)), pa.array(np.full(int(hit.sum()), t, np.int32)), pa.array(sim[hit].view(np.int64))], ["key", "table", "sim"])
+
+    return sims.select("sim").mapInArrow(split, "part int, records binary").repartition(parts, "part").mapInArrow(meet, "key long, table int, sim long")
 
 
 def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -156,77 +175,131 @@ def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = tb.buffers(batch.column("text"))
         text, number, a, b, starts, ends = lines(buf, off, least)
-        h = tb.hash_spans(buf, starts, ends, tb.LOWER)
-        ns = [set(x) for x in batch.column("ns").to_pylist()]
-        take = np.array([n in ns[t] for t, n in zip(text.tolist(), number.tolist())], bool)
+        asked = batch.column("ns")
+        owner = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+        take = np.isin(text << 32 | number, owner << 32 | asked.flatten().to_numpy().astype(np.int64))
         a, b = a[take], b[take]
-        line, _ = line_hashes(h, a, b)
-        plain = []
-        for i, j in zip(a.tolist(), b.tolist()):
-            plain.append(b" ".join(buf[s:e].tobytes() for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())).lower().decode("utf-8", "replace"))
+        line, _ = line_hashes(buf, starts, ends, a, b)
+        low = tb.FOLD[buf].tobytes()
+        plain = [b" ".join([low[s:e] for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())]).decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array(plain, pa.string())], ["line", "plain"])
 
     return map_batches(rows, work, "line long, plain string").dropDuplicates(["line"])
 
 
+def verified(members: DataFrame, tables: Tables, similarity: float, parts: int) -> DataFrame:
+    """Links (u, v) of lines of edit similarity `similarity` or more, that connect what such links connect in each (key, block)."""
+    cross = "root" in members.columns
+
+    def work(batches):
+        rows = [pa.Table.from_batches([b]) for b in batches]
+        table = pa.concat_tables(rows).combine_chunks() if rows else None
+        if table is None or not table.num_rows:
+            return
+        column = lambda c: table.column(c).to_numpy()
+        group = tb.mix(column("key").view(_U) + column("block").astype(_U))
+        order = np.argsort(group, kind="stable")
+        group, line, sim, at = group[order], column("b")[order], column("sim")[order].view(_U), column("table")[order]
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        text = table.column("plain").combine_chunks().take(pa.array(order))
+        compared = Compared(text)
+        forest = Forest(len(line))
+        sides = Sides(forest, np.repeat(np.arange(len(cut) - 1), np.diff(cut)), column("side")[order], column("root")[order]) if cross else None
+
+        def near(x: np.ndarray, y: np.ndarray):
+            if sides is not None:
+                ok = sides.apart(x, y)
+                x, y = x[ok], y[ok]
+            differ = sim[x] ^ sim[y]
+            bits = np.bitwise_count(differ)
+            ok = np.flatnonzero(bits <= BITS)
+            ok = ok[tables.meets(differ[ok]) == at[x[ok]]]
+            return x[ok], y[ok], -bits[ok].astype(np.int16)
+
+        def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            longest = np.maximum(compared.size[x], compared.size[y])
+            return compared.within(x, y, np.floor((1 - similarity) * longest + 1e-9).astype(np.int64))
+
+        unite_groups(cut, forest, near, alike)
+        links = np.array(forest.links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(line[links[:, k]]) for k in (0, 1)], ["u", "v"])
+
+    ensure(members.sparkSession)
+    return members.select("key", "block", "table", "b", "sim", "plain", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(work, "u long, v long")
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, similarity: float, staged: Staged, least: int) -> DataFrame:
+    """Connected lines (u, v) of distinct (line, sim, at), v the least of its group."""
+    sims = staged.put(distinct.groupBy("sim").agg(F.count("*").alias("lines")), "sims")
+    n = sims.count()
+    tables = Tables(n)
+    met = meetings(sims, tables, tasks(sims, n, len(tables.chosen) * RECORD.itemsize))
+    met = met.unionByName(sims.where("lines > 1").select(F.xxhash64("sim").alias("key"), F.lit(-1).alias("table"), "sim"))  # equal hashes
+    met = staged.put(met, "met")
+    of = distinct.join(met.select("sim").distinct(), "sim", "left_semi")
+    wanted = of.groupBy("at.doc_id").agg(F.collect_list("at.n").alias("ns"))
+    plain = staged.put(normalised(docs, wanted, least).withColumnRenamed("line", "b"), "plain")
+    each = met.join(distinct.select("sim", F.col("line").alias("b")), "sim")
+    size = each.groupBy("key").agg(F.count("*").alias("n"))
+    dealt = staged.put(each.join(size, "key").withColumn("block", block_of("b")), "dealt")
+    length, rows = plain.agg(F.avg(F.octet_length("plain"))).first()[0] or 0, dealt.count()
+    links = staged.put(verified(dealt.join(plain, "b"), tables, similarity, tasks(dealt, rows, 100 + 8 * length)), "links")
+    roots = components(links, staged)
+    if dealt.where(F.col("n") > BLOCK).head(1):
+        rest = staged.put(across(dealt, roots, "table", "sim"), "across")
+        rows = rest.count()
+        if rows:
+            others = staged.put(verified(rest.join(plain, "b"), tables, similarity, tasks(rest, rows, 100 + 8 * length)), "links_across")
+            roots = components(links.unionByName(others), staged)
+    staged.drop("sims", "met", "plain", "dealt")
+    return roots
+
+
 def removals(docs: DataFrame, similarity: float, staged: Staged, least: int) -> DataFrame:
     """doc_id and the numbers of its lines that go."""
     seen = staged.put(outline(docs.where("doc_id IS NOT NULL"), least), "outlines")
     each = seen.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.n", "l.line", "l.sim")
     distinct = staged.put(each.groupBy("line").agg(F.min(F.struct("doc_id", "n")).alias("at"), F.min("sim").alias("sim"), F.count("*").alias("times")), "distinct")
-    links = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
-    linked = docs.sparkSession.createDataFrame([], links)
-    grouped = distinct.select("line", "sim", F.col("line").alias("group"))
-    before = []
-    roots = None
-    for turn in range(3):
-        found = staged.put(candidates(grouped, turn), f"pairs{turn}")
-        near = found.where("a IS NOT NULL")
-        for pairs in before:
-            near = near.join(pairs, ["a", "b"], "left_anti")
-        near = staged.put(near, f"near{turn}") if before else near
-        ids = near.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-        wanted = distinct.join(ids, "line", "left_semi").groupBy("at.doc_id").agg(F.collect_list("at.n").alias("ns"))
-        lines_of = staged.put(normalised(docs, wanted, least), f"lines{turn}")
-        side = lambda k: lines_of.select(F.col("line").alias(k), F.col("plain").alias(f"{k}_"))  # noqa: B023, E731
-        both = near.join(side("a"), "a").join(side("b"), "b")
-        longest = F.greatest(F.char_length("a_"), F.char_length("b_"))
-        both = both.withColumn("chars", longest).withColumn("room", F.floor((1 - similarity) * longest + 1e-9).cast("int"))
-        # words at equal places that differ, counted with all their characters, bound the distance from above
-        differ = F.zip_with("p", "q", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.char_length(p), F.char_length(q), F.lit(0))))
-        both = both.withColumn("p", F.split("a_", " ")).withColumn("q", F.split("b_", " "))
-        alike = (F.size("p") == F.size("q")) & (F.aggregate(differ, F.lit(0), lambda p, q: p + q) <= F.col("room"))
-        few = (F.col("chars") > LONG) & F.expr(f"levenshtein(a_, b_, least(room, {FEW})) >= 0")
-        ok = alike | few | F.expr("levenshtein(a_, b_, room) >= 0")
-        judged = staged.put(both.select("a", "b", ok.alias("ok")), f"judged{turn}")
-        linked = staged.put(linked.unionByName(judged.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))), f"linked{turn}")
-        roots = components(linked, staged)
-        if not found.where("a IS NULL").head(1):
-            break
-        before.append(judged.select("a", "b"))
-        grouped = distinct.join(roots, distinct["line"] == roots["u"], "left").select("line", "sim", F.coalesce("v", "line").alias("group"))
+    roots = near_lines(docs, distinct, similarity, staged, least)
     group = distinct.join(roots, distinct["line"] == roots["u"], "left").select("line", F.coalesce("v", "line").alias("group"), "at", "times")
     kept = group.groupBy("group").agg(F.min("at").alias("kept"), F.sum("times").alias("times")).where("times > 1")
     goes = group.select("line", "group").join(kept, "group").select("line", "kept")
     gone = each.select("doc_id", "n", "line").join(goes, "line").where("kept != struct(doc_id, n)")
-    return staged.put(gone.groupBy("doc_id").agg(F.collect_set("n").alias("ns")), "removals")
+    out = staged.put(gone.groupBy("doc_id").agg(F.collect_set("n").alias("ns")), "removals")
+    staged.drop("outlines", "distinct")
+    return out
+
+
+def without(texts: pa.Array, ns: pa.Array) -> pa.Array:
+    """Texts without their lines numbered ns; null where the text is."""
+    out = []
+    for text, gone in zip(texts, ns):
+        if not text.is_valid:
+            out.append(None)
+            continue
+        parts = text.as_py().split("\n")
+        keep = np.ones(len(parts), bool)
+        keep[gone.values.to_numpy()] = False
+        out.append("\n".join([parts[k] for k in np.flatnonzero(keep).tolist()]))
+    return pa.array(out, pa.string())
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.9, column: str = "n_removed", least: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.9, column: str = "n_removed", least: int = 1) -> DataFrame:
     """All columns of docs, with text less the lines that go, and how many those are (0 if none).
 
-    Lines with fewer than `least` words stay (with 1, those without words), as do rows without a doc_id and null texts.  Rows
-    that share a doc_id lose the same lines.  Text without a line to go is unchanged, byte for byte.
+    A line goes if an earlier one, in the order of (doc_id, line number), is equal or connected to it
+    by lines whose SimHashes differ in BITS bits and whose edit similarity is `similarity` at least.
+    Lines with fewer than `least` words stay, and lines without words always; so do rows without a
+    doc_id and null texts.  Rows that share a doc_id lose the same lines.  A text without a line to go
+    is unchanged, byte for byte; one of which all lines go is empty.  No rows give no rows.  The added
+    column gets underscores until no column has its name, whatever the case.
     """
-    while column in docs.columns:
-        column += "_"
-    going = "going"
-    while going in docs.columns:
-        going += "_"
+    column = free(column, docs.columns)
+    going, id_ = free("going", [*docs.columns, column]), free("going_id", [*docs.columns, column])
     staged = Staged(docs.sparkSession)
-    gone = removals(docs, similarity, staged, least).withColumnRenamed("ns", going)
-    joined = docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
-    lines_ = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    rest = F.array_join(F.transform(F.filter(lines_, lambda l: ~F.array_contains(going, l["i"])), lambda l: l["x"]), "\n")
+    own = docs.select("doc_id", "text")
+    gone = removals(own, similarity, staged, max(1, least)).select(F.col("doc_id").alias(id_), F.col("ns").alias(going))
+    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(id_), "left")
+    rest = F.arrow_udf(without, "string")(F.when(F.col(going).isNotNull(), F.col("text").cast("string")), going)
     text = F.when(F.col(going).isNull(), F.col("text")).otherwise(rest).alias("text")
-    return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns], F.when(F.col(going).isNull(), 0).otherwise(F.size(going)).cast("long").alias(column))
+    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col(going).isNull(), 0).otherwise(F.size(going)).cast("long").alias(column))
