@@ -92,7 +92,6 @@ def varied(rng):
 @pytest.mark.parametrize("block", [2048, 0.01])
 def test_lines_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(buckets, "BLOCK", block)  # of 0.01: each bucket is dealt into hundreds of blocks
-    monkeypatch.setattr(linededup, "BLOCK", block)
     rows = varied(random.Random(11))
     gone = expected(rows)
     got = {}

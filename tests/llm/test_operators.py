@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textsieve.llm import components, decontam, langid, minhash, packing, quality, revisit, rules, runindex, textbytes, toxicity, wordbpe
+from textsieve.llm import buckets, components, decontam, langid, minhash, packing, quality, revisit, rules, runindex, textbytes, toxicity, wordbpe
 from textsieve.llm.staging import Staged
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -157,6 +157,15 @@ def test_near_duplicates(spark, texts):
     assert minhash.near_duplicates(table(spark, [(None, "a b c"), (None, None)])).where("class_id IS NULL").count() == 2
 
 
+def test_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (7, c), (7, c), (8, None), (8, ""), (8, ""), (None, a), (None, a), (9, a + " end")]
+    got = sorted((r.doc_id or -1, r.class_id or -1) for r in minhash.near_duplicates(table(spark, rows)).collect())
+    assert got == [(-1, -1), (-1, -1), (3, 3), (5, 3), (5, 5), (7, 7), (7, 7), (8, 8), (8, 8), (8, 8), (9, 3)]
+    kept = sorted((r.doc_id or -1, r.text or "") for r in minhash.one_of_each(table(spark, rows)).collect())
+    assert kept == sorted([(-1, a), (-1, a), (3, a), (5, b), (7, c), (8, ""), (8, "")])
+
+
 def near_pairs(rng, n, words):
     """n pairs of texts of similarity 0.8 or a little more: they differ in words at one end."""
     new = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
@@ -166,7 +175,7 @@ def near_pairs(rng, n, words):
 
 
 def test_pairs_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 0.01)  # every bucket is dealt into hundreds of blocks
+    monkeypatch.setattr(buckets, "BLOCK", 0.01)  # every bucket is dealt into hundreds of blocks
     rows = list(enumerate(t for pair in near_pairs(random.Random(15), 40, 60) for t in pair))
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}

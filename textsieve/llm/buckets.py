@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.llm.staging import partitions
 
-BLOCK = 2048
+BLOCK, MIXES = 2048, 3
 #: Bytes that a task gathers, about.
 TASK_BYTES = 24 << 20
 Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -76,17 +76,23 @@ def unite_groups(cut: np.ndarray, forest: Forest, near: Callable[[np.ndarray, np
             x, y, step = x[apart], y[apart], min(2 * step, 1 << 14)
 
 
-def block_of(node: str) -> Column:
-    """The block of a member of a bucket of n members."""
-    return F.pmod(F.xxhash64(node, "key"), F.ceil(F.col("n") / BLOCK)).cast("int")
+def dealt(met: DataFrame) -> DataFrame:
+    """(key, b, ...) with the size n of its bucket, and its block there.
+
+    Large buckets are dealt out MIXES times in different ways, so that the links of one deal connect
+    the blocks of another and few are left to be compared with one another.
+    """
+    size = met.groupBy("key").agg(F.count("*").alias("n"))
+    mixed = met.join(size, "key").withColumn("mix", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > BLOCK, MIXES - 1).otherwise(0))))
+    return mixed.withColumn("block", (F.pmod(F.xxhash64("b", "key", "mix"), F.ceil(F.col("n") / BLOCK)) * MIXES + F.col("mix")).cast("int"))
 
 
 def across(met: DataFrame, roots: DataFrame, *keep: str) -> DataFrame:
-    """From (key, b, block, n, ...) the members of every two blocks of a bucket that links don't connect already.
+    """From dealt members those of every two blocks of a bucket that links don't connect already.
 
     Two blocks are number `block`, a member's own is its `side`, and `root` is what links connect it to.
     """
-    cut = met.where(F.col("n") > BLOCK).join(roots, F.col("b") == F.col("u"), "left").select("key", "b", "block", F.coalesce("v", "b").alias("root"), *keep)
+    cut = met.where((F.col("n") > BLOCK) & (F.col("mix") == 0)).join(roots, F.col("b") == F.col("u"), "left").select("key", "b", "block", F.coalesce("v", "b").alias("root"), *keep)
     ends = cut.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     i, j = (ends.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high"))) for k in "ij")
     two = i.join(j, "key").where("block_i < block_j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)")

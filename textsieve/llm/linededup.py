@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.llm import textbytes as tb
-from textsieve.llm.buckets import BLOCK, Forest, Sides, across, block_of, tasks, unite_groups
+from textsieve.llm.buckets import Forest, Sides, across, dealt, tasks, unite_groups
 from textsieve.llm.components import components
 from textsieve.llm.editsim import Compared, spans
 from textsieve.llm.staging import Staged, map_batches
@@ -240,18 +240,17 @@ def near_lines(docs: DataFrame, distinct: DataFrame, similarity: float, staged:
     wanted = of.groupBy("at.doc_id").agg(F.collect_list("at.n").alias("ns"))
     plain = staged.put(normalised(docs, wanted, least).withColumnRenamed("line", "b"), "plain")
     each = met.join(distinct.select("sim", F.col("line").alias("b")), "sim")
-    size = each.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = staged.put(each.join(size, "key").withColumn("block", block_of("b")), "dealt")
-    length, rows = plain.agg(F.avg(F.octet_length("plain"))).first()[0] or 0, dealt.count()
-    links = staged.put(verified(dealt.join(plain, "b"), tables, similarity, tasks(dealt, rows, 100 + 8 * length)), "links")
+    members = staged.put(dealt(each), "members")
+    length, rows = plain.agg(F.avg(F.octet_length("plain"))).first()[0] or 0, members.count()
+    links = staged.put(verified(members.join(plain, "b"), tables, similarity, tasks(members, rows, 100 + 8 * length)), "links")
     roots = components(links, staged)
-    if dealt.where(F.col("n") > BLOCK).head(1):
-        rest = staged.put(across(dealt, roots, "table", "sim"), "across")
+    if members.where("mix = 1").head(1):  # there are large buckets
+        rest = staged.put(across(members, roots, "table", "sim"), "across")
         rows = rest.count()
         if rows:
             others = staged.put(verified(rest.join(plain, "b"), tables, similarity, tasks(rest, rows, 100 + 8 * length)), "links_across")
             roots = components(links.unionByName(others), staged)
-    staged.drop("sims", "met", "plain", "dealt")
+    staged.drop("sims", "met", "plain", "members")
     return roots
 
 

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.llm import textbytes as tb
+from textsieve.llm.buckets import Forest, Sides, across, dealt, tasks, unite_groups
 from textsieve.llm.components import components
-from textsieve.llm.staging import Staged, map_batches, partitions
+from textsieve.llm.staging import Staged, map_batches
+from textsieve.naming import free
 from textsieve.shipping import ensure
 
 SHINGLE = 5
@@ -96,17 +98,16 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, a fingerprint (p, q) of its bag, its band keys, null for an empty bag, and a byte of each register with the band keys after them."""
+    """doc_id, a hash `h` of its text, a fingerprint `node` of its bag, its band keys, null for an empty bag, and a byte of each register with the band keys after them."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
         text, shingle, weight = bags(texts)
         n = len(texts)
-        prints = []
-        for c in (0x243F6A8885A308D3, 0x13198A2E03707344):
-            total = np.zeros(n, _U)
-            np.add.at(total, text, tb.mix(shingle ^ _U(c)) * weight.astype(_U))
-            prints.append(pa.array(total.view(np.int64)))
+        prints = np.zeros((n, 2), _U)
+        for k, c in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+            np.add.at(prints[:, k], text, tb.mix(shingle ^ _U(c)) * weight.astype(_U))
+        node = fixed(prints.view(np.uint8).reshape(n, 16))
         registers = signatures(text, shingle, weight, n)
         empty = np.isinf(registers[:, 0])
         bits = registers.view(_U).reshape(n, BANDS, ROWS)
@@ -116,10 +117,15 @@ def sketch(docs: DataFrame) -> DataFrame:
         keys = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
         keys = pa.array([None if e else k for e, k in zip(empty, keys.to_pylist())], pa.list_(pa.int64())) if empty.any() else keys
         small = np.concatenate([tb.mix(bits.reshape(n, -1)).astype(np.uint8), key.view(np.uint8).reshape(n, -1)], axis=1)
-        small = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), n, [None, pa.py_buffer(small)]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *prints, keys, small], ["doc_id", "p", "q", "keys", "registers"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), node, keys, fixed(small)], ["doc_id", "h", "node", "keys", "registers"])
 
-    return map_batches(docs.select("doc_id", F.col("text").cast("string")), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, p long, q long, keys array<long>, registers binary")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, node binary, keys array<long>, registers binary")
+
+
+def fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, width = rows.shape
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
 def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -160,38 +166,17 @@ def shares(bag: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-class Forest:
-    """Sets that are united by links; remembers the links that united two."""
-
-    def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def unite(self, x: int, y: int) -> None:
-        a, b = self.find(x), self.find(y)
-        if a != b:
-            self.up[a] = b
-            self.links.append((x, y))
-
-
 #: Registers that agree, less than which bags of similarity 0.8 practically never have: 6 standard deviations.
 SLACK = 0.25
-BLOCK = 2048
 
 
-def verified(members: DataFrame, least: float) -> DataFrame:
+def verified(members: DataFrame, least: float, parts: int) -> DataFrame:
     """Links (u, v) whose bags overlap by `least` or more and that connect what such links connect in each (key, block).
 
     Members are compared by their registers, and where those allow, the likeliest first, by their
     bags, unless links that were verified connect them already.  A pair that meets in several bands
-    is compared in the first of them, unless one of them was in a bucket dealt into blocks.  With a
-    column `root`, a group has two blocks, members of one root are connected, and pairs within a
-    block are left out.
+    is compared in the first of them.  With a column `root`, a group has two blocks, members of one
+    root are connected, and pairs within a block are left out.
     """
     cross = "root" in members.columns
 
@@ -205,137 +190,105 @@ def verified(members: DataFrame, least: float) -> DataFrame:
         group = group[order]
         sketch = np.frombuffer(tb.buffers(table.column("sketch"))[0], np.uint8).reshape(-1, WIDTH)[order]
         sketch, keys = sketch[:, : BANDS * ROWS], sketch[:, BANDS * ROWS :].copy().view(_U)
-        bag = table.column("bag").combine_chunks()
-        band, cut_up = table.column("band").to_numpy()[order], table.column("cut_up").to_numpy()[order]
+        bag, band = table.column("bag").combine_chunks(), table.column("band").to_numpy()[order]
         cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-        size = np.diff(cut)
-        own = np.repeat(np.arange(len(size)), size)
-        forest = Forest(len(own))
-        side = table.column("side").to_numpy()[order] if cross else np.arange(len(own))
+        forest = Forest(len(group))
+        sides = None
         if cross:
             root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()[order]
-            first: dict[tuple[int, int], int] = {}
-            forest.up = [first.setdefault(pair, i) for i, pair in enumerate(zip(own.tolist(), root.tolist()))]
-            root = np.array(forest.up, np.int64)
-        else:
-            root = np.arange(len(own))
-
-        def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Pairs whose registers allow it and that no earlier band has, and the share that agrees."""
-            if cross:
-                apart = (side[x] != side[y]) & (root[x] != root[y])
-                x, y = x[apart], y[apart]
-            same = sketch[x] == sketch[y]
-            share = same.mean(1, dtype=np.float32)
+            sides = Sides(forest, np.repeat(np.arange(len(cut) - 1), np.diff(cut)), table.column("side").to_numpy()[order], root)
+
+        def near(x: np.ndarray, y: np.ndarray):
+            if sides is not None:
+                ok = sides.apart(x, y)
+                x, y = x[ok], y[ok]
+            share = (sketch[x] == sketch[y]).mean(1, dtype=np.float32)
             ok = np.flatnonzero(share >= least - SLACK)
-            early = (keys[x[ok]] == keys[y[ok]]).argmax(1) < band[x[ok]]
-            ok = ok[~early if cross else ~early | cut_up[x[ok]] | cut_up[y[ok]]]
+            ok = ok[(keys[x[ok]] == keys[y[ok]]).argmax(1) == band[x[ok]]]
             return x[ok], y[ok], share[ok]
 
-        def verify(x: np.ndarray, y: np.ndarray) -> None:
-            for i, j in zip(*(v[shares(bag, order[x], order[y]) >= least - 1e-12].tolist() for v in (x, y))):
-                forest.unite(i, j)
-
-        small = (size <= 16)[own]
-        for d in range(1, 16):
-            i = np.flatnonzero((own[d:] == own[:-d]) & small[d:]) if len(own) > d else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            for k in range(0, len(i), 1 << 14):
-                verify(*near(i[k : k + (1 << 14)], i[k : k + (1 << 14)] + d)[:2])
-        for g in np.flatnonzero(size > 16):
-            a, b = int(cut[g]), int(cut[g + 1])
-            found = [near(np.full(b - i - 1, i), np.arange(i + 1, b)) for i in range(a, b - 1)]
-            x, y, share = (np.concatenate(v) for v in zip(*found))
-            likely = np.argsort(-share, kind="stable")
-            x, y = x[likely], y[likely]
-            step = 256
-            while len(x):
-                verify(x[:step], y[:step])
-                x, y = x[step:], y[step:]
-                now = np.array([forest.find(i) for i in range(a, b)])
-                apart = now[x - a] != now[y - a]
-                x, y, step = x[apart], y[apart], min(2 * step, 1 << 14)
+        def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return shares(bag, order[x], order[y]) >= least - 1e-12
+
+        unite_groups(cut, forest, near, alike)
         node = table.column("b").combine_chunks()
         links = order[np.array(forest.links, np.int64).reshape(-1, 2)]
         yield pa.RecordBatch.from_arrays([node.take(pa.array(links[:, k])) for k in (0, 1)], ["u", "v"])
 
     ensure(members.sparkSession)
-    kind = members.schema["b"].dataType.simpleString()
-    parts = 2 * partitions(members.sparkSession)
-    return members.select("key", "block", "band", "cut_up", "b", "sketch", "bag", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(work, f"u {kind}, v {kind}")
-
-
-def across(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of two blocks each of buckets that were dealt into blocks, once for each two blocks that links don't connect already.
-
-    Two blocks are number `block`, and a member's own is its `side`.
-    """
-    cut = met.where(F.col("n") > BLOCK).join(roots, F.col("b") == F.col("u"), "left").select("key", "b", "band", "block", F.coalesce("v", "b").alias("root"))
-    ends = cut.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    i, j = (ends.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high"))) for k in "ij")
-    two = i.join(j, "key").where("block_i < block_j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)")
-    two = two.select("key", F.hash("block_i", "block_j").alias("pair"), F.explode(F.array("block_i", "block_j")).alias("side"))
-    return cut.withColumnRenamed("block", "side").join(two, ["key", "side"]).withColumnRenamed("pair", "block")
+    return members.select("key", "block", "band", "b", "sketch", "bag", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(work, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id and class_id, the least doc_id of its class, for every row of docs.
+def classes(docs: DataFrame, least: float, staged: Staged) -> DataFrame:
+    """For every row of docs: doc_id, a hash `h` of its text, the `root` of its class and the least doc_id `class_id` there.
 
-    Documents of equal bags are one node.  Only nodes that share a band bucket with another have
-    their bags dealt to their buckets, where pairs are verified; a bucket returns at most one link
-    less than it has members.  A bucket of more than BLOCK members is dealt into blocks anew for
-    each band; pairs are compared in blocks, and then those of every two blocks that no links
-    connect.  Classes are the connected components of verified
-    links.  A null or empty text is linked to nothing and is its own class; wordless texts are linked
-    if they are equal.  Rows that share a doc_id are one document.  A null doc_id has a null class.
+    A row without words or doc_id has no root.
     """
-    spark = docs.sparkSession
-    staged = Staged(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = staged.put(sketch(docs), "sketches")
     some = found.where("doc_id IS NOT NULL AND keys IS NOT NULL")
-    nodes = staged.put(some.groupBy("p", "q").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "registers"), "doc_id").alias("s")).select("p", "q", "node", "s.keys", "s.registers"), "nodes")
+    nodes = staged.put(some.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.min_by(F.struct("keys", "registers"), "doc_id").alias("s")).select("node", "at.doc_id", "at.h", "s.keys", "s.registers"), "nodes")
     each = nodes.select(F.posexplode("keys").alias("band", "key"), F.col("node").alias("b"))
-    many = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    block = F.pmod(F.xxhash64("b", "key"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    met = staged.put(each.join(many, "key").select("key", "b", "band", "n", block.alias("block")), "met")
-    ids = met.groupBy("b").agg((F.max("n") > BLOCK).alias("cut_up"))
+    many = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    met = staged.put(dealt(each.join(many, "key")), "met")
+    wanted = nodes.join(met.select("b").distinct(), F.col("b") == F.col("node"), "left_semi").select("node", "doc_id", "h")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def bag_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), packed(batch.column("text")).cast(pa.binary())], ["b", "bag"])
-
-    bag = map_batches(docs.join(ids.select(F.col("b").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text"), bag_of, f"b {kind}, bag binary")
-    bag = staged.put(bag.dropDuplicates(["b"]), "bags")
-    sketches = nodes.select(F.col("node").alias("b"), F.col("registers").alias("sketch")).dropDuplicates(["b"])
-    members = met.drop("n").join(ids, "b").join(sketches, "b").join(bag, "b")
-    links = staged.put(verified(members, least), "links")
+        return pa.RecordBatch.from_arrays([batch.column("node"), packed(batch.column("text")).cast(pa.binary())], ["b", "bag"])
+
+    texts = docs.withColumn("h", F.xxhash64("text")).join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("node", "text")
+    bag = staged.put(map_batches(texts, bag_of, "b binary, bag binary").dropDuplicates(["b"]), "bags")
+    sketches = nodes.select(F.col("node").alias("b"), F.col("registers").alias("sketch"))
+    length, rows = bag.agg(F.avg(F.octet_length("bag"))).first()[0] or 0, met.count()
+    linked = lambda df, n: verified(df.join(sketches, "b").join(bag, "b"), least, tasks(df, n, 400 + length))
+    links = staged.put(linked(met, rows), "links")
     staged.release()
     roots = components(links, staged)
-    if met.where(F.col("n") > BLOCK).head(1):
-        rest = staged.put(across(met, roots), "across")
-        if rest.head(1):
-            others = staged.put(verified(rest.join(ids, "b").join(sketches, "b").join(bag, "b"), least), "links_across")
+    if met.where("mix = 1").head(1):  # there are large buckets
+        rest = staged.put(across(met, roots, "band"), "across")
+        rows = rest.count()
+        if rows:
+            others = staged.put(linked(rest, rows), "links_across")
             staged.release()
             roots = components(links.unionByName(others), staged)
-    classes = nodes.join(roots, nodes["node"] == roots["u"], "left").select("p", "q", F.coalesce("v", "node").alias("class_id"))
-    own = found.select("doc_id", F.when(F.col("keys").isNotNull(), F.col("p")).alias("p"), F.when(F.col("keys").isNotNull(), F.col("q")).alias("q"))
-    out = own.join(classes, ["p", "q"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    own = nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", "doc_id", F.coalesce("v", "node").alias("root"))
+    of = own.join(own.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("node", "root", "class_id")
+    rows = found.select("doc_id", "h", F.when(F.col("keys").isNotNull() & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    out = rows.join(of, "node", "left").select("doc_id", "h", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
     staged.drop("bags", "met")
     return out
 
 
+def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id and class_id, the least doc_id of its class, for every row of docs.
+
+    Documents of equal bags are one node.  Only nodes that share a band bucket with another have
+    their bags dealt to their buckets, where pairs are verified; a bucket returns at most one link
+    less than it has members.  Large buckets are dealt into blocks, of which every two are compared
+    that links don't connect.  Classes are the connected components of verified links.  A null or
+    empty text is linked to nothing and is its own class; wordless texts are linked if they are
+    equal.  Rows that share a doc_id have each the class of its own text, and repeated rows the same
+    one.  A null doc_id has a null class.  No rows give no rows; other columns don't matter.
+    """
+    return classes(docs, least, Staged(docs.sparkSession)).select("doc_id", "class_id")
+
+
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, without those whose class has a smaller doc_id, and without repeats of a doc_id.
+    """One row of each class, with all columns of docs: that of the least doc_id, and of these the one whose text has the least hash.
 
-    Rows without a doc_id stay.
+    Rows whose text is null or empty are classes of their own, but repeats of a (doc_id, text) go.
+    Rows without a doc_id stay.  The columns are those of docs.
     """
     from pyspark.sql import Window as W
 
-    gone = near_duplicates(docs, least).where("class_id != doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    nth = "nth"
-    while nth in docs.columns:
-        nth += "_"
-    return left.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).where(f"{nth} = 1 OR doc_id IS NULL").drop(nth)
+    staged = Staged(docs.sparkSession)
+    h, nth, id_ = (free(c, docs.columns) for c in ("h", "nth", "id"))
+    found = classes(docs.select("doc_id", "text"), least, staged).where("class_id = doc_id")
+    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("at")).select("at.doc_id", "at.h")
+    keep = first.unionByName(found.where("root IS NULL").select("doc_id", "h").distinct())
+    keep = staged.put(keep.select(F.col("doc_id").alias(id_), F.col("h").alias(h + "_")), "keep")
+    own = docs.where("doc_id IS NOT NULL").withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    left = own.join(keep, (F.col("doc_id") == F.col(id_)) & (F.col(h) == F.col(h + "_")), "left_semi")
+    left = left.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", h).orderBy("doc_id", h))).where(F.col(nth) == 1)
+    return left.drop(h, nth).unionByName(docs.where("doc_id IS NULL"))
