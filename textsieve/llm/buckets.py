@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.llm.staging import partitions
+from textsieve.llm.textbytes import spans
 
 BLOCK, MIXES = 2048, 3
 #: Bytes that a task gathers, about.
 TASK_BYTES = 24 << 20
+#: Pairs that are looked at together, about.
+PAIRS = 1 << 20
 Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -44,36 +47,34 @@ def unite_groups(cut: np.ndarray, forest: Forest, near: Callable[[np.ndarray, np
     """Unites members cut[g] to cut[g + 1] - 1 of each group g that are alike.
 
     near: of pairs, those worth comparing and how likely they are alike.  alike: whether pairs are.
-    The likeliest pairs of large groups go first, and those that links connect by then are left out.
+    Groups are taken together as far as PAIRS allows; the likeliest pairs go first, and those that
+    links connect by then are left out.
     """
     size = np.diff(cut)
-    own = np.repeat(np.arange(len(size)), size)
-
-    def settle(x: np.ndarray, y: np.ndarray) -> None:
-        ok = alike(x, y)
-        for i, j in zip(x[ok].tolist(), y[ok].tolist()):
-            forest.unite(i, j)
-
-    small = (size <= 16)[own]
-    for d in range(1, 16):
-        i = np.flatnonzero((own[d:] == own[:-d]) & small[d:]) if len(own) > d else np.zeros(0, np.int64)
-        if not len(i):
-            break
-        for k in range(0, len(i), 1 << 14):
-            settle(*near(i[k : k + (1 << 14)], i[k : k + (1 << 14)] + d)[:2])
-    for g in np.flatnonzero(size > 16):
-        a, b = int(cut[g]), int(cut[g + 1])
-        found = [near(np.full(b - i - 1, i), np.arange(i + 1, b)) for i in range(a, b - 1)]
+    groups = np.argsort(size, kind="stable")
+    groups = groups[size[groups] > 1]
+    wave = np.cumsum(size[groups] * (size[groups] - 1) // 2) // PAIRS
+    for w in np.unique(wave):
+        mine = groups[wave == w]
+        first, n = cut[mine], size[mine]
+        found = []
+        for d in range(1, int(n.max())):  # members d places apart
+            on = np.searchsorted(n, d, "right")  # groups with more than d members; sizes ascend
+            i = spans(first[on:], n[on:] - d)
+            found.append(near(i, i + d))
         x, y, share = (np.concatenate(v) for v in zip(*found))
         likely = np.argsort(-share, kind="stable")
         x, y = x[likely], y[likely]
-        step = 256
+        step = max(512, len(x) // 4)
         while len(x):
-            settle(x[:step], y[:step])
+            ok = alike(x[:step], y[:step])
+            for i, j in zip(x[:step][ok].tolist(), y[:step][ok].tolist()):
+                forest.unite(i, j)
             x, y = x[step:], y[step:]
-            now = np.array([forest.find(i) for i in range(a, b)])
-            apart = now[x - a] != now[y - a]
-            x, y, step = x[apart], y[apart], min(2 * step, 1 << 14)
+            used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+            now = np.array([forest.find(i) for i in used.tolist()], np.int64)[back]
+            apart = now[: len(x)] != now[len(x) :]
+            x, y, step = x[apart], y[apart], min(2 * step, 1 << 16)
 
 
 def dealt(met: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ _U = np.uint64
 _FAR = np.int64(-(1 << 40))
 #: Diagonals and characters of the pairs that are compared together.
 CELLS, CHARS = 1 << 19, 1 << 21
+#: Bits that pairs of characters are counted by.
+BINS = 8
 
 
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -26,30 +28,51 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(size)])
 
 
-def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places first[i] to first[i] + size[i] - 1 of all i in a row."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 class Compared:
     """Texts of which pairs are compared."""
 
     def __init__(self, texts: pa.Array):
         self.code, self.off = characters(texts)
         self.size = np.diff(self.off)
-        # counts of characters, by six bits of their codes: half their differences are a lower bound
+        # counts of pairs of characters, by bits of their hashes; an edit takes away or adds two of them at most
         text = np.repeat(np.arange(len(self.size)), self.size)
-        kind = (self.code ^ self.code >> np.uint32(6)) & np.uint32(63)
-        self.counts = np.bincount(text * 64 + kind, minlength=64 * len(self.size)).reshape(-1, 64).astype(np.int32)
+        inner = np.flatnonzero(text[1:] == text[:-1]) if len(text) else np.zeros(0, np.int64)
+        kind = tb.mix(self.code[inner].astype(_U) << _U(32) | self.code[inner + 1]) >> _U(64 - BINS)
+        self.counts = np.bincount((text[inner] << BINS) + kind.astype(np.int64), minlength=len(self.size) << BINS).reshape(-1, 1 << BINS).astype(np.int32)
+
+        # words between blanks: an upper bound is what replacing all that differ costs
+        start = np.ones(len(self.code), bool)
+        start[1:] = self.code[:-1] == 32
+        start[self.off[:-1][self.size > 0]] = True
+        begin = np.flatnonzero(start)
+        place = np.arange(len(self.code)) - np.repeat(begin, np.diff(np.append(begin, len(self.code))))
+        self.word = np.add.reduceat(tb.mix(self.code.astype(_U) + place.astype(_U) * _U(0x9E3779B97F4A7C15)), begin) if len(begin) else np.zeros(0, _U)
+        self.length = np.diff(np.append(begin, len(self.code)))
+        self.first = np.searchsorted(begin, self.off)
+
+    def replaced(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many edits replace each word of x[i] that differs from the one at its place in y[i]; for different numbers of words, very many."""
+        out = np.full(len(x), 1 << 40)
+        n = self.first[x + 1] - self.first[x]
+        same = np.flatnonzero((n == self.first[y + 1] - self.first[y]) & (n > 0))
+        same = same[np.argsort(n[same], kind="stable")]
+        cut = np.searchsorted(np.cumsum(n[same]) // CHARS, np.arange(int(n[same].sum()) // CHARS + 2))
+        for a, b in zip(cut, cut[1:]):
+            mine = same[a:b]
+            if len(mine):
+                i, j = tb.spans(self.first[x[mine]], n[mine]), tb.spans(self.first[y[mine]], n[mine])
+                cost = np.where(self.word[i] == self.word[j], 0, np.maximum(self.length[i], self.length[j]))
+                out[mine] = np.add.reduceat(cost, np.cumsum(n[mine]) - n[mine])
+        return out
 
     def within(self, x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
         """Whether at most room[i] edits of characters turn text x[i] into text y[i]."""
-        out = np.zeros(len(x), bool)
+        out = self.replaced(x, y) <= room
         lower = np.zeros(len(x), np.int64)
-        for k in range(0, len(x), 1 << 14):
-            d = self.counts[x[k : k + (1 << 14)]] - self.counts[y[k : k + (1 << 14)]]
-            lower[k : k + (1 << 14)] = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
-        left = np.flatnonzero(lower <= room)
+        for k in range(0, len(x), 4096):
+            d = self.counts[x[k : k + 4096]] - self.counts[y[k : k + 4096]]
+            lower[k : k + 4096] = (np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) + 1) // 2
+        left = np.flatnonzero((lower <= room) & ~out)
         left = left[np.argsort(room[left], kind="stable")]
         at = 0
         while at < len(left):  # as many pairs as there is room for, one at least
@@ -64,7 +87,7 @@ class Compared:
     def _together(self, x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
         used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
         size = self.size[used]
-        code = self.code[spans(self.off[used], size)]
+        code = self.code[tb.spans(self.off[used], size)]
         power = tb._powers(tb._BASE, int(size.max(initial=0)) + 1)
         begin = np.cumsum(size) - size
         place = np.arange(len(code)) - np.repeat(begin, size)

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 A line is normalised to its words.  Equal lines are one; of different ones, the 64-bit
-SimHashes of their words are joined on pigeonhole blocks: of m blocks of bits, two hashes
+SimHashes of their words, of which long ones weigh more, are joined on pigeonhole blocks: of m blocks of bits, two hashes
 that differ in BITS bits at most share m - BITS, and each choice of so many blocks is a
 table of buckets.  A pair is compared in the first table in which it meets, by its edit
 similarity in characters.  Of each connected group of lines, the first occurrence in the
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from textsieve.llm import textbytes as tb
 from textsieve.llm.buckets import Forest, Sides, across, dealt, tasks, unite_groups
 from textsieve.llm.components import components
-from textsieve.llm.editsim import Compared, spans
+from textsieve.llm.editsim import Compared
 from textsieve.llm.staging import Staged, map_batches
 from textsieve.naming import free
 from textsieve.shipping import ensure
@@ -46,40 +46,47 @@ def lines(buf: np.ndarray, off: np.ndarray, least: int = 1):
     return text[ok], number[ok], a[ok], b[ok], starts, ends
 
 
-def majority(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """SimHashes of groups of size[i] > 0 neighbouring hashes: the bits that most of them have."""
-    if not len(size):
-        return np.zeros(0, _U)
-    pieces = -(-size // 255)  # eight counters in a word hold up to 255
+def weights(length: np.ndarray) -> np.ndarray:
+    """What words of so many bytes count: short ones, which all lines have, hardly anything."""
+    return np.maximum(np.minimum(length, 30) - 3, 0).astype(_U) ** _U(2) + _U(1)
+
+
+def majority(h: np.ndarray, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHashes of groups of size[i] > 0 neighbouring hashes: the bits that have more than half of their weight."""
+    pieces = -(-size // 64)  # four counters in a word hold 64 weights of up to 730
     group = np.cumsum(pieces) - pieces
     nth = np.arange(int(pieces.sum())) - np.repeat(group, pieces)
-    first = np.repeat(np.cumsum(size) - size, pieces) + 255 * nth
-    out = np.zeros((len(size), 64), bool)
-    for k in range(8):
-        lanes = np.add.reduceat(h >> _U(k) & _U(0x0101010101010101), first).view(np.uint8).reshape(-1, 8)
-        out[:, k::8] = 2 * np.add.reduceat(lanes, group, axis=0, dtype=np.int32) > size[:, None]
+    first = np.repeat(np.cumsum(size) - size, pieces) + 64 * nth
+    total = np.add.reduceat(weight, np.cumsum(size) - size).astype(np.int64)
+    out = np.empty((len(size), 64), bool)
+    for k in range(16):
+        lanes = np.add.reduceat((h >> _U(k) & _U(0x0001000100010001)) * weight, first).view(np.uint16).reshape(-1, 4)
+        out[:, k::16] = 2 * np.add.reduceat(lanes, group, axis=0, dtype=np.int64) > total[:, None]
     return np.packbits(out, axis=1, bitorder="little").view(_U).reshape(-1)
 
 
-def line_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the lines of words a to b: a hash of the words in their order, and their SimHash."""
-    if not len(a):
-        return np.zeros(0, _U), np.zeros(0, _U)
-    h = tb.hash_spans(buf, starts, ends, tb.LOWER)
+def exact_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the lines of words a to b, whose hashes are h: a hash of the words in their order."""
     size = b - a
-    mine = spans(a, size)
+    mine = tb.spans(a, size)
     begin = np.cumsum(size) - size
     nth = np.arange(len(mine)) - np.repeat(begin, size)
-    exact = np.add.reduceat(tb.mix(h[mine] + nth.astype(_U) * _U(0x9E3779B97F4A7C15)), begin)
+    return tb.mix(np.add.reduceat(tb.mix(h[mine] + nth.astype(_U) * _U(0x9E3779B97F4A7C15)), begin) + size.astype(_U)) if len(a) else np.zeros(0, _U)
+
+
+def simhashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """SimHashes of the lines of words a to b, over weighted words and the windows of long ones."""
+    if not len(a):
+        return np.zeros(0, _U)
+    size = b - a
+    mine = tb.spans(a, size)
     length = (ends - starts)[mine]
-    features, count = h[mine], size
-    if (length > LONG_WORD).any():
-        pieces = np.where(length > LONG_WORD, length - PIECE + 1, 1)
-        at = spans(starts[mine], pieces)
-        whole = np.repeat(length <= LONG_WORD, pieces)
-        features = tb.hash_spans(buf, at, np.where(whole, np.repeat(ends[mine], pieces), at + PIECE), tb.LOWER)
-        count = np.add.reduceat(pieces, begin)
-    return tb.mix(exact + size.astype(_U)), majority(features, count)
+    if (length <= LONG_WORD).all():
+        return majority(h[mine], weights(length), size)
+    pieces = np.where(length > LONG_WORD, length - PIECE + 1, 1)
+    at = tb.spans(starts[mine], pieces)
+    end = np.where(np.repeat(length <= LONG_WORD, pieces), np.repeat(ends[mine], pieces), at + PIECE)
+    return majority(tb.hash_spans(buf, at, end, tb.LOWER), weights(end - at), np.add.reduceat(pieces, np.cumsum(size) - size))
 
 
 def outline(docs: DataFrame, least: int) -> DataFrame:
@@ -89,7 +96,8 @@ def outline(docs: DataFrame, least: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = tb.buffers(batch.column("text"))
         text, number, a, b, starts, ends = lines(buf, off, least)
-        line, sim = line_hashes(buf, starts, ends, a, b)
+        h = tb.hash_spans(buf, starts, ends, tb.LOWER)
+        line, sim = exact_hashes(h, a, b), simhashes(buf, starts, ends, h, a, b)
         inner = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64))], ["n", "line", "sim"])
         bounds = pa.array(np.searchsorted(text, np.arange(len(off))).astype(np.int32))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(bounds, inner).cast(kind)], ["doc_id", "lines"])
@@ -179,7 +187,7 @@ def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
         owner = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
         take = np.isin(text << 32 | number, owner << 32 | asked.flatten().to_numpy().astype(np.int64))
         a, b = a[take], b[take]
-        line, _ = line_hashes(buf, starts, ends, a, b)
+        line = exact_hashes(tb.hash_spans(buf, starts, ends, tb.LOWER), a, b)
         low = tb.FOLD[buf].tobytes()
         plain = [b" ".join([low[s:e] for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())]).decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array(plain, pa.string())], ["line", "plain"])
