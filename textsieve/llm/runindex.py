@@ -30,7 +30,11 @@ from textsieve.shipping import ensure
 
 GRAM = 16
 #: Bytes of segments in one index, as far as anchors aren't cut apart.
-INDEX_BYTES = 1_500_000
+INDEX_BYTES = 400_000
+#: Bytes of texts in a group.
+GROUP_BYTES = 6_000_000
+#: Buckets that Spark allows for a table, by its default.
+MOST_BUCKETS = 100_000
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
 
@@ -77,7 +81,12 @@ def segment_hashes(buf: np.ndarray, low: np.ndarray, end: np.ndarray, place: np.
 
 
 class RunIndex:
-    """Run-length Burrows-Wheeler transform of segments, in the order of `size` bytes of context."""
+    """Run-length Burrows-Wheeler transform of segments, in the order of `size` bytes of context.
+
+    Once built it has the runs, the first rows of the distinct strings of `size` bytes and of one
+    byte less, a sample at each of the former, and one row for each segment: what it holds follows
+    the number of different strings and not the length of the text.
+    """
 
     def __init__(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int):
         """Segment k is text[begin[k]:end[k]]; earlier segments come first among equal strings."""
@@ -104,12 +113,16 @@ class RunIndex:
         # valid windows before shorter suffixes padded alike, then the order of segments
         whole = at + size <= text_end
         suffix, same = self._sorted((longer << _U(1)) | (~whole).astype(_U), 2 * bits + 1)
-        new = np.concatenate([[True], (same[1:] >> _U(1)) != (same[:-1] >> _U(1))])
-        self.row = np.empty(n, np.int64)
-        self.row[suffix] = at
+        same >>= _U(1)
+        self.strings = self._starts(same)  # first rows of strings of `size` bytes, and of one byte less
         shorter, _ = self._join(rank, size - 1 - have, text_end)
-        less = shorter[suffix]
-        new_shorter = np.concatenate([[True], less[1:] != less[:-1]])
+        self.shorter = self._starts(shorter[suffix])
+        self.sample = suffix[self.strings]  # text place of the earliest row of each string
+        del longer, same, shorter, rank
+        # rows of the last windows of segments, from which patterns enter
+        row = np.empty(n, np.int64)
+        row[suffix] = at
+        self.enter = row[end - size]
         start = np.zeros(n, bool)
         start[begin] = True
         bwt = np.where(start[suffix], 256, text[suffix - 1]).astype(np.int64)
@@ -123,17 +136,16 @@ class RunIndex:
         self.before = before - before[np.minimum(self.by_char[head], len(before) - 1)]
         # rows by their first byte; segments' last bytes by themselves come first, as empty suffixes have no rows to come from
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])[:256] + np.bincount(text[end - 1], minlength=256)
-        self.group_low, self.group_high = self._bounds(new)
-        self.shorter_low, self.shorter_high = self._bounds(new_shorter)
-        self.sample = suffix[np.flatnonzero(new)]  # text place of the earliest row of each string
-        self.group = np.cumsum(new) - 1
 
     @staticmethod
-    def _bounds(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row, and one past the last, of each row's interval."""
-        starts = np.flatnonzero(new)
-        size = np.diff(np.append(starts, len(new)))
-        return np.repeat(starts, size), np.repeat(starts + size, size)
+    def _starts(key: np.ndarray) -> np.ndarray:
+        """First row of each interval of equal keys."""
+        return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+    @staticmethod
+    def low(starts: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """First rows of the intervals that rows are in."""
+        return starts[np.searchsorted(starts, row, "right") - 1]
 
     @staticmethod
     def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,23 +182,23 @@ class RunIndex:
         return np.where(ok, self.before[i] + np.minimum(row - self.start[i], self.length[i]), 0)
 
     def stream(self, text: np.ndarray, last: np.ndarray, count: np.ndarray):
-        """From the windows that start at `last`, `count` windows each from right to left: yields the
+        """From the segments' windows that start at `last`, `count` windows each from right to left: yields the
         patterns still going, the windows' starts and the text places of their earliest occurrences.
 
         A pattern enters at the row of its own last window; each further one is found by
         leaving out the last byte and searching backwards for the next.
         """
         live = np.arange(len(last))
-        low = self.group_low[self.row[last]]
-        high = self.group_high[low]
+        low = self.low(self.strings, self.enter)
         step = 0
         while len(live):
-            yield live, last[live] - step, self.sample[self.group[low]]
+            yield live, last[live] - step, self.sample[np.searchsorted(self.strings, low)]
             step += 1
             on = count[live] > step
-            live, low, high = live[on], self.shorter_low[low[on]], self.shorter_high[low[on]]
+            live = live[on]
+            low = self.low(self.shorter, low[on])
             char = text[last[live] - step].astype(np.int64)
-            low, high = self.first[char] + self.occurrences(char, low), self.first[char] + self.occurrences(char, high)
+            low = self.first[char] + self.occurrences(char, low)
 
 
 def first_owners(text: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
@@ -243,11 +255,13 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     ensure(spark)
-    buckets = partitions(spark)
+    held_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(partitions(spark), -(-held_bytes // (2 * GROUP_BYTES)))
     groups, targets = 2 * buckets, buckets  # a group sends one binary to each target
     name = f"textsieve_{uuid.uuid4().hex}"
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group"))
-    own.repartition(buckets, "group").write.bucketBy(buckets, "group").saveAsTable(name)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(groups)).cast("int").alias("group"))
+    files = min(buckets, MOST_BUCKETS)
+    own.repartition(files, "group").write.bucketBy(files, "group").saveAsTable(name)
     staged = Staged(spark)
     staged.release()
     held = spark.table(name)
@@ -389,14 +403,15 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         ids = left.column("doc_id").combine_chunks().cast(pa.int64())
         return pa.table([ids, *(pa.array(c, report.field(k + 1).type) for k, c in enumerate(columns))], schema=report)
 
-    asked = held.groupBy("group").applyInArrow(announce, PARTS)
-    told = asked.groupBy("to").applyInArrow(answer, PARTS)
-    sent = held.groupBy("group").cogroup(told.groupBy("to")).applyInArrow(send, PARTS)
-    judged = sent.groupBy("to").applyInArrow(judge, PARTS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
-    out = staged.put(held.groupBy("group").cogroup(judged.groupBy("to")).applyInArrow(finish, schema), "report")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    try:
+        asked = held.groupBy("group").applyInArrow(announce, PARTS)
+        told = asked.groupBy("to").applyInArrow(answer, PARTS)
+        sent = held.groupBy("group").cogroup(told.groupBy("to")).applyInArrow(send, PARTS)
+        judged = sent.groupBy("to").applyInArrow(judge, PARTS)
+        return staged.put(held.groupBy("group").cogroup(judged.groupBy("to")).applyInArrow(finish, schema), "report")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 ORACLE = """
