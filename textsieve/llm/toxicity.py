@@ -63,11 +63,13 @@ class Field:
         return np.stack([np.ones(len(words)), top, np.log1p(tb.sums(p * p, first))], 1)
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Forward-backward over all texts at once.
+def marginals(emit: np.ndarray, first: np.ndarray, pairs: np.ndarray, edges: np.ndarray | None = None) -> np.ndarray:
+    """Forward-backward over all texts at once: the probability that each word is toxic.
 
     Texts are cut into chunks of CHUNK words; each chunk's product of 2x2 potentials
     carries messages over it, so a long text costs as many steps as it has chunks.
+    edges: gets the probability of each pair of states of a word and the one before it,
+    which for a text's first word is "other".
     """
     if not len(emit):
         return np.zeros(0)
@@ -123,6 +125,10 @@ def marginals(emit: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndar
         live = real[k]
         out[at[k][live]] = (both[1] / both.sum(0))[live]
         w1 = tile[k] * b[1]
+        if edges is not None:
+            f = left[k - 1] if k else before
+            joint = np.stack([f[a] * step[a, c] * (w1 if c else b[0]) for a in (0, 1) for c in (0, 1)])
+            edges[at[k][live]] = (joint / joint.sum(0)).T.reshape(-1, 2, 2)[live]
         new = np.stack([step[0, 0] * b[0] + step[0, 1] * w1, step[1, 0] * b[0] + step[1, 1] * w1])
         b = np.where(live, new / new.sum(0), b)
     return out
@@ -170,8 +176,9 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, odds: float = 4.0, share:
             y = np.concatenate([pieces[i][1] for i in mine[k : k + 256]]).astype(float)
             size = np.array([len(pieces[i][0]) for i in mine[k : k + 256]])
             first = np.concatenate([[0], np.cumsum(size)])
-            p = model.marginals(own, first)
-            # gradient of the log likelihood: labels less marginals; pairs by the product of neighbouring marginals
+            joint = np.zeros((len(own), 2, 2))
+            p = marginals(model.weight[own].sum(1) + model.bias, first, model.pairs, joint)
+            # gradient of the log likelihood: labels less marginals, of words and of pairs
             d = (y - p) / len(size)
             uniq, back = np.unique(own, return_inverse=True)
             g = np.bincount(back.ravel(), np.repeat(d, own.shape[1])) - 1e-4 * model.weight[uniq]
@@ -179,16 +186,12 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, odds: float = 4.0, share:
             model.weight[uniq] += rate * g / np.sqrt(grad_w[uniq])
             grad_b += d.sum() ** 2
             model.bias += 0.1 * rate * d.sum() / np.sqrt(grad_b)
-            inner = np.ones(len(y), bool)
-            inner[first[:-1]] = False
-            i = np.flatnonzero(inner)
-            for a in (0, 1):
-                for c in (0, 1):
-                    is_, was = (y[i] == c), (y[i - 1] == a)
-                    pc, pa_ = (p[i] if c else 1 - p[i]), (p[i - 1] if a else 1 - p[i - 1])
-                    gp = ((is_ & was).astype(float) - pa_ * pc).sum() / len(size)
-                    grad_p[a, c] += gp**2
-                    model.pairs[a, c] += 0.1 * rate * gp / np.sqrt(grad_p[a, c])
+            was = np.concatenate([[0], y[:-1]]).astype(np.int64)
+            was[first[:-1]] = 0
+            count = np.bincount(2 * was + y.astype(np.int64), minlength=4).reshape(2, 2)
+            gp = (count - joint.sum(0)) / len(size)
+            grad_p += gp**2
+            model.pairs += 0.1 * rate * gp / np.sqrt(grad_p)
     x = np.concatenate([model.evidence(model.marginals(own, np.array([0, len(own)])), np.array([0, len(own)])) for own in texts])
     scale = np.zeros(3)
     balance = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
