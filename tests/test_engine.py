@@ -1,5 +1,7 @@
 """Column functions, SQL functions, index, joins and streaming on Spark."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_index_life(spark, docs, tmp_path):
         left = docs.where("id <> 0")
         assert ids(search.search(docs, "body", "%~~", "foobar@1", index)) == [i for i in want if i]
         index.compact(all_runs=True)
-        assert index.run_catalog().count() == 1 and not index.catalogue.deleted and index.vacuum()
+        assert index.run_catalog().count() == 1 and not index.catalogue.deleted and not index.vacuum() and index.vacuum(0)
         assert ids(search.search(left, "body", "~~", "%foo%", index)) == ids(search.search(left, "body", "~~", "%foo%"))
         assert index.format_status().count() == 1 and index.min_format_version() == 1 and index.histogram().count() >= 2 and index.small_files() >= 1
         index.upgrade()
@@ -83,14 +85,105 @@ def test_index_life(spark, docs, tmp_path):
             TrigramIndex.create(docs, root, "id", "body")
         with pytest.raises(ValueError):
             TrigramIndex.create(docs, root + "2", "id", "body", most_emissions=3)
-        rare = TrigramIndex.create(docs, root + "3", "id", F.lower("body"), where="body IS NOT NULL", min_frequency=2)
-        assert ids(search.search(docs, "body", "~~", "%unrelated%", rare)) == [4]
+        index.drop()
+        with pytest.raises(FileNotFoundError):
+            TrigramIndex(spark, root)
     finally:
         search.planner.USE_BELOW = 0.05
     assert estimate(docs, "body").first().est_rows == len(WORDS)
     assert TrigramIndex.create(docs.where("false"), root + "4", "id", "body").n_rows() == 0
 
 
+@pytest.fixture
+def any_index(monkeypatch):
+    """Indexes are used however much they narrow."""
+    monkeypatch.setattr(search.planner, "USE_BELOW", 2.0)
+
+
+def uses(index, df, *args, **options):
+    plan = search.search(df, *args, index=index, **options)._jdf.queryExecution().toString()
+    return "LeftSemi" in plan
+
+
+def test_partial_index(spark, docs, tmp_path, any_index):
+    index = TrigramIndex.create(docs, f"file://{tmp_path}/i", "id", "body", where="id > 1 AND id < 9")
+    everything = ids(search.search(docs, "body", "%~~", "foobar@1"))
+    assert ids(search.search(docs, "body", "%~~", "foobar@1", index)) == everything == [0, 1, 2, 3] and not uses(index, docs, "body", "%~~", "foobar@1")
+    some = {"where": "id < 9 and body is not null AND id  >  1"}
+    assert uses(index, docs, "body", "%~~", "foobar@1", **some)
+    assert ids(search.search(docs, "body", "%~~", "foobar@1", index, **some)) == [2, 3]
+    for other in ("id > 1", "id > 1 AND id < 9 OR id = 0", "id > 1 AND (id < 9 OR id = 0)", "id > 1 AND id < 90"):
+        assert not uses(index, docs, "body", "%~~", "foobar@1", where=other)
+
+
+def test_expression_index(spark, tmp_path, any_index):
+    rows = spark.createDataFrame([(0, "foobar"), (1, "nothing"), (2, "A FOOBAR")], "id long, body string")
+    for k, text in enumerate(("lower(body)", F.lower("body"))):
+        index = TrigramIndex.create(rows.where("id < 2"), f"file://{tmp_path}/{k}", "id", text)
+        index.append(rows.where("id = 2"), text)
+        assert ids(search.search(rows, "body", "~~", "%FOOBAR%", index)) == [2] and not uses(index, rows, "body", "~~", "%FOOBAR%")
+        assert ids(search.search(rows, text, "~~", "%foobar%", index)) == [0, 2] and uses(index, rows, text, "~~", "%foobar%")
+        with pytest.raises(ValueError):
+            index.append(rows, "body")
+
+
+def test_index_that_lacks_rare_grams(spark, docs, tmp_path, any_index):
+    rare = TrigramIndex.create(docs.where("id <> 9"), f"file://{tmp_path}/i", "id", "body", min_frequency=2)
+    rare.append(docs.where("id = 9"))
+    rare.append(spark.createDataFrame([(20, "zzz unrelated")], docs.schema))
+    more = docs.unionByName(spark.createDataFrame([(20, "zzz unrelated")], docs.schema))
+    for _ in range(2):
+        assert ids(search.search(more, "body", "~~", "%unrelated%", rare)) == [4, 20]
+        assert ids(search.search(more, "body", "~~", "%foo%", rare)) == [0, 1, 2, 3]
+        rare.compact(all_runs=True)
+
+
+def test_index_through_changes(spark, tmp_path, any_index):
+    """Rows that are added, deleted, changed and added again, and merges: a search through the index is a scan."""
+    rng = random.Random(4)
+    schema = "id long, body string"
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 9)))
+    now = {k: word() for k in range(12)}
+    index = TrigramIndex.create(spark.createDataFrame(list(now.items()), schema), f"file://{tmp_path}/i", "id", "body", min_frequency=2)
+    for step in range(9):
+        keys = rng.sample(range(14), 3)
+        match rng.choice(["update", "delete", "append", "compact", "merge"]):
+            case "update":
+                now |= (new := {k: word() for k in keys})
+                index.update(spark.createDataFrame(list(new.items()), schema))
+            case "delete":
+                index.delete(spark.createDataFrame([(k,) for k in keys], "id long"))
+                now = {k: v for k, v in now.items() if k not in keys}
+            case "append":
+                now |= (new := {100 + 3 * step + j: word() for j in range(3)})
+                TrigramIndex(spark, index.root).append(spark.createDataFrame(list(new.items()), schema))  # another writer
+            case "compact":
+                index.compact(levels=1)
+            case "merge":
+                index.compact(all_runs=True)
+        rows = spark.createDataFrame(list(now.items()), schema)
+        index = TrigramIndex(spark, index.root)
+        for right in ("%abc%", "%bca%", f"%{word()}%"):
+            assert ids(search.search(rows, "body", "~~", right, index)) == ids(search.search(rows, "body", "~~", right)), (step, right)
+    assert index.rebuild(rows).n_rows == len(now) and len(index.catalogue.runs) == 1 and not index.catalogue.deleted
+
+
+def test_two_writers(spark, docs, tmp_path):
+    first = TrigramIndex.create(docs.where("id < 4"), f"file://{tmp_path}/i", "id", "body")
+    second = TrigramIndex(spark, first.root)
+    first.append(docs.where("id = 4"))
+    second.append(docs.where("id = 5"))
+    assert [r.run_id for r in TrigramIndex(spark, first.root).catalogue.runs] == [1, 2, 3]
+
+
+def test_ranking_keeps_columns(docs):
+    own = docs.withColumn("DIST", F.lit("mine")).withColumn("Rank", F.lit("too"))
+    got = search.nearest(own, "body", "foobar@1", "id", 1)
+    assert got.columns == [*own.columns, "dist_"] and got.first().DIST == "mine"
+    got = search.nearest_by_group(own.withColumn("g", F.lit(1)), "body", "foobar@1", "g", "id", 1)
+    assert got.columns[-2:] == ["dist_", "rank_"] and got.first().Rank == "too"
+
+
 def test_ranking(docs):
     got = [(r.id, r.dist) for r in search.nearest(docs, "body", "foobar@2", "id", 4).collect()]
     assert got == [(0, 0), (1, 1), (2, 1), (3, 1)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from textsieve.functions import columns as c
 from textsieve.functions import trigrams as t
 from textsieve.functions.pattern import Pattern
 from textsieve.operators import joins, search
+from textsieve.shipping import shared_folder
 from textsieve.sources.index import TrigramIndex, estimate
 from textsieve.sources.tables import table
 
@@ -249,12 +249,12 @@ def distance_topk(spark, sf):
     return search.nearest(table(spark, sf, "documents"), "text", Pattern(TYPO1, 1), "doc_id", 10).select("doc_id", "dist")
 
 
-@query(f"""WITH d AS (SELECT role, conv_id, turn, {near('threats', 'substring(text, 1, 200)', 4)} AS dist FROM conversations),
-r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY dist, conv_id, turn) AS rank FROM d WHERE dist IS NOT NULL)
+@query(f"""WITH t AS (SELECT *, struct_pack(conv_id, turn) AS place FROM conversations),
+r AS (SELECT role, conv_id, turn, dist, row_number() OVER (PARTITION BY role ORDER BY dist, conv_id, turn) AS rank FROM {near_long('threats', 2, 't', 'place')} JOIN t USING (place))
 SELECT role, conv_id, turn, dist, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def topk_per_group(spark, sf):
-    rows = table(spark, sf, "conversations").withColumn("t", F.substring("text", 1, 200))
-    return search.nearest_by_group(rows, "t", Pattern("threats", 4), "role", ["conv_id", "turn"], 3).select("role", "conv_id", "turn", "dist", "rank")
+    rows = table(spark, sf, "conversations")
+    return search.nearest_by_group(rows, "text", Pattern("threats", 2), "role", ["conv_id", "turn"], 3).select("role", "conv_id", "turn", "dist", "rank")
 
 
 # -- composition ---------------------------------------------------------------------------------
@@ -365,8 +365,7 @@ def pattern_io(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
 
 
 def _index(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> tuple[DataFrame, TrigramIndex]:
@@ -407,6 +406,45 @@ def index_after_delete(spark, sf):
     return search.search(docs.where("doc_id % 2 = 1"), "text", "~", RARE, index).select("doc_id")
 
 
+@query(f"SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND contains(text, '{RARE}')")
+def index_partial(spark, sf):
+    docs = table(spark, sf, "documents")
+    index = TrigramIndex.create(docs, _folder(spark), "doc_id", "text", where="doc_id % 2 = 0")
+    return search.search(docs, "text", "%~~", RARE, index, where="doc_id % 2 = 0").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(upper(text), '{RARE.upper()}')")
+def index_expression(spark, sf):
+    docs = table(spark, sf, "documents")
+    index = TrigramIndex.create(docs, _folder(spark), "doc_id", "upper(text)")
+    return search.search(docs, "upper(text)", "%~~", RARE.upper(), index).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(text, '{RARE}')")
+def index_min_frequency(spark, sf):
+    docs = table(spark, sf, "documents")
+    index = TrigramIndex.create(docs.where("doc_id % 2 = 0"), _folder(spark), "doc_id", "text", min_frequency=3)
+    index.append(docs.where("doc_id % 2 = 1"))
+    return search.search(docs, "text", "%~~", RARE, index).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(CASE WHEN doc_id % 3 = 0 THEN reverse(text) ELSE text END, '{RARE}')")
+def index_update(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    changed = docs.where("doc_id % 3 = 0").withColumn("text", F.reverse("text"))
+    _, index = _index(spark, sf, docs)
+    index.delete(docs.where("doc_id % 5 = 0").select("doc_id"))
+    index.append(docs.where("doc_id % 5 = 0"))
+    index.update(changed)
+    return search.search(docs.where("doc_id % 3 <> 0").unionByName(changed), "text", "~~", f"%{RARE}%", index).select("doc_id")
+
+
+@query(f"SELECT doc_id, dist FROM {near_long('worthliss', 1)} ORDER BY dist, doc_id LIMIT 10")
+def index_nearest(spark, sf):
+    docs, index = _index(spark, sf)
+    return search.nearest(docs, "text", "worthliss@1", "doc_id", 10, index=index).select("doc_id", "dist")
+
+
 @query("SELECT count(*) AS sample_rows, count(*) AS est_rows, CAST(sum(n) AS BIGINT) AS est_trigrams, round(sum(n) * 64 / 1048576.0, 3) AS est_temp_mb, round(sum(n) * 16 / 1048576.0, 3) AS est_index_mb FROM (SELECT len(list_distinct(list_transform(range(1, len(p_name) - 1), lambda i: substring(p_name, i, 3)))) AS n FROM part)")
 def estimate_index_build(spark, sf):
     return estimate(table(spark, sf, "part"), "p_name", 1 << 30)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from textsieve.functions import columns as c
 from textsieve.functions.pattern import Pattern, of
+from textsieve.naming import free
 from textsieve.plans import planner
-from textsieve.sources.index import TrigramIndex
+from textsieve.sources.index import TrigramIndex, conjuncts, shown
 
 OPERATORS = ("%~~", "~~", "~~*", "~", "~*", "=", "!~~", "!~", "!~*")
 
@@ -73,11 +74,11 @@ def candidates(index: TrigramIndex, query: planner.GramQuery) -> DataFrame | Non
     """Keys of rows that may match, from an index; None if it can't tell or wouldn't help."""
     if not query.tiles:
         return None
+    usable = index.usable(query.grams)
+    query = planner.GramQuery(tuple(t & usable for t in query.tiles))
+    if not all(query.tiles):
+        return None
     frequency = index.frequencies(query.grams)
-    if index.catalogue.min_frequency > 1:  # what is missing may have been left out
-        query = planner.GramQuery(tuple(frozenset(g for g in t if frequency[g]) for t in query.tiles))
-        if not all(query.tiles):
-            return None
     if not planner.use_index(query, frequency, index.n_rows()):
         return None
     query = planner.rarest(query, frequency)
@@ -87,24 +88,36 @@ def candidates(index: TrigramIndex, query: planner.GramQuery) -> DataFrame | Non
     return have.where(reduce(lambda a, b: a | b, full)).select(F.col("id").alias(index.catalogue.key))
 
 
-def search(df: DataFrame, text: str, op: str, right: str | Pattern, index: TrigramIndex | None = None) -> DataFrame:
-    """Rows of df for which the operator holds.  An index of df[text] may only narrow what is checked."""
-    exact = predicate(text, op, right)
-    if index is not None and (keys := candidates(index, query_of(op, right))) is not None:
-        df = df.join(keys, index.catalogue.key, "left_semi")
-    return df.where(exact)
+def narrowed(df: DataFrame, text: str | Column, query: planner.GramQuery, index: TrigramIndex | None, where: str | None) -> DataFrame:
+    """df, less rows that an index of the same expression, and of no fewer rows than `where` leaves, rules out."""
+    if index is None or shown(text, df.columns)[0] != index.catalogue.text or not conjuncts(index.catalogue.where) <= conjuncts(where):
+        return df
+    keys = candidates(index, query)
+    return df if keys is None else df.join(keys, index.catalogue.key, "left_semi")
+
+
+def search(df: DataFrame, text: str | Column, op: str, right: str | Pattern, index: TrigramIndex | None = None, where: str | None = None) -> DataFrame:
+    """Rows of df for which the operator, and `where`, hold.
+
+    An index may only narrow what is checked.  It is used if it is of the same expression; one that has
+    a condition of its own is used if the parts of that are among those of `where`.
+    """
+    df = df.where(where) if where else df
+    return narrowed(df, text, query_of(op, right), index, where).where(predicate(shown(text, df.columns)[1], op, right))
 
 
-def nearest(df: DataFrame, text: str, pattern: str | Pattern, key: str, n: int, column: str = "dist", index: TrigramIndex | None = None) -> DataFrame:
-    """The n matching rows of least distance, by key among equals."""
-    p = of(pattern)
-    if index is not None and (keys := candidates(index, query_of("%~~", p))) is not None:
-        df = df.join(keys, index.catalogue.key, "left_semi")
-    return df.withColumn(column, c.distance(text, p)).where(F.col(column).isNotNull()).orderBy(column, key).limit(n)
+def nearest(df: DataFrame, text: str | Column, pattern: str | Pattern, key: str, n: int, column: str = "dist", index: TrigramIndex | None = None, where: str | None = None) -> DataFrame:
+    """The n matching rows of least distance, by key among equals; the distance is added as `column`, with underscores if df has that name."""
+    p, column = of(pattern), free(column, df.columns)
+    df = df.where(where) if where else df
+    rows = narrowed(df, text, query_of("%~~", p), index, where)
+    return rows.withColumn(column, c.distance(shown(text, df.columns)[1], p)).where(F.col(column).isNotNull()).orderBy(column, key).limit(n)
 
 
-def nearest_by_group(df: DataFrame, text: str, pattern: str | Pattern, group: str, key: str | list[str], n: int, column: str = "dist") -> DataFrame:
-    """The n matching rows of least distance in each group."""
+def nearest_by_group(df: DataFrame, text: str, pattern: str | Pattern, group: str, key: str | list[str], n: int, column: str = "dist", rank: str = "rank") -> DataFrame:
+    """The n matching rows of least distance in each group; distance and rank are added, with underscores if df has these names."""
+    column = free(column, df.columns)
+    rank = free(rank, [*df.columns, column])
     found = df.withColumn(column, c.distance(text, pattern)).where(F.col(column).isNotNull())
     order = W.partitionBy(group).orderBy(column, *([key] if isinstance(key, str) else key))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return found.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)

@@ -2,18 +2,25 @@
 
 Layout under the index's folder: catalogue-<n>.json (the newest number counts), and a folder for
 each run with postings (gram, id), sorted by gram, and for each tombstone set.  Files are written
-before the catalogue that names them, so that a job that fails leaves the index as it was.
+before the catalogue that names them, so that a job that fails leaves the index as it was; of two
+writers, the later one applies its change to what the other has committed.
+
+A tombstone hides rows of the runs that were there before it, so a key may be deleted and added
+again.  A run that rare grams were left out of is incomplete: a gram that it lacks tells nothing.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,20 +91,57 @@ class Run:
     min_gram: str | None
     max_gram: str | None
     format_version: int = FORMAT
+    complete: bool = True
+
+
+@dataclass
+class Tombstone:
+    folder: str
+    before: int  # the first run that it doesn't hold for
 
 
 @dataclass
 class Catalogue:
     key: str
-    text: str
+    text: str  # what is indexed, as Spark writes the expression
+    expression: str | None  # the same as SQL, if it was given so
     key_type: str
     where: str | None = None
     min_frequency: int = 1
     runs: list[Run] = field(default_factory=list)
-    deleted: list[str] = field(default_factory=list)
+    deleted: list[Tombstone] = field(default_factory=list)
     next_run: int = 1
     version: int = 0
 
+    @classmethod
+    def load(cls, text: str) -> Catalogue:
+        data = json.loads(text)
+        return cls(**{**data, "runs": [Run(**r) for r in data["runs"]], "deleted": [Tombstone(**t) for t in data["deleted"]]})
+
+
+def shown(text: str | Column, columns: list[str] | None = None) -> tuple[str, Column, str | None]:
+    """A column's or SQL expression's canonical form, the expression itself, and its SQL, if it was given."""
+    if isinstance(text, Column):
+        return text._jc.toString(), text, None
+    column = F.col(f"`{text}`") if columns and text in columns else F.expr(text)
+    return column._jc.toString().replace("`", ""), column, text
+
+
+def conjuncts(where: str | None) -> frozenset[str]:
+    """The parts that AND joins in a condition, as texts; one with other connectives or quotes is one part."""
+    if where is None:
+        return frozenset()
+    if re.search(r"\b(or|between|case)\b|['\"`]|--|/\*|\|\|", where, re.I):
+        return frozenset([where.strip()])
+    parts, depth = [""], 0
+    for x in re.split(r"(\s+and\s+|[()])", where, flags=re.I):
+        depth += (x == "(") - (x == ")")
+        if depth == 0 and x.strip().lower() == "and":
+            parts.append("")
+        else:
+            parts[-1] += x
+    return frozenset(" ".join(p.split()) for p in parts)
+
 
 class Files:
     """Small files through Spark's own file systems."""
@@ -127,6 +171,9 @@ class Files:
     def size(self, name: str) -> list[tuple[str, int]]:
         return [(x.getPath().getName(), x.getLen()) for x in self.fs.listStatus(self.path(name))]
 
+    def changed(self) -> list[tuple[str, float]]:
+        return [(x.getPath().getName(), x.getModificationTime() / 1000) for x in self.fs.listStatus(self.path("."))]
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
@@ -134,86 +181,143 @@ class Files:
 class TrigramIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+        self._load()
+
+    def _load(self) -> None:
         newest = max((int(n[10:-5]) for n in self.files.names() if n.startswith("catalogue-") and n.endswith(".json")), default=None)
         if newest is None:
-            raise FileNotFoundError(f"no index in {root}")
-        data = json.loads(self.files.read(f"catalogue-{newest}.json"))
-        self.catalogue = Catalogue(**{**data, "runs": [Run(**r) for r in data["runs"]]})
+            raise FileNotFoundError(f"no index in {self.root}")
+        self.catalogue = Catalogue.load(self.files.read(f"catalogue-{newest}.json"))
 
     @classmethod
     def create(cls, df: DataFrame, root: str, key: str, text: str | Column, where: str | None = None, min_frequency: int = 1, most_emissions: int | None = None) -> TrigramIndex:
-        """Indexes df[text], which may be an expression, of rows that `where` holds for.
+        """Indexes `text`, a column of df, an SQL expression or a Column, of rows that `where` holds for.
 
-        most_emissions: an index that would have more postings isn't built.  min_frequency: grams of
-        fewer rows aren't kept; such an index still answers right, as a gram that it doesn't have
-        narrows nothing.
+        Searches use the index only for the same expression, and a partial one only where they ask for
+        its condition too.  most_emissions: an index that would have more postings isn't built.
+        min_frequency: grams of fewer rows aren't kept; such an index still answers right, as a gram
+        that a run of it doesn't have narrows nothing.
         """
         spark = df.sparkSession
         files = Files(spark, root)
         if any(n.startswith("catalogue-") for n in files.names()):
             raise FileExistsError(f"{root} has an index")
-        name = text if isinstance(text, str) else "text"
-        start = Catalogue(key, name, df.schema[key].dataType.simpleString(), where, min_frequency)
+        name, _, sql = shown(text, df.columns)
+        start = Catalogue(key, name, sql, df.schema[key].dataType.simpleString(), where, min_frequency)
         files.write("catalogue-0.json", json.dumps(asdict(start)))
         index = cls(spark, root)
         index.append(df, text, most_emissions=most_emissions)
         return index
 
-    def _commit(self, change: Callable[[Catalogue], None]) -> None:
-        change(self.catalogue)
-        self.catalogue.version += 1
-        self.files.write(f"catalogue-{self.catalogue.version}.json", json.dumps(asdict(self.catalogue)))
-
-    def _write(self, postings: DataFrame, level: int, n_rows: int) -> Run:
+    def _commit(self, change: Callable[[Catalogue], None], attempts: int = 20) -> None:
+        """Applies a change to the newest catalogue; if another writer was faster, to the one that it wrote."""
+        for left in reversed(range(attempts)):
+            self._load()
+            change(self.catalogue)
+            self.catalogue.version += 1
+            try:
+                self.files.write(f"catalogue-{self.catalogue.version}.json", json.dumps(asdict(self.catalogue)))
+                return
+            except Py4JJavaError:
+                if not left or f"catalogue-{self.catalogue.version}.json" not in self.files.names():
+                    raise
+
+    def _write(self, postings: DataFrame, level: int, n_rows: int, complete: bool) -> Run:
         folder = f"run-{uuid.uuid4().hex}"
         # ranges of (gram, id), so that a gram that all rows have is dealt to several tasks
         postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{self.root}/{folder}")
         n, low, high = self.spark.read.parquet(f"{self.root}/{folder}").agg(F.count("*"), F.min("gram"), F.max("gram")).first()
-        return Run(self.catalogue.next_run, level, folder, n_rows, n, low, high)
+        return Run(0, level, folder, n_rows, n, low, high, complete=complete)
 
-    def append(self, df: DataFrame, text: str | Column | None = None, level: int = 0, most_emissions: int | None = None) -> Run:
-        """Adds rows as a run of their own; null texts have no postings."""
-        value = F.col(text or self.catalogue.text) if not isinstance(text, Column) else text
+    def _emitted(self, df: DataFrame, text: str | Column | None) -> tuple[DataFrame, DataFrame]:
+        name, value, _ = shown(self.catalogue.expression if text is None else text, df.columns) if text is not None or self.catalogue.expression else (None, None, None)
+        if name != self.catalogue.text:
+            raise ValueError(f"this index is of {self.catalogue.text}; give that expression")
         rows = df.where(self.catalogue.where) if self.catalogue.where else df
-        postings = emissions(rows.select(F.col(self.catalogue.key).alias("id"), value.cast("string").alias("text")))
+        return rows, emissions(rows.select(F.col(self.catalogue.key).alias("id"), value.cast("string").alias("text")))
+
+    def _build(self, df: DataFrame, text: str | Column | None, level: int, most_emissions: int | None, first: bool) -> Run:
+        rows, postings = self._emitted(df, text)
         if most_emissions is not None and (n := postings.count()) > most_emissions:
             raise ValueError(f"the index would have {n} postings, more than {most_emissions}")
-        if self.catalogue.min_frequency > 1 and not self.catalogue.runs:
+        rare = first and self.catalogue.min_frequency > 1
+        if rare:
             often = postings.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= self.catalogue.min_frequency)
             postings = postings.join(often.select("gram"), "gram", "left_semi").select("gram", "id")
-        run = self._write(postings, level, rows.count())
+        return self._write(postings, level, rows.count(), not rare)
+
+    @staticmethod
+    def _enter(c: Catalogue, run: Run) -> None:
+        run.run_id = c.next_run
+        c.runs.append(run)
+        c.next_run += 1
+
+    def append(self, df: DataFrame, text: str | Column | None = None, level: int = 0, most_emissions: int | None = None) -> Run:
+        """Adds rows as a run of their own; null texts have no postings."""
+        run = self._build(df, text, level, most_emissions, first=not self.catalogue.runs)
+        self._commit(lambda c: self._enter(c, run))
+        return run
+
+    def rebuild(self, df: DataFrame, text: str | Column | None = None) -> Run:
+        """Puts a run of df's rows in the place of all runs; readers of the old ones aren't disturbed until vacuum()."""
+        run = self._build(df, text, 0, None, first=True)
 
         def change(c: Catalogue) -> None:
-            c.runs.append(run)
-            c.next_run += 1
+            c.runs, c.deleted = [], []
+            self._enter(c, run)
 
         self._commit(change)
         return run
 
+    def drop(self) -> None:
+        """Deletes the index with all its files."""
+        self.files.delete(".")
+
     def delete(self, ids: DataFrame) -> None:
-        """Hides rows by their keys until they are compacted away."""
+        """Hides rows by their keys in all runs that there are; runs added later may have the keys again."""
         folder = f"deleted-{uuid.uuid4().hex}"
         ids.select(F.col(ids.columns[0]).alias("id")).distinct().write.parquet(f"{self.root}/{folder}")
-        self._commit(lambda c: c.deleted.append(folder))
+        self._commit(lambda c: c.deleted.append(Tombstone(folder, c.next_run)))
+
+    def update(self, df: DataFrame, text: str | Column | None = None) -> Run:
+        """Hides what is indexed of df's keys and adds df's rows, in one commit."""
+        folder = f"deleted-{uuid.uuid4().hex}"
+        df.select(F.col(self.catalogue.key).alias("id")).distinct().write.parquet(f"{self.root}/{folder}")
+        run = self._build(df, text, 0, None, first=False)
+
+        def change(c: Catalogue) -> None:
+            c.deleted.append(Tombstone(folder, c.next_run))
+            self._enter(c, run)
+
+        self._commit(change)
+        return run
 
     def _read(self, folders: list[str], schema: str) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
 
+    def _live(self, runs: list[Run], wanted: list[str] | None = None) -> DataFrame:
+        """(gram, id) of runs, of the wanted grams, without rows that tombstones hide."""
+        kind = self.catalogue.key_type
+        by_tombs: dict[tuple[str, ...], list[str]] = {}
+        for r in runs:
+            if r.n_postings and (wanted is None or any(r.min_gram <= g <= r.max_gram for g in wanted)):
+                by_tombs.setdefault(tuple(t.folder for t in self.catalogue.deleted if r.run_id < t.before), []).append(r.folder)
+        out = None
+        for tombs, folders in by_tombs.items():
+            df = self._read(folders, f"gram string, id {kind}")
+            df = df.where(F.col("gram").isin(wanted)) if wanted is not None else df
+            df = df.join(self._read(list(tombs), f"id {kind}"), "id", "left_anti").select("gram", "id") if tombs else df
+            out = df if out is None else out.unionByName(df)
+        return self._read([], f"gram string, id {kind}") if out is None else out
+
     def postings(self, wanted: list[str] | None = None) -> DataFrame:
         """(gram, id) of all runs that may have one of the wanted grams, without deleted rows."""
-        kind = self.catalogue.key_type
-        runs = [r for r in self.catalogue.runs if r.n_postings and (wanted is None or any(r.min_gram <= g <= r.max_gram for g in wanted))]
-        df = self._read([r.folder for r in runs], f"gram string, id {kind}")
-        if wanted is not None:
-            df = df.where(F.col("gram").isin(wanted))
-        if self.catalogue.deleted:
-            df = df.join(self._read(self.catalogue.deleted, f"id {kind}"), "id", "left_anti")
-        return df
+        return self._live(self.catalogue.runs, wanted)
 
     def compact(self, levels: int = 4, all_runs: bool = False) -> None:
-        """Merges runs: level n holds at most 2^n of them; deleted rows leave with full merges."""
+        """Merges runs: level n holds at most 2^n of them; deleted rows leave with their runs."""
         while True:
             live = self.catalogue.runs
             by_level = {lv: [r for r in live if r.level == lv] for lv in sorted({r.level for r in live})}
@@ -224,31 +328,41 @@ class TrigramIndex:
                 if full is None:
                     return
                 mine, level = by_level[full], full + 1
-            kind = self.catalogue.key_type
-            df = self._read([r.folder for r in mine if r.n_postings], f"gram string, id {kind}").distinct()
-            whole = len(mine) == len(live)
-            if self.catalogue.deleted:
-                df = df.join(self._read(self.catalogue.deleted, f"id {kind}"), "id", "left_anti").select("gram", "id")
-            run = self._write(df, level, sum(r.n_rows for r in mine))
-            gone = {r.run_id for r in mine}
-
-            def change(c: Catalogue, run=run, gone=gone, whole=whole) -> None:
-                c.runs = [*(r for r in c.runs if r.run_id not in gone), run]
-                c.next_run += 1
-                if whole:
-                    c.deleted = []
+            df = self._live(mine).distinct()
+            for r in mine:
+                if not r.complete:  # what it lacks would seem whole beside the others
+                    df = df.join(self._live([r]).select("gram").distinct(), "gram", "left_semi").select("gram", "id")
+            run = self._write(df, level, sum(r.n_rows for r in mine), all(r.complete for r in mine))
+            gone, hidden = {r.run_id for r in mine}, {t.folder for t in self.catalogue.deleted}
+
+            def change(c: Catalogue, run=run, gone=gone, hidden=hidden) -> None:
+                if not gone <= {r.run_id for r in c.runs} or {t.folder for t in c.deleted} != hidden:
+                    raise RuntimeError("another writer has changed the runs that were merged; merge again")
+                c.runs = [r for r in c.runs if r.run_id not in gone]
+                self._enter(c, run)
+                c.deleted = [t for t in c.deleted if any(r.run_id < t.before for r in c.runs)]
 
             self._commit(change)
             all_runs = False
 
-    def vacuum(self) -> list[str]:
-        """Deletes folders and catalogues that the newest catalogue doesn't name."""
-        keep = {r.folder for r in self.catalogue.runs} | {*self.catalogue.deleted} | {f"catalogue-{self.catalogue.version}.json"}
-        gone = [n for n in self.files.names() if n.split("-")[0] in ("run", "deleted", "catalogue") and n not in keep]
+    def vacuum(self, older_than: float = 86_400.0) -> list[str]:
+        """Deletes folders and catalogues that the newest catalogue doesn't name and that are older than so many seconds, which no job still reads or writes."""
+        self._load()
+        keep = {r.folder for r in self.catalogue.runs} | {t.folder for t in self.catalogue.deleted} | {f"catalogue-{self.catalogue.version}.json"}
+        old = time.time() - older_than
+        gone = [n for n, at in self.files.changed() if n.split("-")[0] in ("run", "deleted", "catalogue") and n not in keep and at <= old]
         for n in gone:
             self.files.delete(n)
         return gone
 
+    def usable(self, grams_: list[str]) -> set[str]:
+        """Grams that no incomplete run may have left out."""
+        out = set(grams_)
+        for r in self.catalogue.runs:
+            if not r.complete and out:
+                out &= {g for (g,) in self._live([r], sorted(out)).select("gram").distinct().collect()}  # as many as the pattern has
+        return out
+
     def upgrade(self) -> None:
         """Rewrites runs of older formats; does nothing if there are none."""
         if any(r.format_version < FORMAT for r in self.catalogue.runs):
@@ -278,7 +392,7 @@ class TrigramIndex:
     def histogram(self) -> DataFrame:
         """Files and bytes by kind: postings, tombstones and catalogues."""
         rows = [("postings", n) for r in self.catalogue.runs for name, n in self.files.size(r.folder) if name.startswith("part-")]
-        rows += [("tombstones", n) for f in self.catalogue.deleted for name, n in self.files.size(f) if name.startswith("part-")]
+        rows += [("tombstones", n) for t in self.catalogue.deleted for name, n in self.files.size(t.folder) if name.startswith("part-")]
         rows += [("catalogue", n) for name, n in self.files.size(".") if name == f"catalogue-{self.catalogue.version}.json"]
         total = sum(n for _, n in rows) or 1
         return self.spark.createDataFrame(rows, "kind string, size long").groupBy("kind").agg(F.count("*").alias("n_pages"), F.sum("size").alias("used_bytes"), F.round(100.0 * F.sum("size") / total, 1).alias("used_pct"))
