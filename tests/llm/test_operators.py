@@ -228,6 +228,38 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_kernel():
+    """Against sets of n-grams and a solution of ridge regression in plain numpy."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["ab ", "cd", "É", "x", "YZ "]) for _ in range(rng.randint(2, 40))) for _ in range(30)] + ["a", ""]
+    langs = [rng.choice("pq") for _ in texts]
+    model = langid.train(texts, langs, landmarks=6, ridge=1e-2)
+
+    def grams(t):
+        b = t.encode()
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+        return {b[k : k + n] for n in langid.LENGTHS for k in range(len(b) - n + 1)}
+
+    def kernel(x, y):
+        return np.array([[len(grams(s) & grams(t)) / max(1, len(grams(s)) * len(grams(t))) ** 0.5 for t in y] for s in x])
+
+    marks = [t for lang in "pq" for t in [t for t, own in zip(texts, langs) if own == lang][:6]]
+    k_nm, k_mm = kernel(texts, marks), kernel(marks, marks)
+    assert np.abs(model.kernel(pa.array(texts)) - k_nm).max() < 0.02  # few n-grams share a hash
+    y = np.array([[1.0 if own == lang else -1.0 for lang in "pq"] for own in langs])
+    w = np.array([len(langs) / (2 * langs.count(own)) for own in langs])[:, None]
+    alpha = np.linalg.solve(k_nm.T @ (w * k_nm) + 1e-2 * len(texts) * k_mm + 1e-8 * len(texts) * np.eye(len(marks)), k_nm.T @ (w * y))
+    assert np.abs(model.margins(pa.array(texts)) - k_nm @ alpha).max() < 0.1
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    rows = [(i, "bla blu blo " * 5, "aa") for i in range(20)] + [(100 + i, "zig zag zog " * 5, "bb") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "blu bla " * 60_000), (1, "blu bla " * 60_000), (None, "zog zig"), (2, "zog zig")], "doc_id long, text string").withColumn("LANG_pred", langid.F.lit("x"))
+    got = [(r.doc_id, r.lang_pred) for r in langid.identify(odd, langid.fit(docs)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "aa"), (1, "aa"), (None, "bb"), (2, "bb")], key=str)
+
+
 def test_no_language_is_left_out(spark):
     rows = [(k * 100 + i, f"w{chr(97 + k // 26)}{chr(97 + k % 26)} " * 9, f"l{k}") for k in range(70) for i in range(4)]
     rows += [(9000 + i, "zzyx qqvj " * 900, "long") for i in range(6)]

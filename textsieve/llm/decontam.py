@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from textsieve.llm import textbytes as tb
 from textsieve.llm.staging import Staged, map_batches
+from textsieve.naming import free
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in as many passes as it needs.
@@ -33,20 +34,20 @@ def windows(text: str | None, size: int) -> set[bytes]:
 
 
 class Scanner:
-    """Windows with the items that they belong to; the automaton is built where it is used."""
+    """Windows with the items that they belong to; only the items' texts travel, and the automaton is built where it is used."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int):
-        self.of: dict[bytes, list[str]] = {}
-        for item, text in items:
-            for w in windows(text, size):
-                self.of.setdefault(w, []).append(item)
-        self.of = {k: sorted(set(v)) for k, v in self.of.items()}
-        self.automaton = None
+        self.items, self.size, self.automaton = items, size, None
 
     def __getstate__(self):
-        return {"of": self.of, "automaton": None}
+        return {"items": self.items, "size": self.size, "automaton": None}
 
     def build(self) -> None:
+        found: dict[bytes, set[str]] = {}
+        for item, text in self.items:
+            for w in windows(text, self.size):
+                found.setdefault(w, set()).add(item)
+        self.of = {k: sorted(v) for k, v in found.items()}
         words = sorted({w for k in self.of for w in k.split()})
         a = pa.array(words, pa.binary())
         buf, off = tb.buffers(a)
@@ -130,8 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, column: str = "h
     several rows share has the windows of them all.  An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    while column in docs.columns:
-        column += "_"
+    column = free(column, docs.columns)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // block_bytes) or 1

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from textsieve.llm import textbytes as tb
 from textsieve.llm.sampling import labelled, remainder
 from textsieve.llm.staging import map_batches
+from textsieve.naming import free
 
 BUCKETS = 1 << 16
 GRAMS = (3, 5)
@@ -107,10 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, longest: int = 1 <
 
 
 def classify(docs: DataFrame, model, column: str = "score") -> DataFrame:
-    """All columns of docs and the score of every whole text; a null or empty text gets the score of no features."""
-    name = column
-    while name in docs.columns:
-        name += "_"
+    """All columns of docs and the score of every whole text.
+
+    A null or empty text gets the score of no features.  Equal texts score alike, and repeated rows
+    stay.  The added column comes last, with underscores until no column has its name, whatever the
+    case.  No rows give no rows.
+    """
+    name = free(column, docs.columns)
     schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:

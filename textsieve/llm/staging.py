@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,20 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from textsieve.llm.textbytes import slices
-from textsieve.shipping import ensure
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="textsieve-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+from textsieve.shipping import ensure, shared_folder
 
 
 class Staged:
