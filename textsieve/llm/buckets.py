@@ -65,7 +65,7 @@ def unite_groups(cut: np.ndarray, forest: Forest, near: Callable[[np.ndarray, np
         x, y, share = (np.concatenate(v) for v in zip(*found))
         likely = np.argsort(-share, kind="stable")
         x, y = x[likely], y[likely]
-        step = max(512, len(x) // 4)
+        step = max(512, int(n.sum()))  # links that may be needed
         while len(x):
             ok = alike(x[:step], y[:step])
             for i, j in zip(x[:step][ok].tolist(), y[:step][ok].tolist()):
