@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from textsieve.functions import nfa, regex
 from textsieve.functions.pattern import Pattern
 from textsieve.functions.trigrams import extent_similarity
 from textsieve.plans import planner, prefilter
+from textsieve.sources.index import strings
 
 
 def least_edits(word, text):
@@ -145,3 +147,24 @@ def test_selectivity():
     assert planner.selectivity(q, {"abc": 10, "bcd": 50}, 1000) == 0.01
     assert planner.use_index(q, {"abc": 10, "bcd": 50}, 1000) and not planner.use_index(q, {"abc": 90, "bcd": 90}, 1000)
     assert planner.selectivity(planner.GramQuery(()), {}, 10) == 1.0
+
+
+def test_surroundings_hold_every_match():
+    rng = random.Random(8)
+    for _ in range(300):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(4, 12)))
+        k = rng.randint(1, 3)
+        texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 80))) for _ in range(4)]
+        texts += [t + word[: len(word) // 2] + "d" + word[len(word) // 2 :] + t for t in texts]
+        pieces = prefilter.pieces(prefilter.formula(word, k))
+        matcher = nfa.compiled(word)
+        whole = matcher.costs(texts, k)
+        if pieces:
+            assert matcher.costs(texts, k, pieces) == whole
+
+
+def test_strings_of_code_points():
+    text = "aé€😀\x00ÿ߿ࠀ￿𐀀"
+    code = np.array([[ord(text[i]), ord(text[j]), ord(text[k])] for i in range(10) for j in (0, 3) for k in range(10)], np.uint32)
+    assert strings(code).to_pylist() == ["".join(map(chr, row)) for row in code.tolist()]
+    assert strings(code[:0]).to_pylist() == []

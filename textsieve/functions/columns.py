@@ -59,7 +59,7 @@ def java_regex(node: rx.Node) -> str | None:
     return None
 
 
-def _costs(text: Column, pattern: str, k: int, max_states: int) -> Column:
+def _costs(text: Column, pattern: str, k: int, max_states: int, pieces: list[str] | None = None) -> Column:
     _ready()
 
     @F.pandas_udf("int")
@@ -67,7 +67,7 @@ def _costs(text: Column, pattern: str, k: int, max_states: int) -> Column:
         known = texts.to_list()
         # equal texts are matched once
         distinct = list(dict.fromkeys(t for t in known if t is not None))
-        found = dict(zip(distinct, nfa.compiled(pattern, max_states).costs(distinct, k)))
+        found = dict(zip(distinct, nfa.compiled(pattern, max_states).costs(distinct, k, pieces)))
         return pd.Series([found.get(t) for t in known], dtype="Int32")
 
     return run(text)
@@ -95,9 +95,10 @@ def amatch_cost(text: Column | str, pattern: Column | str | Pattern, k: int = 0,
     java = java_regex(matcher.tree) if k == 0 else None
     if java is not None:
         return F.when(text.rlike(java), F.lit(0))
-    hint = prefilter.column(prefilter.formula(pattern, k), text)
+    formula = prefilter.formula(pattern, k)
+    hint = prefilter.column(formula, text)
     # a text that the prefilter rejects reaches the matcher as null, and costs nothing there
-    return _costs(text if hint is None else F.when(hint, text), pattern, k, max_states)
+    return _costs(text if hint is None else F.when(hint, text), pattern, k, max_states, prefilter.pieces(formula))
 
 
 def amatch(text: Column | str, pattern: Column | str | Pattern, k: int = 0, cost_ins: int = 1, cost_del: int = 1, cost_subst: int = 1) -> Column:
@@ -112,7 +113,7 @@ def amatch(text: Column | str, pattern: Column | str | Pattern, k: int = 0, cost
         java = java_regex(matcher.tree) if k == 0 else None
         if java is not None:
             plain = rx.literal(matcher.tree)
-            return text.contains(plain) if plain is not None else text.rlike(java)
+            return text.contains(plain) if plain is not None else _narrowed(text, prefilter.formula(p, 0), text.rlike(java))
     return F.when(known, amatch_cost(text, pattern, k).isNotNull())
 
 
@@ -173,8 +174,34 @@ def similarity(text: Column | str, pattern: str | Pattern, k: int | None = None)
     return F.when(text.isNotNull(), F.when(cost.isNull(), 0.0).when(longest == 0, 1.0).otherwise(1.0 - cost / longest))
 
 
+def _narrowed(text: Column, formula, exact: Column) -> Column:
+    """The exact predicate behind plain searches for what a match must have, which are faster and reach the scan."""
+    hint = prefilter.column(formula, text)
+    return exact if hint is None else hint & exact
+
+
+def like_parts(pattern: str) -> list[str]:
+    """The texts of a LIKE pattern between its wildcards."""
+    parts, run, at = [], "", 0
+    while at < len(pattern):
+        x = pattern[at]
+        if x == "\\" and at + 1 < len(pattern):
+            at += 1
+            run += pattern[at]
+        elif x in "%_":
+            parts.append(run)
+            run = ""
+        else:
+            run += x
+        at += 1
+    return [p for p in [*parts, run] if p]
+
+
 def like(text: Column | str, pattern: str) -> Column:
-    return _col(text).like(pattern)
+    text, parts = _col(text), like_parts(pattern)
+    if pattern.strip("%") == "".join(parts) and len(parts) <= 1:  # Spark has it as a plain search already
+        return text.like(pattern)
+    return _narrowed(text, ("all", [("has", p) for p in parts]) if parts else None, text.like(pattern))
 
 
 def ilike(text: Column | str, pattern: str) -> Column:
@@ -189,7 +216,8 @@ def regex_match(text: Column | str, pattern: str, fold: bool = False) -> Column:
         if fold:
             raise rx.RegexError("this pattern can't be matched without regard to case")
         return amatch(text, pattern, 0)
-    return _col(text).rlike(("(?iu)" if fold else "") + java)
+    exact = _col(text).rlike(("(?iu)" if fold else "") + java)
+    return exact if fold else _narrowed(_col(text), prefilter.formula(pattern, 0), exact)
 
 
 def _extent(strict: bool):

@@ -49,19 +49,7 @@ def query_of(op: str, right: str | Pattern) -> planner.GramQuery:
             p = of(right)
             return planner.gram_query(p.pattern, p.max_cost)
         case "~~":
-            parts, run, at = [], "", 0
-            while at < len(right):
-                x = right[at]
-                if x == "\\" and at + 1 < len(right):
-                    at += 1
-                    run += right[at]
-                elif x in "%_":
-                    parts.append(run)
-                    run = ""
-                else:
-                    run += x
-                at += 1
-            parts = [p for p in [*parts, run] if p]
+            parts = c.like_parts(right)
             return planner.gram_query(".*".join(map(_literal, parts)), 0)
         case "~":
             return planner.gram_query(right, 0)

@@ -110,6 +110,13 @@ def _all(parts: list):
     return None if not parts else parts[0] if len(parts) == 1 else ("all", parts)
 
 
+def pieces(f) -> list[str] | None:
+    """The texts of a formula that asks for any of some texts; None for others."""
+    if f is None or f[0] == "all" or f[0] == "any" and any(x[0] != "has" for x in f[1]):
+        return None
+    return [f[1]] if f[0] == "has" else [x[1] for x in f[1]]
+
+
 def terms(f) -> int:
     return 0 if f is None else 1 if f[0] == "has" else sum(map(terms, f[1]))
 

@@ -53,6 +53,23 @@ def grams(text: Column) -> Column:
     return F.when(text.isNotNull(), windows(characters(text), GRAM))
 
 
+def strings(code: np.ndarray) -> pa.Array:
+    """Rows of code points as texts."""
+    n = len(code)
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    ends = np.cumsum(size)
+    begin = ends.reshape(code.shape) - size
+    data = np.empty(int(ends[-1]) if n else 0, np.uint8)
+    for length, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        mine = size == length
+        at, c = begin[mine], code[mine]
+        data[at] = lead | (c >> np.uint32(6 * (length - 1)))
+        for k in range(1, length):
+            data[at + k] = 0x80 | (c >> np.uint32(6 * (length - 1 - k)) & np.uint32(0x3F))
+    off = np.concatenate([[0], ends[code.shape[1] - 1 :: code.shape[1]]]).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(data))
+
+
 def emissions(rows: DataFrame) -> DataFrame:
     """(gram, id) for each distinct gram of each row of (id, text); null and short texts have none."""
     ensure(rows.sparkSession)
@@ -74,9 +91,7 @@ def emissions(rows: DataFrame) -> DataFrame:
                     continue
                 key = np.concatenate(found)
                 three = np.stack([key >> np.uint64(42), key >> np.uint64(21) & np.uint64(0x1FFFFF), key & np.uint64(0x1FFFFF)], 1)
-                text = three.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                grams_ = pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string())
-                yield pa.RecordBatch.from_arrays([grams_, part.column("id").take(pa.array(np.concatenate(own)))], ["gram", "id"])
+                yield pa.RecordBatch.from_arrays([strings(three.astype(np.uint32)), part.column("id").take(pa.array(np.concatenate(own)))], ["gram", "id"])
 
     return rows.mapInArrow(work, f"gram string, id {kind}")
 
