@@ -213,6 +213,24 @@ def test_sql(spark, docs):
     assert spark.sql("SELECT text_similarity('foxtrot', 'fox', 2), amatch_cost('boxtr', 'fox', 2), word_similarity('cat', 'category'), amatch_weighted('colour', 'color', 2, 1, 1, 1)").first()[:2] == (1.0, 1)
 
 
+def test_sql_functions(spark, docs):
+    c.register(spark)
+    docs.createOrReplaceTempView("t")
+    one = lambda sql: spark.sql(f"SELECT {sql}").first()[0]
+    assert one("trgm_similarity('foo', 'foobar')") == pytest.approx(0.375) and one("trgm_similarity('', '')") == 0 and one("trgm_similarity(NULL, 'a')") is None
+    assert one("trgm_distance('foo', 'foobar')") == pytest.approx(0.625) and one("trgm_sim_op('foo', 'foobar')") and not one("trgm_sim_op('foo', 'foobar', 0.4)")
+    assert one("word_distance('cat', 'category') + word_similarity('cat', 'category')") == pytest.approx(1) and one("word_sim_op('cat', 'a cat sat')")
+    assert one("strict_word_distance('cat', 'a cat sat')") == 0 and one("strict_word_sim_op('cat', 'a cat sat', 0.9D)")
+    assert one("pattern_in('abc@2:1,2,3')").asDict() == {"pattern": "abc", "max_cost": 2, "cost_ins": 1, "cost_del": 2, "cost_subst": 3} and one("pattern_match(NULL, 'a@1')") is None
+    assert one("parse_debug('a|b')") == c.parse_debug("a|b") and one("extract_debug('abc', 0)") == c.extract_debug("abc", 0) and one("textsieve_version()") == c.version()
+    assert [r.id for r in spark.sql("SELECT id, pattern_distance(body, 'foobar@1') AS d FROM t WHERE pattern_match(body, 'foobar@1') ORDER BY d, id").collect()] == [0, 1, 2, 3]
+    assert one("pattern_similarity('foxtrot', 'fox@2')") == 1.0
+    with pytest.raises(Exception, match="bad pattern"):
+        one("pattern_match('a', 'abc@x')")
+    odd = spark.createDataFrame([("abc@1",), (None,), ("a",)], "p string")
+    assert [r[0] and r[0].max_cost for r in odd.select(c.pattern_in(F.col("p"))).collect()] == [1, None, 0]
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"one, two"\n2,three\n')
     assert [r.body for r in load_csv(spark, f"file://{tmp_path}/a.csv").orderBy("id").collect()] == ["one, two", "three"]

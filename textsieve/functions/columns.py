@@ -273,16 +273,18 @@ def pattern_column(pattern: Column, k: Column | int = 0, cost_ins: int = 1, cost
     return F.struct(*(v.cast(f.dataType).alias(f.name) for v, f in zip(values, SCHEMA)))
 
 
-def pattern_in(text: Column) -> Column:
-    """A struct from the text form."""
-    _ready()
+#: The text form: a pattern without @, a maximal cost, and costs of insertion, deletion and substitution.
+FORM = r"^([^@]*)(?:@\s*([0-9]+)\s*(?::\s*([0-9]+)\s*,\s*([0-9]+)\s*,\s*([0-9]+)\s*)?)?$"
 
-    @F.pandas_udf(SCHEMA)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [None if t is None else Pattern.parse(t) for t in texts]
-        return pd.DataFrame([(None,) * 5 if p is None else (p.pattern, p.max_cost, p.cost_ins, p.cost_del, p.cost_subst) for p in rows], columns=SCHEMA.names)
 
-    return run(text)
+def pattern_in(text: Column) -> Column:
+    """A struct from the text form; other text is an error, null is null."""
+    part = lambda k: F.regexp_extract(text, FORM, k)
+    number = lambda k, other: F.when(part(k) == "", other).otherwise(part(k).cast("int"))
+    values = [part(1), number(2, 0), number(3, 1), number(4, 1), number(5, 1)]
+    made = F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) if not isinstance(v, Column) else v.cast(f.dataType).alias(f.name) for v, f in zip(values, SCHEMA)))
+    wrong = F.raise_error(F.concat(F.lit("bad pattern "), text)).cast(SCHEMA)
+    return F.when(text.isNull(), F.lit(None).cast(SCHEMA)).when(text.rlike(FORM), made).otherwise(wrong)
 
 
 def pattern_out(pattern: Column) -> Column:
@@ -304,46 +306,89 @@ def version() -> str:
     return VERSION
 
 
+def _grouped(columns: list[pd.Series], one, kind: str) -> pd.Series:
+    """one(pattern and further arguments, distinct texts) for each group of equal arguments; null where an argument is."""
+    frame = pd.concat([c.reset_index(drop=True) for c in columns], axis=1, keys=range(len(columns)))
+    out = pd.Series([None] * len(frame), dtype=kind)
+    for given, rows in frame.dropna().groupby(list(range(1, len(columns))), sort=False):
+        distinct = list(dict.fromkeys(rows[0]))
+        found = dict(zip(distinct, one(given[0], *map(int, given[1:]), distinct)))
+        out.loc[rows.index] = pd.array([found[t] for t in rows[0]], kind)
+    return out
+
+
+def _hinted(pattern: str, k: int, texts: list[str]) -> list[int | None]:
+    """Costs, by the surroundings of pieces that a match must have, where the pattern has such."""
+    return nfa.compiled(pattern).costs(texts, k, prefilter.pieces(prefilter.formula(pattern, k)))
+
+
+TRIGRAMS = r"""array_distinct(flatten(transform(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), r'{1}', 0),
+  w -> transform(sequence(1, char_length(w) + 1), i -> substring(concat('  ', w, ' '), i, 3)))))"""
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions: scalar ones, and the table function amatch_detail for LATERAL joins."""
-    ensure(spark)
+    """SQL functions: scalar ones, and the table function amatch_detail for LATERAL joins.
 
-    def cost(t, p, k):
-        return None if t is None or p is None or k is None else nfa.compiled(p).costs([t], k)[0]
+    amatch, amatch_cost, amatch_weighted, text_distance and text_similarity work on batches, grouped by
+    pattern; what needs no matcher is SQL that Spark inlines.  Patterns in text form, p@k, go to
+    pattern_match, pattern_distance and pattern_similarity; Spark sorts by such functions only under
+    a name of the select list.
+    """
+    ensure(spark)
 
     @F.pandas_udf("int")
-    def amatch_cost_(t: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(t), dtype="Int32")
-        for (q, n), rows in t.groupby([p, k]).groups.items():
-            out.loc[rows] = pd.array(nfa.compiled(q).costs(t.loc[rows].to_list(), int(n)), "Int32")
-        return out
+    def cost(t: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
+        return _grouped([t, p, k], _hinted, "Int32")
 
     @F.pandas_udf("boolean")
-    def amatch_(t: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None or c is None else cost(a, b, int(c)) is not None for a, b, c in zip(t, p, k)], dtype="boolean")
+    def hit(t: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
+        return _grouped([t, p, k], lambda q, n, texts: [c is not None for c in _hinted(q, n, texts)], "boolean")
 
     @F.pandas_udf("boolean")
-    def weighted_(t: pd.Series, p: pd.Series, k: pd.Series, i: pd.Series, d: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else nfa.compiled(b).search(a, int(c), int(x), int(y), int(z)) is not None for a, b, c, x, y, z in zip(t, p, k, i, d, s)], dtype="boolean")
+    def weighted(t: pd.Series, p: pd.Series, k: pd.Series, i: pd.Series, d: pd.Series, s: pd.Series) -> pd.Series:
+        def one(q, n, x, y, z, texts):
+            return [nfa.compiled(q).search(a, n, x, y, z) is not None for a in texts]
+
+        return _grouped([t, p, k, i, d, s], one, "boolean")
 
     @F.pandas_udf("double")
-    def similarity_(t: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
-        def one(a, b, c):
-            if a is None or b is None:
-                return None
-            found = cost(a, b, int(c))
-            longest = max(len(a.encode()), len(b.encode()))
-            return 0.0 if found is None else 1.0 if not longest else 1 - found / longest
-
-        return pd.Series([one(*x) for x in zip(t, p, k)], dtype="Float64")
-
-    spark.udf.register("amatch", amatch_)
-    spark.udf.register("amatch_weighted", weighted_)
-    spark.udf.register("amatch_cost", amatch_cost_)
-    spark.udf.register("text_distance", amatch_cost_)
-    spark.udf.register("text_similarity", similarity_)
-    spark.udf.register("word_similarity", _extent(False))
-    spark.udf.register("strict_word_similarity", _extent(True))
+    def alike(t: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
+        def one(q, n, texts):
+            size = [max(len(a.encode()), len(q.encode())) for a in texts]
+            return [0.0 if c is None else 1 - c / m if m else 1.0 for c, m in zip(_hinted(q, n, texts), size)]
+
+        return _grouped([t, p, k], one, "Float64")
+
+    @F.pandas_udf("string")
+    def tree(p: pd.Series) -> pd.Series:
+        return p.map(parse_debug, na_action="ignore")
+
+    @F.pandas_udf("string")
+    def extracted(p: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or pd.isna(b) else extract_debug(a, int(b)) for a, b in zip(p, k)])
+
+    for name, f in {"amatch": hit, "amatch_cost": cost, "text_distance": cost, "amatch_weighted": weighted, "text_similarity": alike, "word_similarity": _extent(False), "strict_word_similarity": _extent(True), "parse_debug": tree, "extract_debug": extracted}.items():
+        spark.udf.register(name, f)
+
+    x, y = TRIGRAMS.format("a", trigrams.WORDS), TRIGRAMS.format("b", trigrams.WORDS)
+    both, form = f"size(array_intersect({x}, {y}))", f"r'{FORM}'"
+    part = lambda k, other: f"coalesce(nullif(regexp_extract(p, {form}, {k}), ''), '{other}')"
+    valid = f"CASE WHEN p RLIKE {form} THEN regexp_extract(p, {form}, 1) WHEN p IS NULL THEN NULL ELSE raise_error(concat('bad pattern ', p)) END"
+    for head, body in {
+        "trgm_similarity(a STRING, b STRING) RETURNS FLOAT": f"CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CAST(coalesce({both} / nullif(size(array_union({x}, {y})), 0), 0) AS FLOAT) END",
+        "trgm_distance(a STRING, b STRING) RETURNS FLOAT": "CAST(1 AS FLOAT) - trgm_similarity(a, b)",
+        "trgm_sim_op(a STRING, b STRING, least DOUBLE DEFAULT 0.3) RETURNS BOOLEAN": "CAST(trgm_similarity(a, b) AS DOUBLE) >= least",
+        "word_distance(a STRING, b STRING) RETURNS FLOAT": "CAST(1 AS FLOAT) - word_similarity(a, b)",
+        "strict_word_distance(a STRING, b STRING) RETURNS FLOAT": "CAST(1 AS FLOAT) - strict_word_similarity(a, b)",
+        "word_sim_op(a STRING, b STRING, least DOUBLE DEFAULT 0.3) RETURNS BOOLEAN": "CAST(word_similarity(a, b) AS DOUBLE) >= least",
+        "strict_word_sim_op(a STRING, b STRING, least DOUBLE DEFAULT 0.3) RETURNS BOOLEAN": "CAST(strict_word_similarity(a, b) AS DOUBLE) >= least",
+        f"pattern_in(p STRING) RETURNS {SCHEMA.simpleString()}": f"named_struct('pattern', {valid}, 'max_cost', CAST({part(2, 0)} AS INT), 'cost_ins', CAST({part(3, 1)} AS INT), 'cost_del', CAST({part(4, 1)} AS INT), 'cost_subst', CAST({part(5, 1)} AS INT))",
+        "pattern_match(t STRING, p STRING) RETURNS BOOLEAN": f"amatch(t, {valid}, CAST({part(2, 0)} AS INT))",
+        "pattern_distance(t STRING, p STRING) RETURNS INT": f"amatch_cost(t, {valid}, CAST({part(2, 0)} AS INT))",
+        "pattern_similarity(t STRING, p STRING) RETURNS DOUBLE": f"text_similarity(t, {valid}, CAST({part(2, 0)} AS INT))",
+        "textsieve_version() RETURNS STRING": f"'{VERSION}'",
+    }.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
     @F.udtf(returnType=DETAIL)
     class Detail:
