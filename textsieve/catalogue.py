@@ -161,32 +161,43 @@ def similarity_join(spark, sf):
     return out.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
-@query()
+def extent_sql(word: str, text: str, strict: bool = False) -> str:
+    """DuckDB: the greatest similarity of a word to any run of a short text's trigrams, or to any run of its words."""
+    words = f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    of = lambda w: f"list_transform(range(1, len({w}) + 2), lambda i: substring('  ' || {w} || ' ', i, 3))"
+    parts = f"list_transform({words}, lambda w: {of('w')})" if strict else f"list_transform(flatten(list_transform({words}, lambda w: {of('w')})), lambda g: [g])"
+    wanted = f"list_distinct({of(chr(39) + word + chr(39))})"
+    runs = "flatten(list_transform(range(1, len(p) + 1), lambda a: list_transform(range(a, len(p) + 1), lambda b: list_distinct(flatten(list_slice(p, a, b))))))"
+    share = "CAST(len(list_intersect(r, w)) AS FLOAT) / CAST(len(r) + len(w) - len(list_intersect(r, w)) AS FLOAT)"
+    return f"(SELECT CAST(coalesce(list_max(list_transform({runs}, lambda r: {share})), 0) AS FLOAT) FROM (SELECT {parts} AS p, {wanted} AS w))"
+
+
+@query(f"SELECT p_partkey, {extent_sql('anvil', 'p_name')} AS similarity FROM part")
 def word_similarity(spark, sf):
     return table(spark, sf, "part").select("p_partkey", c.word_similarity(F.lit("anvil"), F.col("p_name")).alias("similarity"))
 
 
-@query()
+@query(f"SELECT p_partkey, {extent_sql('anvil', 'p_name', True)} AS similarity FROM part")
 def strict_word_similarity(spark, sf):
     return table(spark, sf, "part").select("p_partkey", c.strict_word_similarity(F.lit("anvil"), F.col("p_name")).alias("similarity"))
 
 
-@query()
+@query(f"SELECT p_partkey, CAST(1 - {extent_sql('anvil', 'p_name')} AS FLOAT) AS distance FROM part")
 def word_distance(spark, sf):
     return table(spark, sf, "part").select("p_partkey", c.word_distance(F.lit("anvil"), F.col("p_name")).alias("distance"))
 
 
-@query()
+@query(f"SELECT p_partkey, CAST(1 - {extent_sql('anvil', 'p_name', True)} AS FLOAT) AS distance FROM part")
 def strict_word_distance(spark, sf):
     return table(spark, sf, "part").select("p_partkey", c.strict_word_distance(F.lit("anvil"), F.col("p_name")).alias("distance"))
 
 
-@query()
+@query(f"SELECT p_partkey FROM part WHERE CAST({extent_sql('anvils', 'p_name')} AS DOUBLE) >= 0.5")
 def word_sim_op(spark, sf):
     return table(spark, sf, "part").where(c.word_sim_op(F.lit("anvils"), F.col("p_name"), 0.5)).select("p_partkey")
 
 
-@query()
+@query(f"SELECT p_partkey FROM part WHERE CAST({extent_sql('anvils', 'p_name', True)} AS DOUBLE) >= 0.5")
 def strict_word_sim_op(spark, sf):
     return table(spark, sf, "part").where(c.strict_word_sim_op(F.lit("anvils"), F.col("p_name"), 0.5)).select("p_partkey")
 
@@ -342,16 +353,49 @@ def version(spark, sf):
     return spark.range(1).select(F.lit(c.version()).alias("version"))
 
 
-@query()
+# Patterns and their trees, and prefilters by hand
+TREES = {
+    "a": "LITERAL(a)",
+    "abc": "CONCAT\n  CONCAT\n    LITERAL(a)\n    LITERAL(b)\n  LITERAL(c)",
+    "a|b": "ALT\n  LITERAL(a)\n  LITERAL(b)",
+    "a*": "REP{0,-1}\n  LITERAL(a)",
+    "a+": "REP{1,-1}\n  LITERAL(a)",
+    "a?": "REP{0,1}\n  LITERAL(a)",
+    "a{3}": "REP{3,3}\n  LITERAL(a)",
+    "a{2,5}": "REP{2,5}\n  LITERAL(a)",
+    "(ab)+": "REP{1,-1}\n  CONCAT\n    LITERAL(a)\n    LITERAL(b)",
+    ".": "ANY(.)",
+    "^st": "CONCAT\n  CONCAT\n    ANCHOR(^)\n    LITERAL(s)\n  LITERAL(t)",
+    "d$": "CONCAT\n  LITERAL(d)\n  ANCHOR($)",
+    "[abc]": "CLASS(a-c)",
+    "[a-z]": "CLASS(a-z)",
+    "[^0-9]": "CLASS(^0-9)",
+    "a{~1}": "APPROX{~1}\n  LITERAL(a)",
+}
+FORMULAS = {
+    ("hello", 0): "HAS 'hello'",
+    ("a|b|c", 0): "OR\n  OR\n    HAS 'a'\n    HAS 'b'\n  HAS 'c'",
+    ("x*", 0): "ALWAYS_TRUE (extraction defeated)",
+    ("helloworld", 1): "OR\n  HAS 'hello'\n  HAS 'world'",
+    ("(foo|bar)baz", 0): "AND\n  OR\n    HAS 'foo'\n    HAS 'bar'\n  HAS 'baz'",
+}
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    quoted = lambda v: str(v) if isinstance(v, int) else " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in v.split("\n"))
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) v({names})"
+
+
+@query(values_sql(list(TREES.items()), "pattern, tree"))
 def parse_debug(spark, sf):
-    patterns = ["a", "abc", "a|b", "a*", "a{2,5}", "(ab)+", ".", "^start", "end$", "[^0-9]", "a{~1}"]
-    return spark.createDataFrame([(p, c.parse_debug(p)) for p in patterns], "pattern string, tree string")
+    c.register(spark)
+    return spark.createDataFrame([(p,) for p in TREES], "pattern string").select("pattern", F.expr("parse_debug(pattern)").alias("tree"))
 
 
-@query()
+@query(values_sql([(p, k, f"k={k}\n{f}") for (p, k), f in FORMULAS.items()], "pattern, k, formula"))
 def extract_debug(spark, sf):
-    patterns = [("hello", 0), ("a|b|c", 0), (TYPO1, 1), (TYPO2, 2), ("(foo|bar)baz", 0)]
-    return spark.createDataFrame([(p, k, c.extract_debug(p, k)) for p, k in patterns], "pattern string, k int, formula string")
+    c.register(spark)
+    return spark.createDataFrame(list(FORMULAS), "pattern string, k int").select("pattern", "k", F.expr("extract_debug(pattern, k)").alias("formula"))
 
 
 @query("SELECT * FROM (VALUES ('abc', 'abc', 0), ('abc@1', 'abc', 1), ('abc@2:1,1,1', 'abc', 2), ('x@2:1,2,3', 'x', 2)) v(given, pattern, max_cost), LATERAL (SELECT CASE WHEN given = 'abc@2:1,1,1' THEN 'abc@2' ELSE given END AS shown)")
@@ -450,7 +494,9 @@ def estimate_index_build(spark, sf):
     return estimate(table(spark, sf, "part"), "p_name", 1 << 30)
 
 
-@query()
+@query("""WITH g AS (SELECT DISTINCT p_partkey, p_partkey % 2 AS half, substring(p_name, i, 3) AS g FROM (SELECT p_partkey, p_name, unnest(range(1, len(p_name) - 1)) AS i FROM part)),
+n AS (SELECT p_partkey % 2 AS half, count(*) AS n FROM part GROUP BY half)
+SELECT CAST(1 + half AS BIGINT) AS run_id, 0 AS level, any_value(n) AS n_tuples, count(*) AS n_trigrams, min(g) AS min_gram, max(g) AS max_gram FROM g JOIN n USING (half) GROUP BY half""")
 def run_catalog(spark, sf):
     part = table(spark, sf, "part")
     index = TrigramIndex.create(part.where("p_partkey % 2 = 0"), _folder(spark), "p_partkey", "p_name")
