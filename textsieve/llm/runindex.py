@@ -80,6 +80,10 @@ def segment_hashes(buf: np.ndarray, low: np.ndarray, end: np.ndarray, place: np.
     return tb.mix(h + (place - low).astype(_U))
 
 
+def half(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(32)).astype(np.uint32)
+
+
 class RunIndex:
     """Run-length Burrows-Wheeler transform of segments, in the order of `size` bytes of context.
 
@@ -290,7 +294,8 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         several = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
         h = s[cut]
         part = (h % _U(targets)).astype(np.int64)
-        return _deal([(p, key[0].as_py(), _pack(h=h[i], several=several[i])) for p, i in _split(part)])
+        # half of a hash is enough: what looks shared and isn't is found out later
+        return _deal([(p, key[0].as_py(), _pack(h=half(h[i]), several=several[i])) for p, i in _split(part)])
 
     def answer(key, table):
         parts = [_unpack([b]) for b in table.column("data").to_pylist()]
@@ -307,10 +312,10 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         return _deal([(g, 0, _pack(h=h[where[i]])) for g, i in _split(group[where])])
 
     def segments(table: pa.Table, wanted: np.ndarray):
-        """The documents' segments around wanted anchors."""
+        """The documents' segments around anchors of which half of the hash is wanted."""
         buf, off, id_, text, place, low, high, h = found(table)
-        at = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
-        ok = wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(wanted, half(h)), max(0, len(wanted) - 1))
+        ok = wanted[at] == half(h) if len(wanted) else np.zeros(len(h), bool)
         text, place, low, high, h = text[ok], place[ok], low[ok], high[ok], h[ok]
         return buf, off, id_, text, low, high, h, segment_hashes(buf, low, high + size, place)
 
@@ -372,10 +377,12 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         if right.num_rows and left.num_rows:
             told = _unpack(right.column("data").to_pylist())
             h, s, doc, mask = (_numbers(told, c) for c in ("h", "s", "doc", "mask"))
-            _, _, _, text, low, high, ah, as_ = segments(left, np.unique(h))
-            both = tb.mix(h + s * _U(0x9E3779B97F4A7C15))
+            _, _, _, text, low, high, ah, as_ = segments(left, np.unique(half(h)))
+            both, own = (tb.mix(x + y * _U(0x9E3779B97F4A7C15)) for x, y in ((h, s), (ah, as_)))
             order = np.argsort(both)
-            at = order[np.minimum(np.searchsorted(both[order], tb.mix(ah + as_ * _U(0x9E3779B97F4A7C15))), len(both) - 1)]
+            at = order[np.minimum(np.searchsorted(both[order], own), len(both) - 1)]
+            told_of = both[at] == own
+            text, low, high, at = text[told_of], low[told_of], high[told_of], at[told_of]
             all_of = id_[text] > doc[at]
             np.add.at(gone, low[all_of], 1)
             np.add.at(gone, high[all_of] + size, -1)
