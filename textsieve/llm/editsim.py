@@ -72,6 +72,7 @@ class Compared:
         for k in range(0, len(x), 4096):
             d = self.counts[x[k : k + 4096]] - self.counts[y[k : k + 4096]]
             lower[k : k + 4096] = (np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) + 1) // 2
+        lower = np.maximum(lower, np.abs(self.size[x] - self.size[y]))
         left = np.flatnonzero((lower <= room) & ~out)
         left = left[np.argsort(room[left], kind="stable")]
         at = 0
@@ -129,10 +130,13 @@ class Compared:
         far[:, widest + 1] = reach(live, zero, zero)
         for edits in range(widest + 1):
             if edits:
-                low, high = widest + 1 - edits, widest + 2 + edits
+                # diagonals that so many edits reach, and from which the rest reaches the last one
+                ends, rest = m[live] - n[live], widest - edits
+                first, last = max(-edits, int(ends.min()) - rest), min(edits, int(ends.max()) + rest)
+                low, high = widest + 1 + first, widest + 2 + last
                 f = far[:, low - 1 : high + 1]
                 now = np.maximum(np.maximum(f[:, 1:-1] + 1, f[:, :-2]), f[:, 2:] + 1)
-                diagonal = np.arange(-edits, edits + 1)
+                diagonal = np.arange(first, last + 1)
                 now = np.minimum(now, np.minimum(n[live][:, None], m[live][:, None] - diagonal))
                 row, column = np.nonzero((now >= 0) & (now + diagonal >= 0))
                 i = now[row, column]

@@ -46,6 +46,11 @@ def lines(buf: np.ndarray, off: np.ndarray, least: int = 1):
     return text[ok], number[ok], a[ok], b[ok], starts, ends
 
 
+def neighbours(a: np.ndarray, b: np.ndarray) -> np.ndarray | slice:
+    """The words of all lines, of words a to b, in a row; a slice if no word stands between lines."""
+    return slice(int(a[0]), int(b[-1])) if (a[1:] == b[:-1]).all() else tb.spans(a, b - a)
+
+
 def weights(length: np.ndarray) -> np.ndarray:
     """What words of so many bytes count: short ones, which all lines have, hardly anything."""
     return np.maximum(np.minimum(length, 30) - 3, 0).astype(_U) ** _U(2) + _U(1)
@@ -67,11 +72,15 @@ def majority(h: np.ndarray, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def exact_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of the lines of words a to b, whose hashes are h: a hash of the words in their order."""
+    if not len(a):
+        return np.zeros(0, _U)
     size = b - a
-    mine = tb.spans(a, size)
     begin = np.cumsum(size) - size
-    nth = np.arange(len(mine)) - np.repeat(begin, size)
-    return tb.mix(np.add.reduceat(tb.mix(h[mine] + nth.astype(_U) * _U(0x9E3779B97F4A7C15)), begin) + size.astype(_U)) if len(a) else np.zeros(0, _U)
+    nth = np.arange(int(size.sum()), dtype=_U)
+    nth -= np.repeat(begin.astype(_U), size)
+    nth *= _U(0x9E3779B97F4A7C15)
+    nth += h[neighbours(a, b)]
+    return tb.mix(np.add.reduceat(tb.mix(nth), begin) + size.astype(_U))
 
 
 def simhashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,7 +88,7 @@ def simhashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarr
     if not len(a):
         return np.zeros(0, _U)
     size = b - a
-    mine = tb.spans(a, size)
+    mine = neighbours(a, b)
     length = (ends - starts)[mine]
     if (length <= LONG_WORD).all():
         return majority(h[mine], weights(length), size)
@@ -219,10 +228,12 @@ def verified(members: DataFrame, tables: Tables, similarity: float, parts: int)
                 ok = sides.apart(x, y)
                 x, y = x[ok], y[ok]
             differ = sim[x] ^ sim[y]
-            bits = np.bitwise_count(differ)
+            bits = np.bitwise_count(differ).astype(np.int16)
             ok = np.flatnonzero(bits <= BITS)
             ok = ok[tables.meets(differ[ok]) == at[x[ok]]]
-            return x[ok], y[ok], -bits[ok].astype(np.int16)
+            x, y = x[ok], y[ok]
+            n, m = compared.size[x], compared.size[y]
+            return x, y, (-bits[ok] - 64.0 * np.abs(n - m) / np.maximum(np.maximum(n, m), 1)).astype(np.float32)
 
         def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             longest = np.maximum(compared.size[x], compared.size[y])
