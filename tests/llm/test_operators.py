@@ -308,6 +308,29 @@ def test_warc_files(spark, tmp_path):
     assert got["2"].verdict == "resolved" and got["2"].digest == hashlib.sha1(b"hello").hexdigest()
 
 
+def test_damaged_warc_files(spark, tmp_path):
+    import gzip
+
+    def block(kind, rid, body, size=None, status="200 OK"):
+        body = f"HTTP/1.1 {status}\r\nETag: \"e\"\r\n\r\n{body}"
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-01-0{rid[0]}T00:00:00Z\r\nContent-Length: {len(body) if size is None else size}\r\n\r\n{body}\r\n\r\n".encode()
+
+    whole = block("response", "1", "hello")
+    files = {"a": whole + block("revisit", "2a", "", "x1"), "b": whole + block("response", "2b", "y", 999), "c": gzip.compress(whole)[:-12], "d": b"", "e": gzip.compress(whole) + b"\x1f\x8bjunk"}
+    found = {}
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+        found[name] = [(r.record_id, r.kind, r.status) for r in revisit.read_warc(spark, f"file://{tmp_path}/{name}").collect()]
+    assert found["a"] == [("1", "response", 200), ("2a", "damaged", 200)] or found["a"] == [("1", "response", 200), ("2a", "damaged", None)]
+    assert found["b"] == [("1", "response", 200), ("2b", "damaged", None)]
+    assert [k for _, k, _ in found["c"]][-1] == "damaged" and found["d"] == []
+    assert found["e"][0] == ("1", "response", 200) and found["e"][-1][1] == "damaged"
+    (tmp_path / "s.warc").write_bytes(whole + block("response", "2", "gone", status="404 Not Found") + block("revisit", "3", "", status="304 Not Modified"))
+    got = {r.record_id: r for r in revisit.resolve(revisit.read_warc(spark, f"file://{tmp_path}/s.warc")).collect()}
+    assert got["3"].verdict == "resolved" and got["3"].refers_to == "1" and got["2"].verdict == "full"
+
+
 def test_decontamination(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(30)]

@@ -157,7 +157,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, column: str = "h
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and the digest columns of every document; contaminated if at least one word in twenty is hit."""
+    """doc_id and the digest columns of every document; contaminated if at least one word in twenty is hit.
+
+    Repeated rows and rows that share a doc_id are judged each by its own text; a null text is clean.
+    """
     found = scan(docs.select("doc_id", F.col("text").cast("string")), benchmark)
     n_hit = F.size("hits.words").cast("long")
     return found.select(
@@ -177,9 +180,9 @@ def contaminated(column: str = "hits"):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated."""
-    found = scan(docs, benchmark, column="hits")
-    column = next(c for c in found.columns if c not in docs.columns)
+    """The rows of docs, all columns, that aren't contaminated; repeated rows stay, and so do null texts."""
+    column = free("hits", docs.columns)
+    found = scan(docs, benchmark, column=column)
     return found.where(~contaminated(column)).drop(column)
 
 

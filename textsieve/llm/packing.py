@@ -174,13 +174,18 @@ def _triple(left: np.ndarray, n: int, gap: int) -> list[int] | None:
 def pack(docs: DataFrame, tokenizer_path: str, room: int = 2048) -> DataFrame:
     """Each piece of each document with its sequence_id and its offset there.
 
+    A null text is empty: one piece, the end token.  Repeated rows, and rows that share a doc_id, have
+    pieces each of its own, and so have those with a null doc_id.  Pieces of one length are alike to
+    the plan, ties among them by doc_id and piece.  Columns besides doc_id and text aren't read; no
+    rows give no rows.
+
     Ranks are by a hash of doc_id within (length, bucket), and buckets of a length are laid
     after one another, so a length that a third of all pieces has is ranked by many tasks.
     """
     spark = docs.sparkSession
     staged = Staged(spark)
     buckets = 4 * partitions(spark)
-    found = staged.put(pieces(docs, Encoder(tokenizer_path), room).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")), "pieces")
+    found = staged.put(pieces(docs, Encoder(tokenizer_path), room).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
     # at most `buckets` rows of each length
     sizes = found.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

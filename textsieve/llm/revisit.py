@@ -8,7 +8,9 @@ and the response's headers updated by those of its own that a 304 may change.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,9 +39,11 @@ def canonical_url(url: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """record_id, canonical_url, verdict, refers_to, digest and headers of every record.
 
-    records: record_id, url, ts, kind ('response' or 'revisit'), etag, last_modified, digest and
-    headers, a map with lower-case names; other columns aren't read.  verdict: 'full' for responses
-    and whatever isn't a revisit; 'unresolved' for a revisit without an earlier response, or without
+    records: record_id, url, ts, kind ('response', 'revisit' or 'damaged'), etag, last_modified, digest
+    and headers, a map with lower-case names, and maybe status; other columns aren't read.  Responses
+    with a status other than 200 to 299 are not referred to.  Records of one ts are in the order of
+    record_id, digest and etag, and repeated rows give repeated rows.  verdict: 'damaged' for damaged
+    ones, 'full' for responses and whatever else isn't a revisit; 'unresolved' for a revisit without an earlier response, or without
     a URL or ts; 'mismatch' if its etag (weakly compared), or without one its last_modified, isn't
     the response's; else 'resolved'.  A revisit without validators takes the latest response.  Only
     resolved revisits have refers_to; others keep their own headers and digest.
@@ -50,28 +54,31 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     spark = records.sparkSession
     staged = Staged(spark)
-    own = records.select("record_id", canonical_url(F.col("url").cast("string")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", "headers")
+    status = F.col("status") if "status" in records.columns else F.lit(None)
+    ok = F.coalesce(status.cast("int").between(200, 299), F.lit(True))
+    own = records.select("record_id", canonical_url(F.col("url").cast("string")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", "headers", ok.alias("ok"))
     own = staged.put(own.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>"))), "records")
     n = 2 * partitions(spark)
     cuts = own.agg(F.percentile_approx(F.col("ts").cast("double"), [k / n for k in range(1, n)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
     at = F.col("ts").cast("double")
     chunk = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)) if cuts else F.lit(0)
-    full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "digest", "headers"))
+    answers = (F.col("kind") == "response") & F.col("ok")
+    full = F.when(answers, F.struct("record_id", "etag", "last_modified", "digest", "headers"))
     own = own.withColumn("chunk", chunk).withColumn("full", full)
     usable = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
-    place = F.struct("ts", "record_id")
-    last = own.where(usable & (F.col("kind") == "response")).groupBy("canonical_url", "chunk").agg(F.max_by("full", place).alias("last"))
+    place = F.struct("ts", "record_id", "digest", "etag")
+    last = own.where(usable & answers).groupBy("canonical_url", "chunk").agg(F.max_by("full", place).alias("last"))
     # a row for each range of a URL, whether or not it has a response
     seen = own.where(usable).groupBy("canonical_url", "chunk").agg(F.count("*").alias("n")).join(last, ["canonical_url", "chunk"], "left")
     before = W.partitionBy("canonical_url").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = seen.select("canonical_url", "chunk", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    within = W.partitionBy("canonical_url", "chunk").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("canonical_url", "chunk").orderBy("ts", "record_id", "digest", "etag").rowsBetween(W.unboundedPreceding, -1)
     near = own.where(usable).withColumn("near", F.last("full", ignorenulls=True).over(within)).join(carried, ["canonical_url", "chunk"], "left").withColumn("of", F.coalesce("near", "carried"))
     rows = near.drop("near", "carried").unionByName(own.where(~usable).withColumn("of", F.lit(None).cast(near.schema["of"].dataType)))
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     agrees = F.when(F.col("etag").isNotNull(), F.coalesce(strong(F.col("etag")) == strong(F.col("of.etag")), F.lit(False))).when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == F.col("of.last_modified"), F.lit(False))).otherwise(True)
-    verdict = F.when(F.coalesce(F.col("kind") != "revisit", F.lit(True)), "full").when(F.col("of").isNull(), "unresolved").when(agrees, "resolved").otherwise("mismatch")
+    verdict = F.when(F.col("kind") == "damaged", "damaged").when(F.coalesce(F.col("kind") != "revisit", F.lit(True)), "full").when(F.col("of").isNull(), "unresolved").when(agrees, "resolved").otherwise("mismatch")
     update = F.map_filter("headers", lambda k, v: ~k.isin(FIXED_HEADERS))
     merged = F.map_concat(F.map_filter("of.headers", lambda k, v: ~F.array_contains(F.map_keys(update), k)), update)
     done = F.col("verdict") == "resolved"
@@ -86,48 +93,80 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a WARC file, compressed or not."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            continue
-        headers = {}
-        while (line := stream.readline()) and line.strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers.get("content-length") or 0))
+    """Headers (names in lower case) and block of each record of a WARC file, compressed or not.
+
+    A record whose length can't be read, or that the file ends in, and a stream that can't be
+    decompressed any further, end the file with a record of type "damaged" with the headers found.
+    """
+    headers: dict[str, str] = {}
+    try:
+        stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            headers = {}
+            while (line := stream.readline()) and line.strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+            size = headers.get("content-length", "0")
+            block = stream.read(int(size)) if size.isascii() and size.isdigit() else None
+            if block is None or len(block) < int(size):
+                yield {**headers, "warc-type": "damaged"}, b""
+                return
+            yield headers, block
+            headers = {}
+    except (EOFError, OSError, zlib.error):
+        yield {**headers, "warc-type": "damaged"}, b""
+
+
+def record_of(warc: dict[str, str], block: bytes) -> dict | None:
+    """A row of read_warc() of a record; None for other types.  A status that isn't a number is null."""
+    kind = warc.get("warc-type")
+    if kind not in ("response", "revisit", "damaged"):
+        return None
+    head, _, body = block.partition(b"\r\n\r\n")
+    first, *lines = head.split(b"\r\n")
+    http = {}
+    for line in lines:
+        name, _, value = line.decode("latin-1").partition(":")
+        http[name.strip().lower()] = value.strip()
+    status = first.split(b" ")[1:2]
+    full = kind == "response"
+    return {
+        "record_id": warc.get("warc-record-id"), "url": warc.get("warc-target-uri"), "ts": warc.get("warc-date"), "kind": kind,
+        "status": int(status[0]) if status and status[0].isdigit() and len(status[0]) == 3 else None,
+        "etag": http.get("etag"), "last_modified": http.get("last-modified"), "digest": hashlib.sha1(body).hexdigest() if full else None,
+        "headers": list(http.items()), "payload": body if full else None,
+    }
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files in the form that resolve() takes, and the payload; a file is read by one task."""
+    """The response and revisit records of WARC files in the form that resolve() takes, and the payload.
+
+    A file is read by one task, and may have 2 GB at most, Spark's limit for a value.  A damaged file
+    gives the records before the damage and one row of kind "damaged".  A date that isn't one is a
+    null ts.  An empty file gives no rows.
+    """
     ensure(spark)
+    text = pa.string()
+    schema = pa.schema([("record_id", text), ("url", text), ("ts", text), ("kind", text), ("status", pa.int32()), ("etag", text), ("last_modified", text), ("digest", text), ("headers", pa.map_(text, text)), ("payload", pa.binary())])
 
     def work(batches):
-        import hashlib
-
         for batch in batches:
-            rows = []
             for data in batch.column("content"):
+                rows, size = [], 0
                 for warc, block in parse_warc(data.as_py()):
-                    kind = warc.get("warc-type")
-                    if kind not in ("response", "revisit"):
-                        continue
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    http = {}
-                    for line in head.split(b"\r\n")[1:]:
-                        name, _, value = line.decode("latin-1").partition(":")
-                        http[name.strip().lower()] = value.strip()
-                    rows.append({"record_id": warc.get("warc-record-id"), "url": warc.get("warc-target-uri"), "ts": warc.get("warc-date"), "kind": kind, "etag": http.get("etag"), "last_modified": http.get("last-modified"), "digest": hashlib.sha1(body).hexdigest() if kind == "response" else None, "headers": list(http.items()), "payload": body if kind == "response" else None})
-            text = pa.string()
-            schema = pa.schema([("record_id", text), ("url", text), ("ts", text), ("kind", text), ("etag", text), ("last_modified", text), ("digest", text), ("headers", pa.map_(text, text)), ("payload", pa.binary())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                    if row := record_of(warc, block):
+                        rows.append(row)
+                        size += len(block)
+                    if size > 16 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     raw = spark.read.format("binaryFile").load(path).select("content")
-    rows = raw.mapInArrow(work, "record_id string, url string, ts string, kind string, etag string, last_modified string, digest string, headers map<string,string>, payload binary")
-    return rows.withColumn("ts", F.to_timestamp("ts"))
+    rows = raw.mapInArrow(work, "record_id string, url string, ts string, kind string, status int, etag string, last_modified string, digest string, headers map<string,string>, payload binary")
+    return rows.withColumn("ts", F.try_to_timestamp("ts"))
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -142,6 +181,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def page_report(pages: DataFrame) -> DataFrame:
+    """page_id, canonical_url, verdict, refers_to, digest and headers, as one text, of every page; a null url is unresolved or full, a null page_id stays."""
     out = resolve(captures(pages))
     flat = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), ";")
     return out.select(F.col("record_id").alias("page_id"), "canonical_url", "verdict", F.col("refers_to").alias("refers_to"), "digest", flat.alias("headers"))
