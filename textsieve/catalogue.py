@@ -345,6 +345,33 @@ def match_row_number(spark, sf):
     return top.select("doc_id", F.row_number().over(W.orderBy("dist", "doc_id")).cast("long").alias("place"))  # of 20 rows
 
 
+@query(f"""WITH h AS (SELECT doc_id, dist FROM {near_long(TYPO2, 2)}), n AS (SELECT source, count(*) AS n FROM documents JOIN h USING (doc_id) GROUP BY source)
+SELECT source, n FROM n WHERE n > (SELECT avg(n) FROM n)""")
+def cte_scalar_subquery(spark, sf):
+    c.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("textsieve_documents")
+    return spark.sql(f"""WITH h AS (SELECT source, amatch(text, '{TYPO2}', 2) AS hit FROM textsieve_documents),
+        n AS (SELECT source, count(*) AS n FROM h WHERE hit GROUP BY source)
+        SELECT source, n FROM n WHERE n > (SELECT avg(n) FROM n)""")
+
+
+@query(f"SELECT d.doc_id FROM documents d LEFT JOIN {near_long(TYPO1, 1)} m USING (doc_id) WHERE m.dist IS DISTINCT FROM 1")
+def null_safe_equality(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", c.amatch_cost("text", TYPO1, 1).alias("dist"))
+    return rows.where(~F.col("dist").eqNullSafe(F.lit(1))).select("doc_id")
+
+
+@query(f"SELECT doc_id, CAST(to_json(struct_pack(doc_id := doc_id, dist := dist, source := upper(source))) AS VARCHAR) AS hit FROM {near_long(TYPO1, 1)} JOIN documents USING (doc_id)")
+def json_composition(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.upper("source").alias("source"), c.amatch_cost("text", TYPO1, 1).alias("dist")).where("dist IS NOT NULL")
+    return rows.select("doc_id", F.to_json(F.struct("doc_id", "dist", "source")).alias("hit"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) < 0.25 * 4294967296 AND contains(text, '{WORD}')")
+def sampled_matches(spark, sf):
+    return search.sample(table(spark, sf, "documents"), "doc_id", 0.25).where(c.amatch("text", WORD, 0)).select("doc_id")
+
+
 # -- text forms and dumps ------------------------------------------------------------------------
 
 

@@ -68,7 +68,8 @@ def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, left_key:
     """(left_key, right_key, similarity) of pairs whose trigram similarity is at least the threshold.
 
     Only the rarest trigrams of each row meet: of n trigrams, n - ceil(threshold * n) + 1, as sets
-    that have fewer than that many left out can't be similar enough without meeting.
+    that have fewer than that many left out can't be similar enough without meeting; and only rows
+    of which neither has fewer trigrams than the threshold's share of the other's.
     """
     x = left.select(F.col(left_key).alias("__l"), t.trigrams(F.col(a)).alias("__x")).where("size(__x) > 0")
     y = right.select(F.col(right_key).alias("__r"), t.trigrams(F.col(b)).alias("__y")).where("size(__y) > 0")
@@ -78,9 +79,10 @@ def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, left_key:
         each = df.select(key, F.explode(grams).alias("g")).join(often, "g")
         sorted_ = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s"))  # a row's own trigrams
         keep = F.size("s") - F.ceil(F.lit(threshold - 1e-6) * F.size("s")) + 1
-        return sorted_.select(key, F.explode(F.slice("s", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("e")).select(key, "e.g")
+        return sorted_.select(key, F.size("s").alias(f"n{key}"), F.explode(F.slice("s", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("e")).select(key, f"n{key}", "e.g")
 
-    met = rare(x, "__l", "__x").join(rare(y, "__r", "__y"), "g").select("__l", "__r").distinct()
+    sizes = F.least("n__l", "n__r") >= F.greatest("n__l", "n__r") * (threshold - 1e-6)
+    met = rare(x, "__l", "__x").join(rare(y, "__r", "__y"), "g").where(sizes).select("__l", "__r").distinct()
     both = F.size(F.array_intersect("__x", "__y"))
     similarity = (both / (F.size("__x") + F.size("__y") - both)).cast("float")
     pairs = met.join(x, "__l").join(y, "__r").withColumn("similarity", similarity)

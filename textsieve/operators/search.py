@@ -109,3 +109,8 @@ def nearest_by_group(df: DataFrame, text: str, pattern: str | Pattern, group: st
     found = df.withColumn(column, c.distance(text, pattern)).where(F.col(column).isNotNull())
     order = W.partitionBy(group).orderBy(column, *([key] if isinstance(key, str) else key))
     return found.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
+
+
+def sample(df: DataFrame, key: str, share: float) -> DataFrame:
+    """About `share` of the rows, the same ones however the table is dealt out: those whose key's hash is small."""
+    return df.where(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") < F.lit(share * 2**32))
