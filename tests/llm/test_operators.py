@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textsieve.llm import buckets, components, decontam, langid, minhash, packing, quality, revisit, rules, runindex, textbytes, toxicity, wordbpe
+from textsieve.llm import buckets, components, decontam, langid, minhash, packing, quality, revisit, rules, runindex, staging, textbytes, toxicity, wordbpe
 from textsieve.llm.staging import Staged
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -213,6 +213,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long"), Staged(spark)).count() == 0
 
 
+def test_written_tables_can_be_cleared(spark):
+    staged = Staged(spark)
+    staged.put(spark.range(3), "some")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged.root)
+    there = lambda: folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    assert there()
+    staging.clear(spark)
+    assert not there()
+
+
 def test_language(spark):
     rng = random.Random(9)
     words = {"aa": ["bla", "blu", "blo"], "bb": ["zig", "zag", "zog"]}

@@ -13,6 +13,16 @@ from textsieve.llm.textbytes import slices
 from textsieve.shipping import ensure, shared_folder
 
 
+_roots: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what operators have written so far; results that haven't been written elsewhere can't be read any more."""
+    while _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Staged:
     """Writes intermediate tables and drops those no longer needed.
 
@@ -21,6 +31,7 @@ class Staged:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", {}
+        _roots.append(self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = f"{self.root}/{name}-{len(self.paths)}"
