@@ -54,16 +54,16 @@ def test_trigrams(spark):
 @pytest.mark.parametrize("op,right", [("%~~", "foobar@1"), ("%~~", "foobar@2"), ("%~~", "fo+bar"), ("~~", "%oo%a_"), ("~~*", "%FOO%"), ("~", "^fo"), ("~*", "^FO"), ("=", "foobar"), ("!~~", "%o%"), ("!~", "o"), ("%~~", "crème@1"), ("~~", "100\\% s%")])
 def test_index_gives_what_a_scan_gives(spark, docs, tmp_path, op, right):
     index = TrigramIndex.create(docs, f"file://{tmp_path}/i", "id", "body")
-    search.planner.USE_BELOW = 1.1
+    spark.conf.set("textsieve.index_below", "2")
     try:
         assert ids(search.search(docs, "body", op, right, index)) == ids(search.search(docs, "body", op, right))
     finally:
-        search.planner.USE_BELOW = 0.05
+        spark.conf.unset("textsieve.index_below")
 
 
 def test_index_life(spark, docs, tmp_path):
     root = f"file://{tmp_path}/i"
-    search.planner.USE_BELOW = 1.1
+    spark.conf.set("textsieve.index_below", "2")
     try:
         index = TrigramIndex.create(docs.where("id % 2 = 0"), root, "id", "body")
         for k in (1, 3, 5, 7, 9, 11):
@@ -89,15 +89,17 @@ def test_index_life(spark, docs, tmp_path):
         with pytest.raises(FileNotFoundError):
             TrigramIndex(spark, root)
     finally:
-        search.planner.USE_BELOW = 0.05
+        spark.conf.unset("textsieve.index_below")
     assert estimate(docs, "body").first().est_rows == len(WORDS)
     assert TrigramIndex.create(docs.where("false"), root + "4", "id", "body").n_rows() == 0
 
 
 @pytest.fixture
-def any_index(monkeypatch):
+def any_index(spark):
     """Indexes are used however much they narrow."""
-    monkeypatch.setattr(search.planner, "USE_BELOW", 2.0)
+    spark.conf.set("textsieve.index_below", "2")
+    yield
+    spark.conf.unset("textsieve.index_below")
 
 
 def uses(index, df, *args, **options):
@@ -213,6 +215,21 @@ def test_sql(spark, docs):
     assert spark.sql("SELECT text_similarity('foxtrot', 'fox', 2), amatch_cost('boxtr', 'fox', 2), word_similarity('cat', 'category'), amatch_weighted('colour', 'color', 2, 1, 1, 1)").first()[:2] == (1.0, 1)
 
 
+def test_settings(spark):
+    df = spark.createDataFrame([("foo", "foobar")], "a string, b string")
+    similar = lambda: df.select(t.trgm_sim_op(F.col("a"), F.col("b"))).first()[0]
+    assert similar()
+    spark.sql("SET textsieve.similarity_threshold = 0.4")
+    spark.sql("SET textsieve.match_timeout_ms = 20")
+    try:
+        assert not similar()
+        with pytest.raises(Exception, match="MatchTimeout"):
+            spark.createDataFrame([("abc" * 20_000,)], "a string").select(c.amatch_detail("a", "(a|b|c)*d(a|b)*e", 3)).collect()
+    finally:
+        for name in ("similarity_threshold", "match_timeout_ms"):
+            spark.conf.unset(f"textsieve.{name}")
+
+
 def test_sql_functions(spark, docs):
     c.register(spark)
     docs.createOrReplaceTempView("t")

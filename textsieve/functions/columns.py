@@ -16,6 +16,7 @@ from textsieve.functions import nfa, trigrams
 from textsieve.functions import regex as rx
 from textsieve.functions.pattern import SCHEMA, Pattern, of
 from textsieve.plans import prefilter
+from textsieve.settings import setting
 from textsieve.shipping import ensure
 
 VERSION = "textsieve 1.0.0"
@@ -31,10 +32,10 @@ def _ready() -> None:
         ensure(spark)
 
 
-def _check(pattern: str, k: int, max_states: int = nfa.MAX_STATES) -> nfa.Matcher:
+def _check(pattern: str, k: int, max_states: int | None = None) -> nfa.Matcher:
     if k < 0:
         raise ValueError("the maximal cost may not be negative")
-    return nfa.compiled(pattern, max_states)
+    return nfa.compiled(pattern, max_states or setting("max_states"))
 
 
 def java_regex(node: rx.Node) -> str | None:
@@ -73,12 +74,12 @@ def _costs(text: Column, pattern: str, k: int, max_states: int, pieces: list[str
     return run(text)
 
 
-def amatch_cost(text: Column | str, pattern: Column | str | Pattern, k: int = 0, max_states: int = nfa.MAX_STATES) -> Column:
+def amatch_cost(text: Column | str, pattern: Column | str | Pattern, k: int = 0, max_states: int | None = None) -> Column:
     """The least number of edits, at most k, that makes a part of text match; null without a match or for null.
 
     pattern: a constant, or a column of patterns.
     """
-    text = _col(text)
+    text, max_states = _col(text), max_states or setting("max_states")
     if isinstance(pattern, Column):
         _ready()
 
@@ -120,9 +121,11 @@ def amatch(text: Column | str, pattern: Column | str | Pattern, k: int = 0, cost
 def amatch_detail(text: Column | str, pattern: str | Pattern | Column, k: int = 0, cost_ins: int = 1, cost_del: int = 1, cost_subst: int = 1, timeout: float | None = None) -> Column:
     """cost, num_ins, num_del, num_subst, match_start, match_end (byte offsets) of the best match, or null.
 
-    timeout: seconds that a text may take at most; more is an error.
+    timeout: seconds that a text may take at most, by default what the session's match_timeout_ms says;
+    more is an error.
     """
     text = _col(text)
+    timeout = (setting("match_timeout_ms") / 1000 or None) if timeout is None else timeout
     _ready()
 
     def run(texts: list, patterns: list) -> pd.DataFrame:
@@ -251,12 +254,12 @@ def strict_word_similarity(word: Column, text: Column) -> Column:
     return _extent(True)(word, text)
 
 
-def word_sim_op(word: Column, text: Column, threshold: float = 0.3) -> Column:
-    return word_similarity(word, text).cast("double") >= F.lit(float(threshold))
+def word_sim_op(word: Column, text: Column, threshold: float | None = None) -> Column:
+    return word_similarity(word, text).cast("double") >= F.lit(float(setting("word_similarity_threshold") if threshold is None else threshold))
 
 
-def strict_word_sim_op(word: Column, text: Column, threshold: float = 0.3) -> Column:
-    return strict_word_similarity(word, text).cast("double") >= F.lit(float(threshold))
+def strict_word_sim_op(word: Column, text: Column, threshold: float | None = None) -> Column:
+    return strict_word_similarity(word, text).cast("double") >= F.lit(float(setting("strict_word_similarity_threshold") if threshold is None else threshold))
 
 
 def word_distance(word: Column, text: Column) -> Column:
@@ -332,9 +335,10 @@ def register(spark: SparkSession) -> None:
     amatch, amatch_cost, amatch_weighted, text_distance and text_similarity work on batches, grouped by
     pattern; what needs no matcher is SQL that Spark inlines.  Patterns in text form, p@k, go to
     pattern_match, pattern_distance and pattern_similarity; Spark sorts by such functions only under
-    a name of the select list.
+    a name of the select list.  Thresholds and the time limit are the session's at registration.
     """
     ensure(spark)
+    timeout = setting("match_timeout_ms") / 1000 or None
 
     @F.pandas_udf("int")
     def cost(t: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
@@ -347,7 +351,7 @@ def register(spark: SparkSession) -> None:
     @F.pandas_udf("boolean")
     def weighted(t: pd.Series, p: pd.Series, k: pd.Series, i: pd.Series, d: pd.Series, s: pd.Series) -> pd.Series:
         def one(q, n, x, y, z, texts):
-            return [nfa.compiled(q).search(a, n, x, y, z) is not None for a in texts]
+            return [nfa.compiled(q).search(a, n, x, y, z, timeout) is not None for a in texts]
 
         return _grouped([t, p, k, i, d, s], one, "boolean")
 
@@ -377,11 +381,11 @@ def register(spark: SparkSession) -> None:
     for head, body in {
         "trgm_similarity(a STRING, b STRING) RETURNS FLOAT": f"CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CAST(coalesce({both} / nullif(size(array_union({x}, {y})), 0), 0) AS FLOAT) END",
         "trgm_distance(a STRING, b STRING) RETURNS FLOAT": "CAST(1 AS FLOAT) - trgm_similarity(a, b)",
-        "trgm_sim_op(a STRING, b STRING, least DOUBLE DEFAULT 0.3) RETURNS BOOLEAN": "CAST(trgm_similarity(a, b) AS DOUBLE) >= least",
+        f"trgm_sim_op(a STRING, b STRING, least DOUBLE DEFAULT {setting('similarity_threshold')}) RETURNS BOOLEAN": "CAST(trgm_similarity(a, b) AS DOUBLE) >= least",
         "word_distance(a STRING, b STRING) RETURNS FLOAT": "CAST(1 AS FLOAT) - word_similarity(a, b)",
         "strict_word_distance(a STRING, b STRING) RETURNS FLOAT": "CAST(1 AS FLOAT) - strict_word_similarity(a, b)",
-        "word_sim_op(a STRING, b STRING, least DOUBLE DEFAULT 0.3) RETURNS BOOLEAN": "CAST(word_similarity(a, b) AS DOUBLE) >= least",
-        "strict_word_sim_op(a STRING, b STRING, least DOUBLE DEFAULT 0.3) RETURNS BOOLEAN": "CAST(strict_word_similarity(a, b) AS DOUBLE) >= least",
+        f"word_sim_op(a STRING, b STRING, least DOUBLE DEFAULT {setting('word_similarity_threshold')}) RETURNS BOOLEAN": "CAST(word_similarity(a, b) AS DOUBLE) >= least",
+        f"strict_word_sim_op(a STRING, b STRING, least DOUBLE DEFAULT {setting('strict_word_similarity_threshold')}) RETURNS BOOLEAN": "CAST(strict_word_similarity(a, b) AS DOUBLE) >= least",
         f"pattern_in(p STRING) RETURNS {SCHEMA.simpleString()}": f"named_struct('pattern', {valid}, 'max_cost', CAST({part(2, 0)} AS INT), 'cost_ins', CAST({part(3, 1)} AS INT), 'cost_del', CAST({part(4, 1)} AS INT), 'cost_subst', CAST({part(5, 1)} AS INT))",
         "pattern_match(t STRING, p STRING) RETURNS BOOLEAN": f"amatch(t, {valid}, CAST({part(2, 0)} AS INT))",
         "pattern_distance(t STRING, p STRING) RETURNS INT": f"amatch_cost(t, {valid}, CAST({part(2, 0)} AS INT))",
@@ -393,7 +397,7 @@ def register(spark: SparkSession) -> None:
     @F.udtf(returnType=DETAIL)
     class Detail:
         def eval(self, t: str, p: str, k: int):
-            if t is not None and p is not None and k is not None and (found := nfa.compiled(p).search(t, k)):
+            if t is not None and p is not None and k is not None and (found := nfa.compiled(p).search(t, k, deadline=timeout)):
                 yield found
 
     spark.udtf.register("amatch_detail", Detail)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textsieve.settings import setting
+
 #: Characters of words after A-Z are lower-cased: digits, a-z and all beyond ASCII.
 WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
@@ -36,9 +38,9 @@ def trgm_distance(a: Column, b: Column) -> Column:
     return (F.lit(1.0).cast("float") - trgm_similarity(a, b)).cast("float")
 
 
-def trgm_sim_op(a: Column, b: Column, threshold: float = 0.3) -> Column:
-    """Whether trgm_similarity, a 32-bit number, is at least the 64-bit threshold."""
-    return trgm_similarity(a, b).cast("double") >= F.lit(float(threshold))
+def trgm_sim_op(a: Column, b: Column, threshold: float | None = None) -> Column:
+    """Whether trgm_similarity, a 32-bit number, is at least the 64-bit threshold, by default the session's."""
+    return trgm_similarity(a, b).cast("double") >= F.lit(float(setting("similarity_threshold") if threshold is None else threshold))
 
 
 def positions(text: str) -> tuple[list[str], list[bool], list[bool]]:
