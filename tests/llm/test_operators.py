@@ -484,6 +484,46 @@ def test_marginals_are_exact():
             beta /= beta.sum()
 
 
+def test_pairs_by_enumeration():
+    """Marginals of neighbouring states, and the likelihood's gradient, over all ways to label short texts."""
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    pairs = rng.normal(size=(2, 2))
+    sizes = [1, 4, 0, 6]
+    emit = rng.normal(size=sum(sizes))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.zeros((len(emit), 2, 2))
+    p = toxicity.marginals(emit, first, pairs, edges)
+
+    def logs(pairs, a, b):
+        ways = list(product((0, 1), repeat=b - a))
+        return ways, np.array([sum(pairs[x, y] + y * e for x, y, e in zip((0, *way), way, emit[a:b])) for way in ways])
+
+    for a, b in zip(first, first[1:]):
+        ways, score = logs(pairs, a, b)
+        share = np.exp(score) / np.exp(score).sum()
+        for t in range(b - a):
+            want = np.zeros((2, 2))
+            for way, w in zip(ways, share):
+                want[(0, *way)[t], way[t]] += w
+            assert np.abs(edges[a + t] - want).max() < 1e-9 and p[a + t] == pytest.approx(want[:, 1].sum())
+        # the gradient of the log likelihood of a labelling: its counts less expected ones
+        if b > a:
+            label = ways[len(ways) // 3]
+            count = np.zeros((2, 2))
+            for x, y in zip((0, *label), label):
+                count[x, y] += 1
+            for x, y in product((0, 1), repeat=2):
+                step = np.zeros((2, 2))
+                step[x, y] = 1e-6
+                values = []
+                for sign in (1, -1):
+                    _, score = logs(pairs + sign * step, a, b)
+                    values.append(score[len(ways) // 3] - np.log(np.exp(score).sum()))
+                assert (values[0] - values[1]) / 2e-6 == pytest.approx((count - edges[a:b].sum(0))[x, y], abs=1e-4)
+
+
 def test_toxicity(spark):
     rng = random.Random(19)
     clean = [f"word{k}" for k in range(60)]
