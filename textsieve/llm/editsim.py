@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from textsieve.llm import textbytes as tb
 
 _U = np.uint64
-_FAR = np.int64(-(1 << 40))
+_FAR = np.int32(-(1 << 30))
 #: Diagonals and characters of the pairs that are compared together.
 CELLS, CHARS = 1 << 19, 1 << 21
 #: Bits that pairs of characters are counted by.
@@ -98,15 +98,10 @@ class Compared:
         n, m, a, b = size[a], size[b], begin[a], begin[b]
 
         def reach(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """How many characters of pair p are equal from i and j on."""
-            most = np.minimum(n[p] - i, m[p] - j)
-            got = np.zeros(len(p), np.int64)
-            on = np.flatnonzero(most > 0)
-            on = on[code[a[p[on]] + i[on]] == code[b[p[on]] + j[on]]]
-            got[on] = 1
-            high = most[on] + 1  # not equal that far
-            low = np.ones(len(on), np.int64)
-            step = np.full(len(on), 2, np.int64)
+            """How many characters of pair p are equal from i and j on, where the first ones are."""
+            got = np.ones(len(p), np.int64)
+            high = np.minimum(n[p] - i, m[p] - j) + 1  # not equal that far
+            on, low, step = np.arange(len(p)), np.ones(len(p), np.int64), np.full(len(p), 2, np.int64)
             while len(on):
                 test = np.minimum(low + step, high - 1)
                 live = test > low
@@ -122,28 +117,31 @@ class Compared:
                 got[on] = low
             return got
 
+        code = np.append(code, np.uint32(0))
         done = np.zeros(len(x), bool)
         live = np.arange(len(x))
         widest = int(room.max())
-        far = np.full((len(x), 2 * widest + 3), _FAR)  # of diagonal j - i in column widest + 1 + j - i
-        zero = np.zeros(len(x), np.int64)
-        far[:, widest + 1] = reach(live, zero, zero)
+        # how far each diagonal j - i gets, in column widest + 1 + j - i; before any edit, the first one only
+        far = np.full((len(x), 2 * widest + 3), _FAR)
+        now, first, last = np.zeros((len(x), 1), np.int32), 0, 0
         for edits in range(widest + 1):
+            own = [v[live].astype(np.int32)[:, None] for v in (n, m, a, b)]
             if edits:
                 # diagonals that so many edits reach, and from which the rest reaches the last one
-                ends, rest = m[live] - n[live], widest - edits
+                ends, rest = own[1] - own[0], widest - edits
                 first, last = max(-edits, int(ends.min()) - rest), min(edits, int(ends.max()) + rest)
-                low, high = widest + 1 + first, widest + 2 + last
-                f = far[:, low - 1 : high + 1]
+                f = far[:, widest + first : widest + 3 + last]
                 now = np.maximum(np.maximum(f[:, 1:-1] + 1, f[:, :-2]), f[:, 2:] + 1)
-                diagonal = np.arange(first, last + 1)
-                now = np.minimum(now, np.minimum(n[live][:, None], m[live][:, None] - diagonal))
-                row, column = np.nonzero((now >= 0) & (now + diagonal >= 0))
-                i = now[row, column]
-                value = np.full_like(now, _FAR)
-                value[row, column] = i + reach(live[row], i, i + diagonal[column])
-                far[:, low:high] = value
-            ended = far[np.arange(len(live)), np.clip(widest + 1 + m[live] - n[live], 0, far.shape[1] - 1)] >= n[live]
+            diagonal = np.arange(first, last + 1, dtype=np.int32)
+            now = np.minimum(now, np.minimum(own[0], own[1] - diagonal))
+            other = now + diagonal
+            now[(now < 0) | (other < 0)] = _FAR
+            inside = (now >= 0) & (now < own[0]) & (other < own[1])
+            same = code[np.where(inside, own[2] + now, 0)] == code[np.where(inside, own[3] + other, 0)]
+            row, column = np.nonzero(same & inside)
+            now[row, column] += reach(live[row], now[row, column].astype(np.int64), other[row, column].astype(np.int64)).astype(np.int32)
+            far[:, widest + 1 + first : widest + 2 + last] = now
+            ended = far[np.arange(len(live)), np.clip(widest + 1 + (own[1] - own[0])[:, 0], 0, far.shape[1] - 1)] >= own[0][:, 0]
             done[live[ended]] = True
             stay = ~ended & (room[live] > edits)
             if not stay.all():
