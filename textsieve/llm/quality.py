@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, longest: int = 1 <
 
     sample = labelled(docs, labels, "quality", remainder(4) != 2, most, longest)
     rows = map_batches(sample, shares, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, ids binary, shares binary").toPandas().sort_values("doc_id", kind="stable")
-    return train([np.frombuffer(x, np.int32) for x in rows["ids"]], [np.frombuffer(x, np.float32).astype(float) for x in rows["shares"]], rows["label"].to_numpy(float))
+    return train([np.frombuffer(x, np.int32) for x in rows["ids"]], [np.frombuffer(x, np.float32) for x in rows["shares"]], rows["label"].to_numpy(float))
 
 
 def classify(docs: DataFrame, model, column: str = "score") -> DataFrame:
