@@ -51,7 +51,7 @@ class Model:
         out = []
         for k in range(0, len(texts), rows):
             x = presence(texts.slice(k, rows))
-            out.append((x[:, self.grams].astype(np.float32) @ self.landmarks) / np.sqrt(np.maximum(x.sum(1), 1))[:, None])
+            out.append((x[:, self.grams].astype(np.float32) @ self.landmarks) / np.sqrt(np.maximum(np.count_nonzero(x, axis=1), 1))[:, None])
         return np.concatenate(out) if out else np.zeros((0, self.landmarks.shape[1]))
 
     def margins(self, texts: pa.Array) -> np.ndarray:
