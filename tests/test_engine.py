@@ -276,3 +276,9 @@ def test_prefilter_stays_in_the_jvm(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = docs.where(c.amatch("text", "thanedble", 0)).select("doc_id")._jdf.queryExecution().toString()
     assert "Python" not in plan and "StringContains(text,thanedble)" in plan
+
+
+@pytest.mark.parametrize("name", ["amatch_detail"])
+def test_costly_matches_are_dealt_out(spark, small, name):
+    """A compact table is one task to read, but its rows are matched by all cores."""
+    assert "RoundRobinPartitioning" in __spark_entry__.queries()[name](spark, small)._jdf.queryExecution().toString()

@@ -168,3 +168,28 @@ def test_strings_of_code_points():
     code = np.array([[ord(text[i]), ord(text[j]), ord(text[k])] for i in range(10) for j in (0, 3) for k in range(10)], np.uint32)
     assert strings(code).to_pylist() == ["".join(map(chr, row)) for row in code.tolist()]
     assert strings(code[:0]).to_pylist() == []
+
+
+@pytest.mark.parametrize("pattern", ["anvul", "a(b|c)*d", "^ab", "cd$", "ab?c", "a*", "^$", "(^a|b)c$", "(ab){~1}c"])
+def test_details_of_batches(pattern):
+    """Costs and details of many texts, and the cost of one, against searches one by one."""
+    rng = random.Random(pattern)
+    m = nfa.Matcher(pattern)
+    for _ in range(40):
+        k, w = rng.randint(0, 4), rng.choice([(1, 1, 1), (2, 3, 1), (1, 2, 2), (3, 1, 1), (0, 1, 1)])
+        texts = ["".join(rng.choices("abcdnvul", k=rng.randint(0, 12))) for _ in range(5)] + [None]
+        want = [None if x is None else m.search(x, k, *w) for x in texts]
+        costs = [r and r[0] for r in want]
+        assert m.details(texts, k, *w) == want and m.costs(texts, k, weights=w) == costs
+        assert not m.parallel(w) or [None if x is None else m.least(x, k, w) for x in texts] == costs
+
+
+def test_details_search_little(monkeypatch):
+    m, searched = nfa.Matcher("anvul"), []
+    search = m.search
+    monkeypatch.setattr(m, "search", lambda text, k, *rest: searched.append((text, k)) or search(text, k, *rest))
+    texts = ["red anvil", "large ring", "blue bolt"] * 100
+    assert [r is not None for r in m.details(texts, 2)] == [True, False, False] * 100
+    assert searched == [("red anvil", 1)]
+    searched.clear()
+    assert m.costs(texts, 3, weights=(2, 3, 1))[:3] == [1, None, None] and not searched

@@ -60,7 +60,17 @@ def java_regex(node: rx.Node) -> str | None:
     return None
 
 
-def _costs(text: Column, pattern: str, k: int, max_states: int, pieces: list[str] | None = None) -> Column:
+def _weighted_hint(text: Column, pattern: str, k: int, weights: tuple[int, int, int]) -> Column:
+    """text, or null where no match of such costs can be."""
+    if min(weights) < 0:
+        raise ValueError("costs may not be negative")
+    # edits number k / least cost at most, and k by the clamp on counts
+    least = min(weights)
+    hint = prefilter.column(prefilter.formula(pattern, min(k, k // least) if least else k), text)
+    return text if hint is None else F.when(hint, text)
+
+
+def _costs(text: Column, pattern: str, k: int, max_states: int, pieces: list[str] | None = None, weights: tuple[int, int, int] = (1, 1, 1)) -> Column:
     _ready()
 
     @F.pandas_udf("int")
@@ -68,7 +78,7 @@ def _costs(text: Column, pattern: str, k: int, max_states: int, pieces: list[str
         known = texts.to_list()
         # equal texts are matched once
         distinct = list(dict.fromkeys(t for t in known if t is not None))
-        found = dict(zip(distinct, nfa.compiled(pattern, max_states).costs(distinct, k, pieces)))
+        found = dict(zip(distinct, nfa.compiled(pattern, max_states).costs(distinct, k, pieces, weights)))
         return pd.Series([found.get(t) for t in known], dtype="Int32")
 
     return run(text)
@@ -106,7 +116,11 @@ def amatch(text: Column | str, pattern: Column | str | Pattern, k: int = 0, cost
     """Whether a part of text matches within k edits, or edits of total cost k; null for null."""
     text = _col(text)
     if (cost_ins, cost_del, cost_subst) != (1, 1, 1):
-        return F.when(text.isNotNull(), amatch_detail(text, pattern, k, cost_ins, cost_del, cost_subst).isNotNull())
+        if isinstance(pattern, Column) or setting("match_timeout_ms"):
+            return F.when(text.isNotNull(), amatch_detail(text, pattern, k, cost_ins, cost_del, cost_subst).isNotNull())
+        p, weights = pattern.pattern if isinstance(pattern, Pattern) else pattern, (cost_ins, cost_del, cost_subst)
+        _check(p, k)
+        return F.when(text.isNotNull(), _costs(_weighted_hint(text, p, k, weights), p, k, setting("max_states"), weights=weights).isNotNull())
     known = text.isNotNull() & pattern.isNotNull() if isinstance(pattern, Column) else text.isNotNull()
     if not isinstance(pattern, Column):
         p = pattern.pattern if isinstance(pattern, Pattern) else pattern
@@ -128,31 +142,33 @@ def amatch_detail(text: Column | str, pattern: str | Pattern | Column, k: int =
     timeout = (setting("match_timeout_ms") / 1000 or None) if timeout is None else timeout
     _ready()
 
-    def run(texts: list, patterns: list) -> pd.DataFrame:
-        rows = [None if t is None or p is None else nfa.compiled(p).search(t, k, cost_ins, cost_del, cost_subst, timeout) for t, p in zip(texts, patterns)]
+    def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame([r or (None,) * 6 for r in rows], columns=DETAIL.names).astype("Int32")
 
+    def one(p: str, texts: list) -> list:
+        return nfa.compiled(p).details(texts, k, cost_ins, cost_del, cost_subst, timeout)
+
     if isinstance(pattern, Column):
 
         @F.pandas_udf(DETAIL)
         def each(texts: pd.Series, patterns: pd.Series) -> pd.DataFrame:
-            return run(texts.to_list(), patterns.to_list())
+            rows: list = [None] * len(texts)
+            for p, mine in texts.reset_index(drop=True).groupby(patterns.to_numpy()).groups.items():
+                for i, r in zip(mine, one(p, texts.iloc[mine].to_list())):
+                    rows[i] = r
+            return frame(rows)
 
         found = each(text, pattern)
         return F.when(found["cost"].isNotNull(), found)
     pattern = pattern.pattern if isinstance(pattern, Pattern) else pattern
     _check(pattern, k)
-    if min(cost_ins, cost_del, cost_subst) < 0:
-        raise ValueError("costs may not be negative")
-    # edits number k / least cost at most, and k by the clamp on counts
-    least = min(cost_ins, cost_del, cost_subst)
-    hint = prefilter.column(prefilter.formula(pattern, min(k, k // least) if least else k), text)
+    hinted = _weighted_hint(text, pattern, k, (cost_ins, cost_del, cost_subst))
 
     @F.pandas_udf(DETAIL)
     def search(texts: pd.Series) -> pd.DataFrame:
-        return run(texts.to_list(), [pattern] * len(texts))
+        return frame(one(pattern, texts.to_list()))
 
-    found = search(text if hint is None else F.when(hint, text))
+    found = search(hinted)
     return F.when(found["cost"].isNotNull(), found)
 
 
@@ -351,6 +367,8 @@ def register(spark: SparkSession) -> None:
     @F.pandas_udf("boolean")
     def weighted(t: pd.Series, p: pd.Series, k: pd.Series, i: pd.Series, d: pd.Series, s: pd.Series) -> pd.Series:
         def one(q, n, x, y, z, texts):
+            if timeout is None:
+                return [r is not None for r in nfa.compiled(q).costs(texts, n, weights=(x, y, z))]
             return [nfa.compiled(q).search(a, n, x, y, z, timeout) is not None for a in texts]
 
         return _grouped([t, p, k, i, d, s], one, "boolean")
@@ -396,8 +414,29 @@ def register(spark: SparkSession) -> None:
 
     @F.udtf(returnType=DETAIL)
     class Detail:
+        def __init__(self):
+            self.seen: dict = {}  # of the texts that came last
+
+        def find(self, t: str, p: str, k: int):
+            matcher = nfa.compiled(p)
+            if timeout is None and k >= 0 and matcher.parallel((1, 1, 1)) and (k := matcher.least(t, k)) is None:
+                return None
+            return matcher.search(t, k, deadline=timeout)
+
         def eval(self, t: str, p: str, k: int):
-            if t is not None and p is not None and k is not None and (found := nfa.compiled(p).search(t, k, deadline=timeout)):
-                yield found
+            if t is None or p is None or k is None:
+                return
+            key = (t, p, k)
+            if key not in self.seen:
+                if len(t) > 1000:
+                    found = self.find(t, p, k)
+                    if found:
+                        yield found
+                    return
+                if len(self.seen) >= 10_000:
+                    self.seen.clear()
+                self.seen[key] = self.find(t, p, k)
+            if self.seen[key]:
+                yield self.seen[key]
 
     spark.udtf.register("amatch_detail", Detail)
