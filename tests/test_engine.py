@@ -278,7 +278,7 @@ def test_prefilter_stays_in_the_jvm(spark, small):
     assert "Python" not in plan and "StringContains(text,thanedble)" in plan
 
 
-@pytest.mark.parametrize("name", ["amatch_detail", "amatch_detail_cost"])
+@pytest.mark.parametrize("name", ["amatch_detail", "amatch_detail_cost", "amatch_weighted"])
 def test_costly_matches_are_dealt_out(spark, small, name):
     """A compact table is one task to read, but its rows are matched by all cores."""
     assert "RoundRobinPartitioning" in __spark_entry__.queries()[name](spark, small)._jdf.queryExecution().toString()
