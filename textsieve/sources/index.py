@@ -1,8 +1,10 @@
 """A persistent trigram index: postings in runs, as Parquet, with a catalogue of runs.
 
 Layout under the index's folder: catalogue-<n>.json (the newest number counts), and a folder for
-each run with postings (gram, id), sorted by gram, and for each tombstone set.  Files are written
-before the catalogue that names them, so that a job that fails leaves the index as it was; of two
+each run with postings and for each tombstone set.  Postings are blocks (slice, gram, n, ids): rows
+are dealt into 2^bits slices by the hash of their key, a block has the ids of a gram in a slice, and
+files are sorted by gram.  So building moves texts and not their many postings, and slices are merged
+each by itself.  Files are written before the catalogue that names them, so that a job that fails leaves the index as it was; of two
 writers, the later one applies its change to what the other has committed.
 
 A tombstone hides rows of the runs that were there before it, so a key may be deleted and added
@@ -29,6 +31,8 @@ from textsieve.shipping import ensure
 FORMAT = 1
 GRAM = 3
 EMISSION_SORT_BYTES, EMISSION_INDEX_BYTES = 64, 16
+#: Rows of a slice, at most about, slices of a task, and postings that a task gathers.
+SLICE_ROWS, SLICES_OF_TASK, MOST_POSTINGS = 2048, 8, 1 << 22
 
 
 def characters(text: Column) -> Column:
@@ -70,30 +74,144 @@ def strings(code: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(data))
 
 
-def emissions(rows: DataFrame) -> DataFrame:
-    """(gram, id) for each distinct gram of each row of (id, text); null and short texts have none."""
+def slice_of(id_: Column, bits: int) -> Column:
+    """The slice of a key: the first bits of its hash."""
+    return F.shiftrightunsigned(F.xxhash64(id_), 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def bits_for(rows: int) -> int:
+    """Slices for so many rows, as a power of two."""
+    return max(0, (max(rows, 1) - 1) // SLICE_ROWS).bit_length()
+
+
+def by_slice(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows with a `slice`, dealt out so that a task has whole slices, one after the other."""
+    n = min(1 << bits, max(rows.sparkSession.sparkContext.defaultParallelism, (1 << bits) // SLICES_OF_TASK))
+    return rows.repartitionById(n, F.floor(F.col("slice").cast("long") * n / (1 << bits)).cast("int")).sortWithinPartitions("slice")
+
+
+def each_slice(batches):
+    """(slice, part of a batch) of batches in the order of slices."""
+    for batch in batches:
+        number = batch.column("slice").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(number) else []
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield int(number[a]), batch.slice(a, b - a)
+
+
+def block_batch(slice_: np.ndarray, gram: pa.Array, cut: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """Blocks k of ids[cut[k]:cut[k + 1]]."""
+    lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), ids)
+    return pa.RecordBatch.from_arrays([pa.array(slice_.astype(np.int32)), gram, pa.array(np.diff(cut).astype(np.int32)), lists], ["slice", "gram", "n", "ids"])
+
+
+def starts_of(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def schema_of(kind: str) -> str:
+    return f"slice int, gram string, n int, ids array<{kind}>"
+
+
+def blocks(rows: DataFrame, bits: int) -> DataFrame:
+    """Blocks of the distinct grams of each row of (id, text); null and short texts have none."""
     ensure(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own, found = [], []
-                for k, text in enumerate(part.column("text").to_pylist()):
+        now, ids, own, found, n_ids, n = None, [], [], [], 0, 0
+
+        def flush():
+            if not found:
+                return
+            key = np.concatenate(found)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = starts_of(key)
+            three = np.stack([key[first] >> np.uint64(42), key[first] >> np.uint64(21) & np.uint64(0x1FFFFF), key[first] & np.uint64(0x1FFFFF)], 1)
+            of = pa.concat_arrays(ids).take(pa.array(np.concatenate(own)[order]))
+            yield block_batch(np.full(len(first), now), strings(three.astype(np.uint32)), np.append(first, len(key)), of)
+
+        for slice_, part in each_slice(batches):
+            for at in range(0, part.num_rows, 256):
+                some = part.slice(at, 256)
+                if slice_ != now or n > MOST_POSTINGS:
+                    yield from flush()
+                    now, ids, own, found, n_ids, n = slice_, [], [], [], 0, 0
+                for k, text in enumerate(some.column("text").to_pylist()):
                     if text is None or len(text) < GRAM:
                         continue
                     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
                     key = np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:])
-                    own.append(np.full(len(key), k))
+                    own.append(np.full(len(key), n_ids + k, np.int32))
                     found.append(key)
-                if not own:
+                    n += len(key)
+                ids.append(some.column("id"))
+                n_ids += some.num_rows
+        yield from flush()
+
+    sliced = rows.withColumn("slice", slice_of(F.col("id"), bits))
+    return by_slice(sliced, bits).mapInArrow(work, schema_of(kind))
+
+
+def resliced(rows: DataFrame, bits: int, kind: str) -> DataFrame:
+    """Blocks (run, gram, ids) cut into more slices, without moving them."""
+
+    def work(batches):
+        for batch in batches:
+            ends = np.cumsum(batch.column("n").to_numpy().astype(np.int64))
+            parts = np.searchsorted(ends, np.arange(0, ends[-1] + 1 if len(ends) else 0, MOST_POSTINGS // 2), "left")
+            for a, b in zip(parts, np.append(parts[1:], batch.num_rows)):
+                if a == b:
                     continue
-                key = np.concatenate(found)
-                three = np.stack([key >> np.uint64(42), key >> np.uint64(21) & np.uint64(0x1FFFFF), key & np.uint64(0x1FFFFF)], 1)
-                yield pa.RecordBatch.from_arrays([strings(three.astype(np.uint32)), part.column("id").take(pa.array(np.concatenate(own)))], ["gram", "id"])
+                some = batch.slice(a, b - a)
+                own = np.repeat(np.arange(some.num_rows), some.column("n").to_numpy())
+                slice_ = some.column("to").flatten().to_numpy()
+                order = np.lexsort([own, slice_])
+                own, slice_ = own[order], slice_[order]
+                first = starts_of(slice_.astype(np.int64) * some.num_rows + own)
+                out = block_batch(slice_[first], some.column("gram").take(pa.array(own[first])), np.append(first, len(own)), some.column("ids").flatten().take(pa.array(order)))
+                yield out.append_column("run", some.column("run").take(pa.array(own[first])))
+
+    to = rows.withColumn("to", F.transform("ids", lambda i: slice_of(i, bits)))
+    return to.select("run", "gram", "n", "ids", "to").mapInArrow(work, f"{schema_of(kind)}, run long")
+
 
-    return rows.mapInArrow(work, f"gram string, id {kind}")
+def merged(rows: DataFrame, bits: int, kind: str) -> DataFrame:
+    """Blocks with each (gram, id) once, from blocks with their `run` and, without a gram, ids that are hidden in runs before `run`."""
+    ensure(rows.sparkSession)
+
+    def work(batches):
+        now, parts = None, []
+
+        def flush():
+            table = pa.Table.from_batches(parts).combine_chunks() if parts else None
+            if table is None or not table.num_rows:
+                return
+            lists, count = table.column("ids").combine_chunks(), table.column("n").to_numpy()
+            own = np.repeat(np.arange(table.num_rows), count)
+            codes = lists.flatten().dictionary_encode(null_encoding="encode")
+            id_, n_ids = codes.indices.to_numpy().astype(np.int64), len(codes.dictionary)
+            grams_ = table.column("gram").combine_chunks().dictionary_encode()
+            gram, run = grams_.indices.fill_null(-1).to_numpy()[own], table.column("run").to_numpy()[own]
+            hidden = np.zeros(n_ids, np.int64)
+            np.maximum.at(hidden, id_[gram < 0], run[gram < 0])
+            live = (gram >= 0) & (run >= hidden[id_])
+            key = np.unique(gram[live].astype(np.int64) * n_ids + id_[live])
+            if len(key):
+                gram, id_ = key // n_ids, key % n_ids
+                first = starts_of(gram)
+                yield block_batch(np.full(len(first), now), grams_.dictionary.take(pa.array(gram[first])), np.append(first, len(key)), codes.dictionary.take(pa.array(id_)))
+
+        for slice_, part in each_slice(batches):
+            if slice_ != now:
+                yield from flush()
+                now, parts = slice_, []
+            parts.append(part)
+        yield from flush()
+
+    return by_slice(rows, bits).mapInArrow(work, schema_of(kind))
 
 
 @dataclass
@@ -107,6 +225,7 @@ class Run:
     max_gram: str | None
     format_version: int = FORMAT
     complete: bool = True
+    bits: int | None = None  # of slices; None: rows (gram, id), as runs were written before
 
 
 @dataclass
@@ -237,29 +356,39 @@ class TrigramIndex:
                 if not left or f"catalogue-{self.catalogue.version}.json" not in self.files.names():
                     raise
 
-    def _write(self, postings: DataFrame, level: int, n_rows: int, complete: bool) -> Run:
+    def _write(self, postings: DataFrame, level: int, n_rows: int, complete: bool, bits: int) -> Run:
         folder = f"run-{uuid.uuid4().hex}"
-        # ranges of (gram, id), so that a gram that all rows have is dealt to several tasks
-        postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{self.root}/{folder}")
-        n, low, high = self.spark.read.parquet(f"{self.root}/{folder}").agg(F.count("*"), F.min("gram"), F.max("gram")).first()
-        return Run(0, level, folder, n_rows, n, low, high, complete=complete)
+        # small pages, of which a search reads those of its grams
+        postings.select("slice", "gram", "n", "ids").sortWithinPartitions("gram").write.option("parquet.page.row.count.limit", "1000").parquet(f"{self.root}/{folder}")
+        n, low, high = self.spark.read.schema(schema_of(self.catalogue.key_type)).parquet(f"{self.root}/{folder}").agg(F.sum("n"), F.min("gram"), F.max("gram")).first()
+        return Run(0, level, folder, n_rows, n or 0, low, high, complete=complete, bits=bits)
 
-    def _emitted(self, df: DataFrame, text: str | Column | None) -> tuple[DataFrame, DataFrame]:
+    def _rows(self, df: DataFrame, text: str | Column | None) -> DataFrame:
         name, value, _ = shown(self.catalogue.expression if text is None else text, df.columns) if text is not None or self.catalogue.expression else (None, None, None)
         if name != self.catalogue.text:
             raise ValueError(f"this index is of {self.catalogue.text}; give that expression")
         rows = df.where(self.catalogue.where) if self.catalogue.where else df
-        return rows, emissions(rows.select(F.col(self.catalogue.key).alias("id"), value.cast("string").alias("text")))
+        return rows.select(F.col(self.catalogue.key).cast(self.catalogue.key_type).alias("id"), value.cast("string").alias("text"))
 
     def _build(self, df: DataFrame, text: str | Column | None, level: int, most_emissions: int | None, first: bool) -> Run:
-        rows, postings = self._emitted(df, text)
-        if most_emissions is not None and (n := postings.count()) > most_emissions:
+        rows = self._rows(df, text)
+        n_rows = rows.count()
+        bits = bits_for(n_rows)
+        postings = blocks(rows, bits)
+        if most_emissions is not None and (n := postings.agg(F.sum("n")).first()[0] or 0) > most_emissions:
             raise ValueError(f"the index would have {n} postings, more than {most_emissions}")
-        rare = first and self.catalogue.min_frequency > 1
-        if rare:
-            often = postings.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= self.catalogue.min_frequency)
-            postings = postings.join(often.select("gram"), "gram", "left_semi").select("gram", "id")
-        return self._write(postings, level, rows.count(), not rare)
+        if not first or self.catalogue.min_frequency <= 1:
+            return self._write(postings, level, n_rows, True, bits)
+        whole = self._write(postings, level, n_rows, True, bits)
+        run = self._write(self._often(whole), level, n_rows, False, bits)
+        self.files.delete(whole.folder)
+        return run
+
+    def _often(self, whole: Run) -> DataFrame:
+        """Blocks of a run, of grams that enough rows have."""
+        every = self._read([whole.folder], schema_of(self.catalogue.key_type))
+        often = every.groupBy("gram").agg(F.sum("n").alias("rows")).where(F.col("rows") >= self.catalogue.min_frequency)
+        return every.join(often.select("gram"), "gram", "left_semi")
 
     @staticmethod
     def _enter(c: Catalogue, run: Run) -> None:
@@ -315,14 +444,20 @@ class TrigramIndex:
     def _live(self, runs: list[Run], wanted: list[str] | None = None) -> DataFrame:
         """(gram, id) of runs, of the wanted grams, without rows that tombstones hide."""
         kind = self.catalogue.key_type
-        by_tombs: dict[tuple[str, ...], list[str]] = {}
+        by_tombs: dict[tuple[str, ...], list[tuple[str, bool]]] = {}
         for r in runs:
             if r.n_postings and (wanted is None or any(r.min_gram <= g <= r.max_gram for g in wanted)):
-                by_tombs.setdefault(tuple(t.folder for t in self.catalogue.deleted if r.run_id < t.before), []).append(r.folder)
+                by_tombs.setdefault(tuple(t.folder for t in self.catalogue.deleted if r.run_id < t.before), []).append((r.folder, r.bits is not None))
         out = None
         for tombs, folders in by_tombs.items():
-            df = self._read(folders, f"gram string, id {kind}")
-            df = df.where(F.col("gram").isin(wanted)) if wanted is not None else df
+            df = None
+            for wide in (True, False):
+                if not (some := [f for f, is_wide in folders if is_wide == wide]):
+                    continue
+                part = self._read(some, schema_of(kind) if wide else f"gram string, id {kind}")
+                part = part.where(F.col("gram").isin(wanted)) if wanted is not None else part
+                part = part.select("gram", F.explode("ids").alias("id")) if wide else part
+                df = part if df is None else df.unionByName(part)
             df = df.join(self._read(list(tombs), f"id {kind}"), "id", "left_anti").select("gram", "id") if tombs else df
             out = df if out is None else out.unionByName(df)
         return self._read([], f"gram string, id {kind}") if out is None else out
@@ -331,6 +466,27 @@ class TrigramIndex:
         """(gram, id) of all runs that may have one of the wanted grams, without deleted rows."""
         return self._live(self.catalogue.runs, wanted)
 
+    def _sliced(self, runs: list[Run], bits: int) -> DataFrame:
+        """(slice, run, gram, n, ids) of runs, and of the tombstones that hold for them, without a gram."""
+        kind = self.catalogue.key_type
+        out = None
+        for r in runs:
+            run = F.lit(r.run_id).cast("long").alias("run")
+            if r.bits is None:
+                part = self._read([r.folder], f"gram string, id {kind}").select(slice_of(F.col("id"), bits).alias("slice"), run, "gram", F.lit(1).alias("n"), F.array("id").alias("ids"))
+            else:
+                part = self._read([r.folder], schema_of(kind))
+                if r.bits >= bits:
+                    part = part.select(F.shiftright("slice", r.bits - bits).alias("slice"), run, "gram", "n", "ids")
+                else:
+                    part = resliced(part.select(run, "gram", "n", "ids"), bits, kind)
+            out = part if out is None else out.unionByName(part)
+        for t in self.catalogue.deleted:
+            if any(r.run_id < t.before for r in runs):
+                ids = self._read([t.folder], f"id {kind}")
+                out = out.unionByName(ids.select(slice_of(F.col("id"), bits).alias("slice"), F.lit(t.before).cast("long").alias("run"), F.lit(None).cast("string").alias("gram"), F.lit(1).alias("n"), F.array("id").alias("ids")))
+        return out
+
     def compact(self, levels: int = 4, all_runs: bool = False) -> None:
         """Merges runs: level n holds at most 2^n of them; deleted rows leave with their runs."""
         while True:
@@ -343,11 +499,13 @@ class TrigramIndex:
                 if full is None:
                     return
                 mine, level = by_level[full], full + 1
-            df = self._live(mine).distinct()
+            n_rows = sum(r.n_rows for r in mine)
+            bits = bits_for(n_rows)
+            df = merged(self._sliced(mine, bits), bits, self.catalogue.key_type)
             for r in mine:
                 if not r.complete:  # what it lacks would seem whole beside the others
-                    df = df.join(self._live([r]).select("gram").distinct(), "gram", "left_semi").select("gram", "id")
-            run = self._write(df, level, sum(r.n_rows for r in mine), all(r.complete for r in mine))
+                    df = df.join(self._read([r.folder], "gram string").distinct(), "gram", "left_semi")
+            run = self._write(df, level, n_rows, all(r.complete for r in mine), bits)
             gone, hidden = {r.run_id for r in mine}, {t.folder for t in self.catalogue.deleted}
 
             def change(c: Catalogue, run=run, gone=gone, hidden=hidden) -> None:
