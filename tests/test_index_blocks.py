@@ -35,3 +35,14 @@ def test_runs_merge_by_slice(spark, rows, tmp_path):
     assert run.bits == 2 and run.n_postings == whole.catalogue.runs[0].n_postings == kept.select(F.explode("ids")).count()
     assert kept.count() == kept.select("slice", "gram").distinct().count() < run.n_postings / 10
     assert pairs(index.postings()) == pairs(whole.postings())
+
+
+def test_merge_leaves_hidden_rows_out(spark, rows, tmp_path):
+    index = TrigramIndex.create(rows, f"file://{tmp_path}/i", "id", "body")
+    index.delete(rows.where("id % 2 = 0").select("id"))
+    index.append(rows.where("id = 4"))
+    index.compact(all_runs=True)
+    run, kept = stored(spark, index)
+    ids = kept.select("slice", F.explode("ids").alias("id"))
+    assert ids.where("id % 2 = 0 AND id <> 4").isEmpty() and ids.select("id").distinct().count() == 2501
+    assert ids.where(F.col("slice") != ix.slice_of(F.col("id"), run.bits)).isEmpty()
