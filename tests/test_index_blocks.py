@@ -46,3 +46,22 @@ def test_merge_leaves_hidden_rows_out(spark, rows, tmp_path):
     ids = kept.select("slice", F.explode("ids").alias("id"))
     assert ids.where("id % 2 = 0 AND id <> 4").isEmpty() and ids.select("id").distinct().count() == 2501
     assert ids.where(F.col("slice") != ix.slice_of(F.col("id"), run.bits)).isEmpty()
+
+
+def test_runs_of_the_layout_before(spark, rows, tmp_path):
+    """Rows (gram, id) are read, hidden, replaced and merged like blocks."""
+    index = TrigramIndex.create(rows, f"file://{tmp_path}/i", "id", "body")
+    run = index.catalogue.runs[0]
+    want = pairs(index.postings())
+    index.postings().sortWithinPartitions("gram", "id").write.parquet(f"{index.root}/run-old")
+    data = json.loads(index.files.read(f"catalogue-{index.catalogue.version}.json"))
+    old = {k: v for k, v in data["runs"][0].items() if k != "bits"} | {"folder": "run-old"}
+    index.files.write(f"catalogue-{index.catalogue.version + 1}.json", json.dumps(data | {"runs": [old], "version": index.catalogue.version + 1}))
+    index = TrigramIndex(spark, index.root)
+    assert index.catalogue.runs[0].bits is None and pairs(index.postings()) == want
+    changed = rows.where("id % 3 = 0").withColumn("body", F.reverse("body"))
+    index.update(changed)
+    fresh = TrigramIndex.create(rows.where("id % 3 <> 0").unionByName(changed), f"file://{tmp_path}/f", "id", "body")
+    assert pairs(index.postings()) == pairs(fresh.postings())
+    index.compact(all_runs=True)
+    assert pairs(index.postings()) == pairs(fresh.postings()) and stored(spark, index)[0].bits == 2 and run.n_rows == 5000
