@@ -65,3 +65,12 @@ def test_runs_of_the_layout_before(spark, rows, tmp_path):
     assert pairs(index.postings()) == pairs(fresh.postings())
     index.compact(all_runs=True)
     assert pairs(index.postings()) == pairs(fresh.postings()) and stored(spark, index)[0].bits == 2 and run.n_rows == 5000
+
+
+def test_rare_grams_are_counted_in_blocks(spark, rows, tmp_path):
+    index = TrigramIndex.create(rows, f"file://{tmp_path}/i", "id", "body", min_frequency=100)
+    run, kept = stored(spark, index)
+    n = kept.groupBy("gram").agg(F.sum("n").alias("n"))
+    every = TrigramIndex.create(rows, f"file://{tmp_path}/w", "id", "body").postings().groupBy("gram").count()
+    assert not run.complete and {tuple(r) for r in n.collect()} == {tuple(r) for r in every.where("count >= 100").collect()}
+    assert sum(name.startswith("run-") for name in index.files.names()) == 1
