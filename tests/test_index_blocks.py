@@ -74,3 +74,12 @@ def test_rare_grams_are_counted_in_blocks(spark, rows, tmp_path):
     every = TrigramIndex.create(rows, f"file://{tmp_path}/w", "id", "body").postings().groupBy("gram").count()
     assert not run.complete and {tuple(r) for r in n.collect()} == {tuple(r) for r in every.where("count >= 100").collect()}
     assert sum(name.startswith("run-") for name in index.files.names()) == 1
+
+
+def test_building_moves_texts_only(spark, rows):
+    """One exchange, of rows by slice, and tasks that grow in number with the rows."""
+    texts = rows.withColumnRenamed("body", "text")
+    plan = ix.blocks(texts, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+    assert [ix.bits_for(n) for n in (0, 1, 2048, 2049, 5000, 2_500_000)] == [0, 0, 0, 1, 2, 11]
+    assert [ix.by_slice(texts.withColumn("slice", F.lit(0)), bits).rdd.getNumPartitions() for bits in (0, 2, 11)] == [1, 2, 256]
