@@ -282,3 +282,21 @@ def test_prefilter_stays_in_the_jvm(spark, small):
 def test_costly_matches_are_dealt_out(spark, small, name):
     """A compact table is one task to read, but its rows are matched by all cores."""
     assert "RoundRobinPartitioning" in __spark_entry__.queries()[name](spark, small)._jdf.queryExecution().toString()
+
+
+def test_similar_classes(spark):
+    """Copies are one class, every link between different texts is there, and pairs of classes and members are the pairs of rows."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    texts += ["Supplier#%09d" % i for i in range(60)]
+    texts += ["Copy", "copy", "copy!"] * 20 + [None, "", "-"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, body string")
+    other = rows.select(F.col("id").alias("j"), F.col("body").alias("b"))
+    for least in (0.15, 0.5, 0.8, 1.0):
+        every = rows.join(other, t.trgm_sim_op(F.col("body"), F.col("b"), least)).select("id", "j", t.trgm_similarity(F.col("body"), F.col("b")).alias("s")).collect()
+        assert sorted(every) == sorted(joins.similarity_join(rows, other, "body", "b", "id", "j", least).collect())
+        found = joins.similarity_classes(rows, other, "body", "b", "id", "j", least)
+        member = found.where("similarity = 1").select(F.col("j").alias("of"), F.col("id").alias("j"))
+        assert sorted((r.id, r.j, r.s) for r in every) == sorted(found.join(member, found["j"] == member["of"]).select("id", member["j"], "similarity").collect())
+        copies = found.where("class_id = 120 AND j = 120").collect()
+        assert len(copies) == 60 and {r.n_right for r in copies} == {60}
