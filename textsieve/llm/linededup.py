@@ -21,7 +21,7 @@ from textsieve.llm import textbytes as tb
 from textsieve.llm.buckets import Forest, Sides, across, dealt, tasks, unite_groups
 from textsieve.llm.components import components
 from textsieve.llm.editsim import Compared
-from textsieve.llm.staging import Staged, map_batches
+from textsieve.llm.staging import Staged, map_batches, trimmed
 from textsieve.naming import free
 from textsieve.shipping import ensure
 
@@ -182,7 +182,7 @@ def meetings(sims: DataFrame, tables: Tables, parts: int) -> DataFrame:
                 d += 1
             yield pa.RecordBatch.from_arrays([pa.array(tb.mix(key[hit]).view(np.int64)), pa.array(np.full(int(hit.sum()), t, np.int32)), pa.array(sim[hit].view(np.int64))], ["key", "table", "sim"])
 
-    return sims.select("sim").mapInArrow(split, "part int, records binary").repartition(parts, "part").mapInArrow(meet, "key long, table int, sim long")
+    return sims.select("sim").mapInArrow(trimmed(split), "part int, records binary").repartition(parts, "part").mapInArrow(trimmed(meet), "key long, table int, sim long")
 
 
 def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -244,7 +244,7 @@ def verified(members: DataFrame, tables: Tables, similarity: float, parts: int)
         yield pa.RecordBatch.from_arrays([pa.array(line[links[:, k]]) for k in (0, 1)], ["u", "v"])
 
     ensure(members.sparkSession)
-    return members.select("key", "block", "table", "b", "sim", "plain", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(work, "u long, v long")
+    return members.select("key", "block", "table", "b", "sim", "plain", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(trimmed(work), "u long, v long")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, similarity: float, staged: Staged, least: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from textsieve.llm import textbytes as tb
 from textsieve.llm.buckets import Forest, Sides, across, dealt, tasks, unite_groups
 from textsieve.llm.components import components
-from textsieve.llm.staging import Staged, map_batches
+from textsieve.llm.staging import Staged, map_batches, trimmed
 from textsieve.naming import free
 from textsieve.shipping import ensure
 
@@ -216,7 +216,7 @@ def verified(members: DataFrame, least: float, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([node.take(pa.array(links[:, k])) for k in (0, 1)], ["u", "v"])
 
     ensure(members.sparkSession)
-    return members.select("key", "block", "band", "b", "sketch", "bag", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(work, "u binary, v binary")
+    return members.select("key", "block", "band", "b", "sketch", "bag", *(["side", "root"] if cross else [])).repartition(parts, "key", "block").mapInArrow(trimmed(work), "u binary, v binary")
 
 
 def classes(docs: DataFrame, least: float, staged: Staged) -> DataFrame:

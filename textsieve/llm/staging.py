@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,21 @@ class Staged:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(work: Callable) -> Callable:
+    """The same function of batches; when it ends, memory that it has left free goes back to the system.
+
+    Workers live on between tasks, and what each of them held at its largest task would add up.
+    """
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over runs of rows of a few MB of text."""
     ensure(df.sparkSession)
@@ -58,7 +74,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
             for part in slices(batch):
                 yield fn(part)
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(trimmed(work), schema)
 
 
 def partitions(spark: SparkSession) -> int:
