@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,25 @@ def test_building_moves_texts_only(spark, rows):
     assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
     assert [ix.bits_for(n) for n in (0, 1, 2048, 2049, 5000, 2_500_000)] == [0, 0, 0, 1, 2, 11]
     assert [ix.by_slice(texts.withColumn("slice", F.lit(0)), bits).rdd.getNumPartitions() for bits in (0, 2, 11)] == [1, 2, 256]
+
+
+def test_grams_of_many_rows_at_once():
+    """Rows' grams are found by one sort, in 32 or 64 bits, as one by one: of null, short, repeated, astral and very varied texts."""
+    many = "".join(chr(k) for k in range(0x20, 0xD800)) + "".join(chr(k) for k in range(0x10000, 0x24000))
+    texts = ["abcabc", "", "ab", "zab", "a\x00\x00\x00b", "\U0001f600\U0001f601\U0001f602x", "日本語日本語", "abc" * 500, *(f"row {k}" for k in range(119)), many]
+    for some in (texts, texts[:8], [many], ["ab", "c"], [""]):
+        code = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+        gram, n, row = ix.grams_of_rows(code, np.repeat(np.arange(len(some), dtype=np.uint32), [len(t) for t in some]), len(some))
+        assert (np.diff(gram.astype(object)) > 0).all()
+        got = list(zip(np.repeat(gram, n).tolist(), row.tolist()))
+        want = {(ord(t[i]) << 42 | ord(t[i + 1]) << 21 | ord(t[i + 2]), k) for k, t in enumerate(some) for i in range(len(t) - 2)}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_blocks_of_odd_rows(spark):
+    """Rows are gathered over groups of TOGETHER rows and CHARS characters, and a gram has one block in a slice."""
+    texts = [None, "", "ab", "abc", "x" * (ix.CHARS + 5) + "abc", "ünï\U0001f600é", None, *(f"line {k} abc" for k in range(3 * ix.TOGETHER))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = ix.blocks(rows, 0).collect()
+    assert len({r.gram for r in found}) == len(found) and all(r.n == len(r.ids) for r in found)
+    assert sorted((r.gram, i) for r in found for i in r.ids) == sorted({(t[i : i + 3], k) for k, t in enumerate(texts) if t for i in range(len(t) - 2)})

@@ -22,6 +22,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ GRAM = 3
 EMISSION_SORT_BYTES, EMISSION_INDEX_BYTES = 64, 16
 #: Rows of a slice, at most about, slices of a task, and postings that a task gathers.
 SLICE_ROWS, SLICES_OF_TASK, MOST_POSTINGS = 2048, 8, 1 << 22
+#: Rows of which grams are found together, and their characters at most; one row may have more.
+TOGETHER, CHARS = 128, 1 << 19
 
 
 def characters(text: Column) -> Column:
@@ -114,41 +117,70 @@ def schema_of(kind: str) -> str:
     return f"slice int, gram string, n int, ids array<{kind}>"
 
 
+def grams_of_rows(code: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of characters, and whose they are: the distinct grams as numbers, how many of the n_rows rows have each, and these rows, gram by gram.
+
+    A gram is sorted as ranks of its letters among those there are, with the row in the last bits: one
+    row of up to 2^21 letters, or TOGETHER of up to CHARS characters, fit in 64 bits, and most in 32.
+    """
+    there = np.zeros(int(code.max(initial=0)) + 1, bool)
+    there[code] = True
+    letters = np.flatnonzero(there).astype(np.uint64)
+    wide, low = int(len(letters) - 1).bit_length() if len(letters) else 0, int(n_rows - 1).bit_length()
+    assert 3 * wide + low <= 64
+    kind = np.uint32 if 3 * wide + low <= 32 else np.uint64
+    rank = (np.cumsum(there) - 1).astype(kind)[code]
+    key = rank[:-2].copy()
+    for shift, more in ((wide, rank[1:-1]), (wide, rank[2:]), (low, row[:-2])):
+        key <<= kind(shift)
+        key |= more.astype(kind, copy=False)
+    key = key[row[2:] == row[:-2]]
+    key.sort()
+    key = key[starts_of(key)]
+    row, gram = (key & kind((1 << low) - 1)).astype(np.int32), key >> kind(low)
+    first = starts_of(gram)
+    x, y, z = (letters[gram[first] >> kind(k * wide) & kind((1 << wide) - 1)] for k in (2, 1, 0))
+    return x << np.uint64(42) | y << np.uint64(21) | z, np.diff(np.append(first, len(key))), row
+
+
 def blocks(rows: DataFrame, bits: int) -> DataFrame:
     """Blocks of the distinct grams of each row of (id, text); null and short texts have none."""
     ensure(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches):
-        now, ids, own, found, n_ids, n = None, [], [], [], 0, 0
+        now, ids, found, n_ids, n = None, [], [], 0, 0
 
         def flush():
-            if not found:
+            if not n:
                 return
-            key = np.concatenate(found)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = starts_of(key)
-            three = np.stack([key[first] >> np.uint64(42), key[first] >> np.uint64(21) & np.uint64(0x1FFFFF), key[first] & np.uint64(0x1FFFFF)], 1)
-            of = pa.concat_arrays(ids).take(pa.array(np.concatenate(own)[order]))
+            grams_, counts, own = (np.concatenate(v) for v in zip(*found))
+            every, back = np.unique(grams_, return_inverse=True)
+            key = np.repeat(back.astype(np.uint64) << np.uint64(32), counts) | own.astype(np.uint64)
+            key.sort()
+            first = starts_of(key >> np.uint64(32))
+            three = np.stack([every >> np.uint64(42), every >> np.uint64(21) & np.uint64(0x1FFFFF), every & np.uint64(0x1FFFFF)], 1)
+            of = pa.concat_arrays(ids).take(pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)))
             yield block_batch(np.full(len(first), now), strings(three.astype(np.uint32)), np.append(first, len(key)), of)
 
         for slice_, part in each_slice(batches):
-            for at in range(0, part.num_rows, 256):
-                some = part.slice(at, 256)
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(part.column("text")), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < part.num_rows:
                 if slice_ != now or n > MOST_POSTINGS:
                     yield from flush()
-                    now, ids, own, found, n_ids, n = slice_, [], [], [], 0, 0
-                for k, text in enumerate(some.column("text").to_pylist()):
-                    if text is None or len(text) < GRAM:
-                        continue
-                    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                    key = np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:])
-                    own.append(np.full(len(key), n_ids + k, np.int32))
-                    found.append(key)
-                    n += len(key)
+                    now, ids, found, n_ids, n = slice_, [], [], 0, 0
+                before = ends[at - 1] if at else 0
+                some = part.slice(at, min(TOGETHER, max(1, int(np.searchsorted(ends, before + CHARS, "right")) - at)))
+                text = "".join(x for x in some.column("text").to_pylist() if x is not None)
+                code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                size = np.diff(ends[at : at + some.num_rows], prepend=before)
+                of_gram, count, own = grams_of_rows(code, np.repeat(np.arange(some.num_rows, dtype=np.uint32), size), some.num_rows)
+                found.append((of_gram, count, own + n_ids))
+                n += len(own)
                 ids.append(some.column("id"))
                 n_ids += some.num_rows
+                at += some.num_rows
         yield from flush()
 
     sliced = rows.withColumn("slice", slice_of(F.col("id"), bits))
