@@ -106,3 +106,18 @@ def test_blocks_of_odd_rows(spark):
     found = ix.blocks(rows, 0).collect()
     assert len({r.gram for r in found}) == len(found) and all(r.n == len(r.ids) for r in found)
     assert sorted((r.gram, i) for r in found for i in r.ids) == sorted({(t[i : i + 3], k) for k, t in enumerate(texts) if t for i in range(len(t) - 2)})
+
+
+def test_blocks_of_frequent_grams_are_not_moved(spark, rows, tmp_path):
+    """Only blocks of fewer rows than asked for meet the counts; the others stream, and none of their rows is lost."""
+    whole = TrigramIndex.create(rows, f"file://{tmp_path}/w", "id", "body")
+    index = TrigramIndex.create(rows, f"file://{tmp_path}/i", "id", "body", min_frequency=100)
+    whole.catalogue.min_frequency = 100
+    plan = whole._often(whole.catalogue.runs[0])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.startswith("Union") and "GreaterThanOrEqual(n,100)" in plan and "LessThan(n,100)" in plan
+    few, much = plan.index("LeftSemi"), plan.index("GreaterThanOrEqual(n,100)")
+    assert much < few  # the first input of the union, beside the join
+    n = {g: k for g, k in whole.postings().groupBy("gram").count().collect()}
+    assert pairs(index.postings()) == [(g, i) for g, i in pairs(whole.postings()) if n[g] >= 100]
+    blocks = spark.read.parquet(f"{index.root}/{index.catalogue.runs[0].folder}")
+    assert blocks.where("n < 100").count() > 0

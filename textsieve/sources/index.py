@@ -388,10 +388,12 @@ class TrigramIndex:
                 if not left or f"catalogue-{self.catalogue.version}.json" not in self.files.names():
                     raise
 
-    def _write(self, postings: DataFrame, level: int, n_rows: int, complete: bool, bits: int) -> Run:
+    def _write(self, postings: DataFrame, level: int, n_rows: int, complete: bool, bits: int, in_order: bool = False) -> Run:
         folder = f"run-{uuid.uuid4().hex}"
+        postings = postings.select("slice", "gram", "n", "ids")
+        postings = postings if in_order else postings.sortWithinPartitions("gram")
         # small pages, of which a search reads those of its grams
-        postings.select("slice", "gram", "n", "ids").sortWithinPartitions("gram").write.option("parquet.page.row.count.limit", "1000").parquet(f"{self.root}/{folder}")
+        postings.write.option("parquet.page.row.count.limit", "1000").parquet(f"{self.root}/{folder}")
         n, low, high = self.spark.read.schema(schema_of(self.catalogue.key_type)).parquet(f"{self.root}/{folder}").agg(F.sum("n"), F.min("gram"), F.max("gram")).first()
         return Run(0, level, folder, n_rows, n or 0, low, high, complete=complete, bits=bits)
 
@@ -412,15 +414,24 @@ class TrigramIndex:
         if not first or self.catalogue.min_frequency <= 1:
             return self._write(postings, level, n_rows, True, bits)
         whole = self._write(postings, level, n_rows, True, bits)
-        run = self._write(self._often(whole), level, n_rows, False, bits)
+        run = self._write(self._often(whole), level, n_rows, False, bits, in_order=True)
         self.files.delete(whole.folder)
         return run
 
     def _often(self, whole: Run) -> DataFrame:
-        """Blocks of a run, of grams that enough rows have."""
+        """Blocks of a run, of grams that enough rows have, in the order of its files.
+
+        A block of so many ids tells by itself, and streams from file to file; only those of fewer are
+        moved and sorted, by more tasks for more slices.
+        """
+        least = self.catalogue.min_frequency
         every = self._read([whole.folder], schema_of(self.catalogue.key_type))
-        often = every.groupBy("gram").agg(F.sum("n").alias("rows")).where(F.col("rows") >= self.catalogue.min_frequency)
-        return every.join(often.select("gram"), "gram", "left_semi")
+        often = every.groupBy("gram").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least)
+        few, groups = every.where(F.col("n") < least), (1 << whole.bits) // SLICES_OF_TASK
+        if groups > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            few = few.repartition(groups, "gram")
+        few = few.join(often.select("gram"), "gram", "left_semi").select(*every.columns).sortWithinPartitions("gram")
+        return every.where(F.col("n") >= least).unionByName(few)
 
     @staticmethod
     def _enter(c: Catalogue, run: Run) -> None:
