@@ -179,3 +179,26 @@ def test_tables_find_all_pairs_once(n):
     met = np.array([tables.keys(t, sims) == tables.keys(t, other) for t in range(len(tables.chosen))])
     assert met.any(0).all() and (met.argmax(0) == at).all()
     assert tables.meets(np.zeros(1, np.uint64)).tolist() == [-1]
+
+
+def test_only_long_words_and_wanted_lines_are_hashed_again(monkeypatch):
+    """Bytes hashed beside a batch's own words are those of its long words, and hashes are the same as word by word."""
+    import numpy as np
+    import pyarrow as pa
+
+    from textsieve.llm import linededup as ld
+    from textsieve.llm import textbytes as tb
+
+    texts = pa.array(["short words only\n\nand Here", None, "a " + "x" * 40 + " b\n" + "日本語" * 20 + "\n", "\n", ""])
+    buf, off = tb.buffers(texts)
+    text, number, a, b, starts, ends = ld.lines(buf, off)
+    assert list(zip(text.tolist(), number.tolist())) == [(0, 0), (0, 2), (2, 0), (2, 1)]
+    h = tb.hash_spans(buf, starts, ends, tb.LOWER)
+    seen, plain = [], tb.hash_spans
+    monkeypatch.setattr(tb, "hash_spans", lambda data, *more: seen.append(len(data)) or plain(data, *more))
+    sim = ld.simhashes(buf, starts, ends, h, a, b)
+    assert seen == [40 + 180]
+    for k in range(len(a)):
+        at = [(i, j) for s, e in zip(starts[a[k] : b[k]], ends[a[k] : b[k]]) for i, j in ([(s, e)] if e - s <= ld.LONG_WORD else [(x, x + ld.PIECE) for x in range(s, e - ld.PIECE + 1)])]
+        s, e = (np.array(v) for v in zip(*at))
+        assert sim[k] == ld.majority(plain(buf, s, e, tb.LOWER), ld.weights(e - s), np.array([len(at)]))[0]

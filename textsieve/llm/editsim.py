@@ -37,7 +37,7 @@ class Compared:
         # counts of pairs of characters, by bits of their hashes; an edit takes away or adds two of them at most
         text = np.repeat(np.arange(len(self.size)), self.size)
         inner = np.flatnonzero(text[1:] == text[:-1]) if len(text) else np.zeros(0, np.int64)
-        kind = tb.mix(self.code[inner].astype(_U) << _U(32) | self.code[inner + 1]) >> _U(64 - BINS)
+        kind = (self.code[inner] * np.uint32(0x9E3779B1) + self.code[inner + 1] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BINS)
         self.counts = np.bincount((text[inner] << BINS) + kind.astype(np.int64), minlength=len(self.size) << BINS).reshape(-1, 1 << BINS).astype(np.int32)
 
         # words between blanks: an upper bound is what replacing all that differ costs
@@ -139,7 +139,11 @@ class Compared:
             inside = (now >= 0) & (now < own[0]) & (other < own[1])
             same = code[np.where(inside, own[2] + now, 0)] == code[np.where(inside, own[3] + other, 0)]
             row, column = np.nonzero(same & inside)
-            now[row, column] += reach(live[row], now[row, column].astype(np.int64), other[row, column].astype(np.int64)).astype(np.int32)
+            i, j = now[row, column].astype(np.int64), other[row, column].astype(np.int64)
+            now[row, column] += 1
+            p = live[row]  # of most, the next characters differ already
+            on = np.flatnonzero((code[a[p] + i + 1] == code[b[p] + j + 1]) & (i + 1 < n[p]) & (j + 1 < m[p]))
+            now[row[on], column[on]] += (reach(p[on], i[on], j[on]) - 1).astype(np.int32)
             far[:, widest + 1 + first : widest + 2 + last] = now
             ended = far[np.arange(len(live)), np.clip(widest + 1 + (own[1] - own[0])[:, 0], 0, far.shape[1] - 1)] >= own[0][:, 0]
             done[live[ended]] = True

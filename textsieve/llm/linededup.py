@@ -34,12 +34,21 @@ _U = np.uint64
 RECORD = np.dtype([("table", "u1"), ("sim", "<u8")])
 
 
+def byte_lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line that isn't empty: its first and one past its last byte, its text and its number there."""
+    breaks = np.flatnonzero(buf == 10)
+    begin, end = np.concatenate([off[:-1], breaks + 1]), np.concatenate([breaks, off[1:]])
+    begin.sort()
+    end.sort()
+    full = np.flatnonzero(begin < end)
+    begin, end = begin[full], end[full]
+    text = tb.owner(np.searchsorted(begin, off))
+    return begin, end, text, np.searchsorted(breaks, begin) - np.searchsorted(breaks, off[:-1])[text]
+
+
 def lines(buf: np.ndarray, off: np.ndarray, least: int = 1):
     """Of each line with `least` words or more: its text, its number there, its first and one past its last word; and the words."""
-    begin, end, first = tb.runs(buf, off, tb.NOT_NEWLINE)
-    text = tb.owner(first)
-    breaks = np.flatnonzero(buf == 10)
-    number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, off[:-1])[text]
+    begin, end, text, number = byte_lines(buf, off)
     starts, ends, _ = tb.runs(buf, off, tb.ALNUM)
     a, b = np.searchsorted(starts, begin), np.searchsorted(starts, end)
     ok = np.flatnonzero(b - a >= least)
@@ -93,9 +102,14 @@ def simhashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarr
     if (length <= LONG_WORD).all():
         return majority(h[mine], weights(length), size)
     pieces = np.where(length > LONG_WORD, length - PIECE + 1, 1)
-    at = tb.spans(starts[mine], pieces)
-    end = np.where(np.repeat(length <= LONG_WORD, pieces), np.repeat(ends[mine], pieces), at + PIECE)
-    return majority(tb.hash_spans(buf, at, end, tb.LOWER), weights(end - at), np.add.reduceat(pieces, np.cumsum(size) - size))
+    # long words side by side, of which the windows are hashed; the others' hashes are known
+    long = np.flatnonzero(length > LONG_WORD)
+    at = tb.spans(np.cumsum(length[long]) - length[long], pieces[long])
+    each, size_of = np.repeat(h[mine], pieces), np.repeat(length, pieces)
+    inside = tb.spans((np.cumsum(pieces) - pieces)[long], pieces[long])
+    each[inside] = tb.hash_spans(buf[tb.spans(starts[mine][long], length[long])], at, at + PIECE, tb.LOWER)
+    size_of[inside] = PIECE
+    return majority(each, weights(size_of), np.add.reduceat(pieces, np.cumsum(size) - size))
 
 
 def outline(docs: DataFrame, least: int) -> DataFrame:
@@ -171,15 +185,16 @@ def meetings(sims: DataFrame, tables: Tables, parts: int) -> DataFrame:
             order = np.argsort(key)
             sim, key = sim[order], key[order]
             hit = np.zeros(len(sim), bool)
-            d, i = 1, np.arange(len(sim))
-            while len(i):
-                i = i[i + d < len(sim)]
-                i = i[key[i + d] == key[i]]
+            # how many of its bucket come after each; those with the most go first
+            edge = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]]))
+            after = np.repeat(edge, np.diff(edge, prepend=-1)) - np.arange(len(key))
+            longest = np.argsort(-after, kind="stable")
+            for d, n in enumerate(len(key) - np.cumsum(np.bincount(after)), 1):  # n have d or more
+                i = longest[:n]
                 differ = sim[i] ^ sim[i + d]
                 close = np.flatnonzero(np.bitwise_count(differ) <= BITS)
                 close = close[tables.meets(differ[close]) == t]
                 hit[i[close]] = hit[i[close] + d] = True
-                d += 1
             yield pa.RecordBatch.from_arrays([pa.array(tb.mix(key[hit]).view(np.int64)), pa.array(np.full(int(hit.sum()), t, np.int32)), pa.array(sim[hit].view(np.int64))], ["key", "table", "sim"])
 
     return sims.select("sim").mapInArrow(trimmed(split), "part int, records binary").repartition(parts, "part").mapInArrow(trimmed(meet), "key long, table int, sim long")
@@ -191,11 +206,13 @@ def normalised(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = tb.buffers(batch.column("text"))
-        text, number, a, b, starts, ends = lines(buf, off, least)
+        begin, end, text, number = byte_lines(buf, off)
         asked = batch.column("ns")
         owner = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
         take = np.isin(text << 32 | number, owner << 32 | asked.flatten().to_numpy().astype(np.int64))
-        a, b = a[take], b[take]
+        begin, size = begin[take], (end - begin)[take]
+        buf = buf[tb.spans(begin, size)]  # only these lines, each as a text
+        _, _, a, b, starts, ends = lines(buf, np.concatenate([[0], np.cumsum(size)]), least)
         line = exact_hashes(tb.hash_spans(buf, starts, ends, tb.LOWER), a, b)
         low = tb.FOLD[buf].tobytes()
         plain = [b" ".join([low[s:e] for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())]).decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist())]
