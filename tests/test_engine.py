@@ -1,6 +1,7 @@
 """Column functions, SQL functions, index, joins and streaming on Spark."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,3 +301,40 @@ def test_similar_classes(spark):
         assert sorted((r.id, r.j, r.s) for r in every) == sorted(found.join(member, found["j"] == member["of"]).select("id", member["j"], "similarity").collect())
         copies = found.where("class_id = 120 AND j = 120").collect()
         assert len(copies) == 60 and {r.n_right for r in copies} == {60}
+
+
+ODD = [(1, "Copy"), (2, "copy"), (3, "copy!"), (4, None), (None, "copy"), (5, ""), (6, "-"), (7, "ab ba"), (8, "ba ab"), (8, "ba  ab"), (9, "Supplier#000000111"), (10, "Supplier#000001111"), (11, "Supplier#000001112"), (9, "Supplier#000000111")]
+
+
+def test_similarity_join_tells_rows(spark, tmp_path):
+    """All pairs of rows are told: copies, different names of equal trigrams, rows that share a key or have none."""
+    rows = spark.createDataFrame(ODD, "s_suppkey long, s_name string")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = __spark_entry__.queries()["similarity_join"](spark, str(tmp_path))
+    assert got.columns == ["s_suppkey", "other", "similarity"]
+    other = rows.select(F.col("s_suppkey").alias("other"), F.col("s_name").alias("o_name"))
+    names = F.col("s_name"), F.col("o_name")
+    want = rows.join(other, t.trgm_sim_op(*names, 0.8)).select("s_suppkey", "other", F.round(t.trgm_similarity(*names).cast("double"), 5).alias("similarity"))
+    assert Counter(got.collect()) == Counter(want.collect())
+    found = {(r.s_suppkey, r.other) for r in got.collect()}
+    assert {(9, 10), (10, 9), (2, 3), (7, 8), (None, 1), (None, None)} <= found
+
+
+def test_pairs_of_copies_are_dealt_out(spark):
+    """The pairs of one class are made by many tasks, in blocks."""
+    copies = spark.range(1200).select("id", F.lit("one and the same").alias("body"))
+    pairs = joins.similarity_join(copies, copies.select(F.col("id").alias("j"), F.col("body").alias("b")), "body", "b", "id", "j", 0.8)
+    tasks = pairs.groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum(F.col("id") * 1200 + F.col("j"))).collect()
+    n = 1200 * 1200
+    assert sum(r[1] for r in tasks) == n and sum(r[2] for r in tasks) == n * (n - 1) // 2
+    assert max(r[1] for r in tasks) < n / 3
+
+
+def test_class_members_have_the_right_rows(spark):
+    left = spark.createDataFrame([(1, "Copy"), (2, "other words")], "id long, body string")
+    right = spark.createDataFrame([(11, "copy"), (12, "copy!"), (13, "words, other"), (14, "none")], "j long, b string")
+    found = joins.similarity_classes(left, right, "body", "b", "id", "j", 0.8)
+    members = joins.class_members(right, "b", "j").withColumnsRenamed({"j": "row", "class_id": "j"})
+    told = found.join(members, "j").select("id", "row", "similarity").collect()
+    assert sorted(told) == sorted(joins.similarity_join(left, right, "body", "b", "id", "j", 0.8).collect())
+    assert sorted((r.id, r.row) for r in told) == [(1, 11), (1, 12), (2, 13)]
